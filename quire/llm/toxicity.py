@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import columns as C
 from quire.llm.quality import held_out, learning_labels
 from quire.plans.storage import materialize
 
@@ -148,24 +149,41 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.design(features) @ self.curve, -30, 30)))
 
 
+def _word_hashes(column: pa.Array) -> Iterator[tuple[C.Texts, C.Words, np.ndarray]]:
+    """Words of a-z and characters above ASCII of the lower-cased texts, with their hashes."""
+    low = pa.array([(t or "").lower() for t in column.to_pylist()], pa.large_string())
+    for texts in C.slices(low):
+        found = C.words(texts, _LETTERS)
+        yield texts, found, C.hashes(texts, found)
+
+
+_LETTERS = C.byte_class("", ((0x61, 0x7A), (0x80, 0xFF)))
+
+
 def learn_insults(sample: DataFrame, most: int = 2000) -> dict[str, float]:
     """Words that labelled documents show to be insults, with weights from 0.5 to 1.5.
 
     sample: (text, label). A word counts by the different words it follows, so that copies of one toxic
     document do not make all its words look toxic. It is taken if chance gives such a split less than once in a
-    hundred vocabularies; the `most` surest are kept.
+    hundred vocabularies; the `most` surest are kept. Words travel as hashes; those chosen are then looked up.
     """
-    low = F.lower(F.col("text"))
-    tokens = F.expr("filter(split(lowered, '[^\\\\p{L}]+'), x -> x <> '')")
-    pairs = sample.select(low.alias("lowered"), "label").select("label", tokens.alias("w")).select(
-        "label", F.explode(F.array_distinct(F.expr("zip_with(w, slice(w, 2, size(w)), (a, b) -> struct(b as word, xxhash64(a) as before))"))).alias("x")
-    )
-    seen = pairs.where("x.word is not null").groupBy("x.word", "x.before").agg(
-        F.max("label").alias("bad"), F.max(F.lit(1) - F.col("label")).alias("good")
-    )
-    counts = materialize(
-        seen.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("word is not null"), "words"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column(1).to_numpy()
+            for texts, found, hashed in _word_hashes(batch.column(0)):
+                inside = C.within(found, 2)
+                bad = label[texts.first + found.text[1:][inside]].astype(np.uint64)
+                word, before = hashed[1:][inside], hashed[:-1][inside]
+                with np.errstate(over="ignore"):  # a row of each once in this slice
+                    _, one = np.unique(C.mix(word * np.uint64(3) + before) + bad, return_index=True)
+                x = np.stack([word, before, bad], axis=1)[one].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])], ["word", "before", "bad"])
+
+    seen = sample.mapInArrow(pairs, "word long, before long, bad long").groupBy("word", "before").agg(
+        F.max("bad").alias("bad"), F.max(1 - F.col("bad")).alias("good")
     )
+    counts = materialize(seen.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
     all_of = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).first()
     if not all_of.bad or not all_of.good:
         return {}
@@ -173,14 +191,32 @@ def learn_insults(sample: DataFrame, most: int = 2000) -> dict[str, float]:
     n, p = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     q = F.greatest(F.lit(1.0) - p, F.lit(1e-12))
     far = n * (p * F.log(p / share) + q * F.log(q / (1 - share)))
-    found = (
+    chosen = (
         counts.where("bad >= 3")
         .withColumn("far", far)
         .where((p >= max(0.6, min(0.95, 3 * share))) & (F.col("far") >= math.log(all_of.n + 1) + 4.6))
         .orderBy(F.desc("far"), "word")
         .limit(most)
+        .collect()
     )
-    return {r.word: 0.5 + r.bad / (r.bad + r.good) for r in found.collect()}
+    weights = {r.word: 0.5 + r.bad / (r.bad + r.good) for r in chosen}
+    known = np.array(sorted(weights), np.int64).view(np.uint64)
+    known.sort()
+    if not len(known):
+        return {}
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts, found, hashed in _word_hashes(batch.column(0)):
+                hit = np.flatnonzero(np.isin(hashed, known))
+                _, one = np.unique(hashed[hit], return_index=True)
+                at = hit[one]
+                spelt = [texts.data[s:e].tobytes().decode("utf-8") for s, e in zip(found.start[at], found.end[at])]
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[at].view(np.int64)), pa.array(spelt, pa.string())], ["word", "spelt"])
+
+    # at most `most` rows: one for each hash
+    spelt = sample.mapInArrow(spell, "word long, spelt string").groupBy("word").agg(F.min("spelt").alias("spelt")).collect()
+    return {r.spelt: weights[r.word] for r in spelt if r.spelt.isalpha()}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 40_000, seed: int = 11) -> ToxicityModel:
