@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from quire.llm import columns as C
 from quire.plans.components import connected_components
-from quire.plans.storage import materialize
+from quire.plans.storage import discard, materialize, read_back, write_work
 
 BITS = 512
 #: Sets that a task remembers so as to send equal ones only once; beyond it the memory starts anew, which costs
 #: some more rows and loses nothing.
 REMEMBERED = 200_000
+#: Rows of two longs that may be broadcast, counted before; more of them are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 class Bands:
@@ -272,30 +274,50 @@ def similar_groups(
     A-Z are lower-cased, words are anything but ASCII white space; a text of fewer words than size is one
     shingle; null and empty texts have none and link with nothing. Equal sets link at whatever size. Signatures
     travel packed, a block of them for each bucket, so the shuffle carries about 10 bytes for each. First every
-    candidate is checked against the least document of its signature; what that leaves in different groups,
-    though a signature is shared, is checked pair by pair, so that no link is lost; groups of near copies,
-    however large, are settled by the first step and never give all their pairs.
+    candidate is checked against the least document of most of its signatures, then against those of the others
+    where that leaves them in different groups; signatures whose documents still are in different groups are
+    checked pair by pair across them, so that no link is lost. Groups of near copies, however large, are settled
+    by the first steps and never give all their pairs.
 
     ids are integers. Rows of one id count as one document and share its group; a null id gives a null
     component_id. Ties cannot occur; repeated rows each give their row; an empty table gives an empty result;
     other columns are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     table = materialize(_sketch(rows, Bands(num, den), size), "sketch")
     own = table.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("first"))
-    shared = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("pivot"), F.col("c").alias("doc"))
-    some = shared.select("doc").distinct()
-    profiles = materialize(_profiles(rows.join(some, "doc", "left_semi").select("doc", "text"), size), "profiles")
-
-    star = shared.where("pivot <> doc").select(F.col("pivot").alias("x"), F.col("doc").alias("y")).distinct()
-    links = materialize(_verified(star, profiles, num, den), "links")
+    shared = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("x"), F.col("c").alias("y"))
+    same = own.where("first <> doc").select(F.col("first").alias("x"), F.col("doc").alias("y"))
+
+    # how many signatures each document shares with their least documents
+    star = materialize(shared.where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")), "star")
+    some = materialize(star.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidates")
+    few = some.count() <= BROADCAST_ROWS
+    chosen = rows.join(F.broadcast(some) if few else some, "doc", "left_semi").select("doc", "text")
+    shape = _profiles(chosen, size)
+    profiles_path = write_work(shape, "profiles")
+    profiles = read_back(shape, profiles_path)
+
+    # the likeliest partner of each first; of the others, what that leaves in different groups
+    best = star.groupBy("y").agg(F.max(F.struct("times", (-F.col("x")).alias("x"))).alias("best"))
+    links = materialize(_verified(best.select((-F.col("best.x")).alias("x"), "y"), profiles, num, den), "links")
     labels = connected_components(links, "x", "y")
-    # documents that share a signature but no group yet
-    marked = shared.join(labels, shared.doc == labels.node, "left").select(
-        "sig", "doc", F.coalesce("component", "doc").alias("part")
+    apart = _apart(star, labels).select("x", "y")
+    links = materialize(links.unionByName(_verified(apart, profiles, num, den)), "links")
+    labels = materialize(connected_components(links, "x", "y"), "labels")
+
+    # signatures whose documents are still in different groups: all their pairs across groups
+    apart = materialize(_apart(star, labels).select("x", "y"), "apart")
+    few = apart.count() <= BROADCAST_ROWS
+    split = shared.join(F.broadcast(apart) if few else apart, ["x", "y"], "left_semi").select("sig").distinct()
+    split = materialize(split, "split")
+    few = split.count() <= BROADCAST_ROWS
+    rest = shared.join(F.broadcast(split) if few else split, "sig", "left_semi").select("sig", F.col("y").alias("doc"))
+    rest = materialize(
+        rest.join(labels, rest.doc == labels.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("part")),
+        "rest",
     )
-    split = marked.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    rest = materialize(marked.join(split.select("sig"), "sig", "left_semi"), "rest")
     x = rest.select("sig", F.col("doc").alias("x"), F.col("part").alias("x_part")).join(
         _side(profiles, "x", "n", "bits"), "x"
     )
@@ -306,10 +328,11 @@ def similar_groups(
         x.join(y, [x.sig == y.sig, F.col("x") < F.col("y"), F.col("x_part") != F.col("y_part"), _may_link(num, den)])
         .select("x", "y")
         .distinct()
-        .join(star, ["x", "y"], "left_anti")
+        .join(apart, ["x", "y"], "left_anti")
     )
-    more = materialize(_verified(close, profiles, num, den), "links")
-    groups = materialize(connected_components(links.unionByName(more).unionByName(_same(own)), "x", "y"), "groups")
+    links = materialize(links.unionByName(_verified(close, profiles, num, den)), "links")
+    groups = materialize(connected_components(links.unionByName(same), "x", "y"), "groups")
+    discard(spark, profiles_path)
 
     placed = own.join(groups, own.doc == groups.node, "left").select(
         "doc", "n", F.coalesce("component", "doc").alias("component")
@@ -317,9 +340,11 @@ def similar_groups(
     return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _same(own: DataFrame) -> DataFrame:
-    """Links of equal sets that one task saw."""
-    return own.where("first <> doc").select(F.col("first").alias("x"), F.col("doc").alias("y"))
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (x, y) whose documents are in different groups so far."""
+    x = labels.select(F.col("node").alias("x"), F.col("component").alias("x_part"))
+    y = labels.select(F.col("node").alias("y"), F.col("component").alias("y_part"))
+    return pairs.join(x, "x", "left").join(y, "y", "left").where(F.coalesce("x_part", "x") != F.coalesce("y_part", "y"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
