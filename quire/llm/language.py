@@ -109,10 +109,12 @@ class LanguageModel:
                 here = state[:live]
                 to = flat[here * width + code]
                 stop = to == 0
-                count[:live] += stop
-                np.copyto(to, flat[code], where=stop)  # begin anew; a character unknown to the language is a phrase
+                anew = flat[code]
+                # a phrase ends, and a character that the language lacks is one by itself
+                count[:live] += (stop & (here != 0)).view(np.int8) + (stop & (anew == 0)).view(np.int8)
+                np.copyto(to, anew, where=stop)
                 state[:live] = to
-            out[:, k] = count + 1
+            out[:, k] = count + (state != 0)
         return out
 
     def identify(self, column: pa.Array) -> tuple[list[str | None], np.ndarray]:
