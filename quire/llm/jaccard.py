@@ -4,7 +4,7 @@ Two sets that are similar enough differ in at most d elements, where d follows f
 into bands of similar size; in a band whose largest sets differ by at most d, the hash space is cut into more
 than d tiles, so that similar sets agree wholly in at least one tile that is not empty. The hash of a tile's
 content is its signature: documents that share one are candidates, and no link is lost. Candidates are held
-against each other by a 512-bit bitmap of their shingles, whose differing bits bound the overlap from above,
+against each other by a 4096-bit bitmap of their shingles, whose differing bits bound the overlap from above,
 and what passes by the exact intersection of the shingle arrays.
 """
 
@@ -22,7 +22,7 @@ from quire.llm import columns as C
 from quire.plans.components import connected_components
 from quire.plans.storage import discard, materialize, read_back, write_work
 
-BITS = 512
+BITS = 4096
 #: Sets that a task remembers so as to send equal ones only once; beyond it the memory starts anew, which costs
 #: some more rows and loses nothing.
 REMEMBERED = 200_000
