@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def workspace(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
@@ -29,10 +33,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def write_work(df: DataFrame, name: str = "table") -> str:
     """Write df to a fresh folder of the workspace; returns its path."""
     path = f"{workspace(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return path
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes an execution's shuffle files when it ends: what was written is all that is read later.
+
+    Otherwise they stay until the driver collects its garbage, and a job of many steps fills the disks.
+    """
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+
+
 def read_back(df: DataFrame, path: str) -> DataFrame:
     """Read what write_work wrote, with df's schema and so without a job that infers it."""
     return df.sparkSession.read.schema(df.schema).parquet(path)
