@@ -249,14 +249,19 @@ def _side(profiles: DataFrame, name: str, *cols: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (x, y) those that link."""
-    close = (
+    """Of the pairs (x, y) those that link. The pairs that their bitmaps allow are written first, so that only the
+    shingle arrays of their documents travel."""
+    close = materialize(
         pairs.join(_side(profiles, "x", "n", "bits"), "x")
         .join(_side(profiles, "y", "n", "bits"), "y")
         .where(_may_link(num, den))
-        .select("x", "y", "x_n", "y_n")
+        .select("x", "y", "x_n", "y_n"),
+        "close",
     )
-    full = close.join(_side(profiles, "y", "grams"), "y").join(_side(profiles, "x", "grams"), "x")
+    needed = materialize(close.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "needed")
+    few = needed.count() <= BROADCAST_ROWS
+    arrays = profiles.select("doc", "grams").join(F.broadcast(needed) if few else needed, "doc", "left_semi")
+    full = close.join(_side(arrays, "y", "grams"), "y").join(_side(arrays, "x", "grams"), "x")
     shared = F.size(F.array_intersect("x_grams", "y_grams"))
     return full.where(F.lit(den) * shared >= F.lit(num) * (F.col("x_n") + F.col("y_n") - shared)).select("x", "y")
 
