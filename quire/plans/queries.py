@@ -240,6 +240,15 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(_edges(spark, sf_dir).where("relation_type = 'A' and confidence = 1.0"))
 
 
+# graph_components is the certain A-edges alone, as far as its SQL goes; this is R06 over the whole graph.
+@query(f"""WITH RECURSIVE {_EDGES}, w AS MATERIALIZED (SELECT source_id AS u, target_id AS v FROM e UNION SELECT target_id, source_id FROM e),
+b(node, component) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM w GROUP BY u
+  UNION SELECT w.v, min(b.component) FROM b JOIN w ON b.node = w.u JOIN recurring.b AS k ON k.node = w.v WHERE b.component < k.component GROUP BY w.v)
+SELECT node, component FROM b""")
+def graph_components_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(_edges(spark, sf_dir))
+
+
 @query(f"""WITH {_EDGES}, t AS (SELECT unnest([source_id, target_id]) AS node_id FROM e),
 g AS (SELECT node_id, count(*) AS d FROM t GROUP BY ALL), r AS (SELECT d, row_number() OVER (ORDER BY d) AS i, count(*) OVER () AS n FROM g)
 SELECT round(avg(d), 4) AS mean_degree, min(CASE WHEN i = n // 2 + 1 THEN d END) AS median_degree, max(d) AS max_degree, min(d) AS min_degree FROM r""")
