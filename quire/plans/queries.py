@@ -56,6 +56,45 @@ def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _whole_words(phrase: str) -> str:
+    """A phrase in any ASCII case between non-letters: the same to Java and RE2, whose \\b and (?i) differ on accented letters."""
+    return r"(?:^|[^\p{L}\p{M}\p{N}_])" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in phrase) + r"(?:[^\p{L}\p{M}\p{N}_]|\z)"
+
+
+CLAIM_WORDS = [(t, _whole_words(p.removeprefix("(?i)\\b").removesuffix("\\b"))) for t, p in CLAIMS]
+
+
+def _matches(kind: str) -> str:
+    return " + ".join(f"CAST(regexp_matches(sentence, '{p}') AS INT)" for t, p in CLAIM_WORDS if t == kind)
+
+
+# claim_counts and dictionary_entities read English alone, as far as their SQL goes; these two read every document.
+@query(
+    "WITH " + _SENTENCES + f""",
+c AS (SELECT source, sentence, {_matches("addition")} AS a, {_matches("relation")} AS r, {_matches("identity")} AS i FROM s),
+h AS (SELECT source, 'addition' AS claim_type, a AS n, a + r + i AS t FROM c WHERE a > 0 UNION ALL
+  SELECT source, 'relation', r, a + r + i FROM c WHERE r > 0 UNION ALL SELECT source, 'identity', i, a + r + i FROM c WHERE i > 0)
+SELECT source, claim_type, count(*) AS n_claims, CAST(sum(n) AS BIGINT) AS n_matches,
+  round(avg(CASE WHEN t >= 2 THEN 0.8 ELSE 0.6 END), 4) AS avg_confidence FROM h GROUP BY ALL"""
+)
+def claim_counts_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    claims = D.detect_claims(D.sentence_table(docs), CLAIM_WORDS)
+    return claims.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "claim_type").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.sum("n_patterns").alias("n_matches"), F.round(F.avg("confidence"), 4).alias("avg_confidence")
+    )
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}]+')) AS term FROM documents),
+lex(term, label) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in LEXICON) + """)
+SELECT doc_id, term AS text, label, count(*) AS n_mentions FROM t JOIN lex USING (term) GROUP BY ALL"""
+)
+def dictionary_entities_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.createDataFrame(LEXICON, "term string, label string")
+    return D.find_entities(_table(spark, sf_dir, "documents"), lexicon, r"[\p{L}\p{M}]+")
+
+
 @query(
     """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents)
 SELECT doc_id, sha256, doc_id > min(doc_id) OVER (PARTITION BY sha256) AS is_duplicate, count(*) OVER (PARTITION BY sha256) AS n_copies FROM h"""

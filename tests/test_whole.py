@@ -1,6 +1,8 @@
 """Queries that go over whole tables, against brute force on small fixtures."""
 
-import pytest
+import re
+import unicodedata
+from collections import Counter
 
 from quire.plans import queries
 
@@ -28,3 +30,40 @@ def test_components_take_every_edge(spark, tmp_path):
     expected = _union_find((f"d{a}", f"c{b}") for a, b, _, _ in lines)
     assert len(got) == len(expected) and {tuple(r) for r in got} == set(expected.items())
     assert len(set(expected.values())) == 3
+
+
+TEXTS = [
+    (1, "en", "a", "He and the dog. The end of the day is the best.\nAnd a cat"),
+    (2, "fr", "a", "Été and the nuit. éand the non. And thé non. With Thé Theé"),
+    (3, "de", "b", "The Mädchen in the Garten, This und That. Äin the Haus"),
+    (4, None, "b", "The_x is the. ısland Is The"),
+    (5, "es", "b", "The\u0301 and a\u0301"),
+    (6, "es", "c", ""),
+    (7, "es", "c", None),
+]
+
+
+def _texts(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def _word(c):
+    return c == "_" or unicodedata.category(c)[0] in "LMN"
+
+
+def test_claims_in_every_language(spark, tmp_path):
+    expected = Counter()
+    for _, _, source, text in TEXTS:
+        for sentence in re.split(r"(?<=[.!?])\s+|\n+", text or ""):
+            for kind, phrase in (("addition", "and the"), ("addition", "and a"), ("relation", "of the"), ("relation", "in the"), ("identity", "is the")):
+                at = [m.start() for m in re.finditer(f"(?i)(?a:{phrase})", sentence)]
+                if any(not _word((" " + sentence)[i]) and not _word((sentence + " ")[i + len(phrase)]) for i in at):
+                    expected[source, kind] += 1
+    got = {(r.source, r.claim_type): r.n_matches for r in queries.claim_counts_all_languages(spark, _texts(spark, tmp_path)).collect()}
+    assert got == dict(expected) and ("a", "addition") in got and ("b", "relation") in got
+
+
+def test_entities_in_every_language(spark, tmp_path):
+    got = {(r.doc_id, r.text, r.n_mentions) for r in queries.dictionary_entities_all_languages(spark, _texts(spark, tmp_path)).collect()}
+    assert got == {(1, "The", 1), (1, "And", 1), (2, "And", 1), (2, "With", 1), (3, "The", 1), (3, "This", 1), (3, "That", 1), (4, "The", 2)}
