@@ -84,7 +84,11 @@ def scan_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST)
         F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("dir"),
     )
     headed = keyed.join(own, ["path", "key"], "left")
-    headed = materialize(headed, "headers")
+    return _inherit(materialize(headed, "headers"))
+
+
+def _inherit(headed: DataFrame) -> DataFrame:
+    """Files (path, dir, is_license_file, license, similarity) with what the directories above them give."""
     given = (
         headed.where("is_license_file and license is not null")
         .groupBy("dir")
@@ -128,6 +132,134 @@ def _own(rows: DataFrame, templates: DataFrame, least: float) -> DataFrame:
     )
 
 
+# Fixed values: (license, a term that no text of it lacks, words); notices, SPDX tags, titles and sentences of the licenses' own texts.
+_NAMED = {
+    "MIT": "mit", "Apache-2.0": "apache", "GPL-2.0": "gpl", "GPL-3.0": "gpl", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "MPL-2.0": "mpl",
+    "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "ISC": "isc", "CC0-1.0": "cc0", "CC-BY-4.0": "cc", "CC-BY-SA-4.0": "cc", "CC-BY-NC-4.0": "cc",
+    "CC-BY-ND-4.0": "cc", "CC-BY-NC-SA-4.0": "cc", "CC-BY-NC-ND-4.0": "cc",
+}
+_KEYS = {"Apache-2.0": "apache", "MIT": "mit", "MPL-2.0": "mozilla", "BSD-3-Clause": "bsd", "CC0-1.0": "cc0"}
+_GNU = [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]
+_CC = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+FORMS = (
+    [(a, _KEYS.get(a, "cc" if a[:2] == "CC" else "gnu"), t) for a, t in TEMPLATES]
+    + [(a, k, f"SPDX-License-Identifier: {a}") for a, k in _NAMED.items()]
+    + [(a, "gnu", f"GNU {m}General Public License{v}") for a, m, n in _GNU for v in (f" version {n}", f" v{n}", f" as published by the Free Software Foundation, either version {n} of the License")]
+    + [("GPL", "gnu", "GNU General Public License"), ("LGPL", "gnu", "GNU Lesser General Public License"), ("AGPL", "gnu", "GNU Affero General Public License")]
+    + [(f"CC-{a}-4.0", "cc", f"CC {a} 4.0") for a, _ in _CC]
+    + [(f"CC-{a}-4.0", "attribution", f"Creative Commons {t} 4.0 International") for a, t in _CC]
+    + [
+        ("CC0-1.0", "cc0", "CC0 1.0 Universal"),
+        ("MIT", "mit", "MIT License"),
+        ("MIT", "mit", "The MIT License (MIT)"),
+        ("MIT", "hereby", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        ("Apache-2.0", "apache", "Apache License"),
+        ("Apache-2.0", "apache", "Apache License 2.0"),
+        ("Apache-2.0", "apache", "Apache License Version 2.0, January 2004"),
+        ("Apache-2.0", "applicable", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+        ("MPL-2.0", "mozilla", "Mozilla Public License Version 2.0"),
+        ("MPL-2.0", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+        ("GPL-2.0", "gnu", "GNU General Public License Version 2, June 1991"),
+        ("GPL-3.0", "gnu", "GNU General Public License Version 3, 29 June 2007"),
+        ("GPL-3.0", "copyleft", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+        ("LGPL-3.0", "gnu", "GNU Lesser General Public License Version 3, 29 June 2007"),
+        ("AGPL-3.0", "gnu", "GNU Affero General Public License Version 3, 19 November 2007"),
+        ("BSD-2-Clause", "bsd", "BSD 2-Clause License"),
+        ("BSD-3-Clause", "bsd", "BSD 3-Clause License"),
+        ("BSD-2-Clause", "redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+        ("BSD-3-Clause", "endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+        ("ISC", "isc", "ISC License"),
+        ("ISC", "permission", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
+    ]
+)
+GATE = r"(?i)licen[cs]e|copyright|spdx|redistribut|hereby\s+granted|creative\s+commons|\bcc0\b|\bcc[ -]by\b"
+CLOSE = 0.9
+
+
+def _weighed_forms(forms: DataFrame) -> DataFrame:
+    """forms with offset (of the key), words (count), weights (term -> tf * idf), norm, and every term's idf as one map."""
+    split = forms.select("license", "term", _terms(F.col("template")).alias("body")).distinct()
+    every = split.agg(F.collect_list("body").alias("bodies"))
+    idf = F.expr(
+        "map_from_entries(transform(array_distinct(flatten(bodies)), t -> struct(t, ln((1D + size(bodies)) / (1 + size(filter(bodies, b -> array_contains(b, t))))) + 1)))"
+    )
+    every = every.select(idf.alias("idf"), (F.log(1.0 + F.size("bodies")) + 1).alias("unknown"))
+    return split.crossJoin(F.broadcast(every)).select(
+        "license", "term", "body", "idf", "unknown", F.size("body").alias("words"), (F.array_position("body", F.col("term")) - 1).cast("int").alias("offset"), F.sqrt(_square(F.col("body"))).alias("norm")
+    )
+
+
+def _square(body: Column) -> Column:
+    """Squared length of an array's TF-IDF vector: a term that comes n times adds n times n * idf^2."""
+    weight = lambda t: F.coalesce(F.try_element_at("idf", t), "unknown")
+    return F.aggregate(body, F.lit(0.0), lambda s, t: s + F.size(F.filter(body, lambda x: x == t)) * weight(t) * weight(t))
+
+
+def match_texts(texts: DataFrame, forms: DataFrame, least: float = LEAST) -> DataFrame:
+    """key, license, similarity and share of each text that a form reaches, the best one of each.
+
+    texts: (key, text), each key once; forms: (license, term, template), term being one of the template's. Around
+    each place of a form's term in the text, the window of as many words as the form is compared with it, wherever
+    lines end: TF-IDF cosine, weights over the forms (ln((1 + n) / (1 + df)) + 1). First come windows of CLOSE
+    or more, then those of the most common weight (similarity times the form's length), then licenses by name.
+    share is the window's part of the text's words.
+    """
+    known = _weighed_forms(forms)
+    far = forms.select(F.size(_terms(F.col("template"))).alias("n")).agg(F.max("n").alias("far"), F.lit(0).alias("_")).drop("_")
+    keys = forms.agg(F.collect_set("term").alias("keys")).crossJoin(far)
+    terms = _terms(F.regexp_replace("text", "(?i)licence", "license"))
+    near = F.expr(
+        "transform(filter(sequence(0, size(terms) - 1), i -> array_contains(keys, terms[i])), "
+        "i -> struct(terms[i] AS term, least(i, far) AS at, slice(terms, greatest(i - far, 0) + 1, 2 * far + 1) AS near))"
+    )
+    places = (
+        texts.where(F.col("text").rlike(GATE))
+        .select("key", terms.alias("terms"))
+        .where(F.size("terms") > 0)
+        .crossJoin(F.broadcast(keys))
+        .select("key", F.size("terms").alias("n_terms"), F.explode(near).alias("place"))
+        .select("key", "n_terms", "place.*")
+    )
+    start = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
+    end = F.least(F.col("at") - F.col("offset") + F.col("words"), F.size("near"))
+    windows = places.join(F.broadcast(known), "term").withColumn("window", F.slice("near", start + 1, end - start))
+    weight = lambda t: F.coalesce(F.try_element_at("idf", t), "unknown")
+    common = F.aggregate("body", F.lit(0.0), lambda s, t: s + F.size(F.filter("window", lambda x: x == t)) * weight(t) * weight(t))
+    scored = windows.withColumn("similarity", F.round(common / F.sqrt(_square(F.col("window"))) / F.col("norm"), 6)).where(F.col("similarity") >= least)
+    rank = F.struct(
+        (F.col("similarity") < CLOSE).alias("loose"), F.round(-F.col("similarity") * F.col("norm"), 6).alias("s"), "license", (-F.col("similarity")).alias("c"), (-F.size("window") / F.col("n_terms")).alias("share")
+    )
+    best = scored.groupBy("key").agg(F.min(rank).alias("best"))
+    return best.select("key", "best.license", (-F.col("best.c")).alias("similarity"), (-F.col("best.share")).alias("share"))
+
+
+def scan_license_texts(files: DataFrame, forms: DataFrame, least: float = LEAST) -> DataFrame:
+    """As scan_licenses, but each file's whole text is compared with forms (license, term, template) by match_texts.
+
+    files: (path, text, is_license_file). Equal texts are compared once.
+    """
+    keyed = files.select(
+        "path", F.coalesce("is_license_file", F.lit(False)).alias("is_license_file"), F.sha2("text", 256).alias("key"), _directory().alias("dir"),
+    )
+    found = match_texts(_gated(files), forms, least)
+    headed = keyed.join(found.select("key", "license", "similarity"), "key", "left").withColumn("license", F.expr("if(path is null, null, license)"))
+    return _inherit(materialize(headed, "headers"))
+
+
+def _gated(files: DataFrame) -> DataFrame:
+    """(key, text) of the texts that may hold a form, each once."""
+    return files.where(F.col("text").rlike(GATE)).select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+
+
+def _directory() -> Column:
+    return F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)")
+
+
+def form_table(spark: SparkSession) -> DataFrame:
+    """The forms as a DataFrame (license, term, template)."""
+    return spark.createDataFrame(FORMS, "license string, term string, template string")
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     """The templates as a DataFrame (license, template)."""
     return spark.createDataFrame(TEMPLATES, "license string, template string")
@@ -146,6 +278,15 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "similarity", "origin", "source_path")
 
 
+def op2_licenses_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_licenses, with every form of FORMS wherever it stands in a text; beyond SQL, tests hold it against known texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.expr("concat_ws('/', coalesce(source, ''), doc_id div 1000, doc_id div 100, doc_id)")
+    short = F.length("text") < 400
+    found = scan_license_texts(docs.select(path.alias("path"), "text", short.alias("is_license_file")), form_table(spark))
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "similarity", "origin", "source_path")
+
+
 OP2_SQL = (
     "WITH tpl(license, template) AS (VALUES "
     + ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.llm.decontaminate import OP3_SQL, op3_decontaminate
 from quire.llm.jaccard import OP6_SQL, op6_jaccard
 from quire.llm.language import op4_language
-from quire.llm.licenses import OP2_SQL, op2_licenses
+from quire.llm.licenses import OP2_SQL, op2_licenses, op2_licenses_all_forms
 from quire.llm.pieces import op7_sentencepiece, op9_token_counts
 from quire.llm.quality import op1_quality
 from quire.llm.rules import OP8_SQL, op8_rules
@@ -17,6 +17,7 @@ QUERIES = {
     for f in (
         op1_quality,
         op2_licenses,
+        op2_licenses_all_forms,
         op3_decontaminate,
         op4_language,
         op5_urls,
