@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +149,7 @@ FORMS = (
     + [(a, "gnu", f"GNU {m}General Public License{v}") for a, m, n in _GNU for v in (f" version {n}", f" v{n}", f" as published by the Free Software Foundation, either version {n} of the License")]
     + [("GPL", "gnu", "GNU General Public License"), ("LGPL", "gnu", "GNU Lesser General Public License"), ("AGPL", "gnu", "GNU Affero General Public License")]
     + [(f"CC-{a}-4.0", "cc", f"CC {a} 4.0") for a, _ in _CC]
-    + [(f"CC-{a}-4.0", "attribution", f"Creative Commons {t} 4.0 International") for a, t in _CC]
+    + [(f"CC-{a}-4.0", "attribution", f"{c}{t} 4.0 International") for a, t in _CC for c in ("", "Creative Commons ")]
     + [
         ("CC0-1.0", "cc0", "CC0 1.0 Universal"),
         ("MIT", "mit", "MIT License"),
@@ -172,20 +174,24 @@ FORMS = (
         ("ISC", "permission", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
     ]
 )
+_NOTICE = re.compile(r"Licensed|Released|This |SPDX|.* as published by|Unless|Permission|Redistribution|Neither|CC ")
 GATE = r"(?i)licen[cs]e|copyright|spdx|redistribut|hereby\s+granted|creative\s+commons|\bcc0\b|\bcc[ -]by\b"
 CLOSE = 0.9
+#: A text is a license file if its form is this part of its words (the short licenses' own sentences are), or if a title
+#: is its first word or its second: notices and SPDX tags, which open any source file, are no titles.
+SHARE, OPENING = 0.1, 2
 
 
 def _weighed_forms(forms: DataFrame) -> DataFrame:
     """forms with offset (of the key), words (count), weights (term -> tf * idf), norm, and every term's idf as one map."""
-    split = forms.select("license", "term", _terms(F.col("template")).alias("body")).distinct()
+    split = forms.groupBy("license", "term", _terms(F.col("template")).alias("body")).agg(F.max("title").alias("title"))
     every = split.agg(F.collect_list("body").alias("bodies"))
     idf = F.expr(
         "map_from_entries(transform(array_distinct(flatten(bodies)), t -> struct(t, ln((1D + size(bodies)) / (1 + size(filter(bodies, b -> array_contains(b, t))))) + 1)))"
     )
     every = every.select(idf.alias("idf"), (F.log(1.0 + F.size("bodies")) + 1).alias("unknown"))
     return split.crossJoin(F.broadcast(every)).select(
-        "license", "term", "body", "idf", "unknown", F.size("body").alias("words"), (F.array_position("body", F.col("term")) - 1).cast("int").alias("offset"), F.sqrt(_square(F.col("body"))).alias("norm")
+        "license", "term", "title", "body", "idf", "unknown", F.size("body").alias("words"), (F.array_position("body", F.col("term")) - 1).cast("int").alias("offset"), F.sqrt(_square(F.col("body"))).alias("norm")
     )
 
 
@@ -196,13 +202,14 @@ def _square(body: Column) -> Column:
 
 
 def match_texts(texts: DataFrame, forms: DataFrame, least: float = LEAST) -> DataFrame:
-    """key, license, similarity and share of each text that a form reaches, the best one of each.
+    """key, license, similarity, share and opens of each text that a form reaches, the best one of each.
 
-    texts: (key, text), each key once; forms: (license, term, template), term being one of the template's. Around
+    texts: (key, text), each key once; forms: (license, term, template, title), term being one of the template's. Around
     each place of a form's term in the text, the window of as many words as the form is compared with it, wherever
     lines end: TF-IDF cosine, weights over the forms (ln((1 + n) / (1 + df)) + 1). First come windows of CLOSE
-    or more, then those of the most common weight (similarity times the form's length), then licenses by name.
-    share is the window's part of the text's words.
+    or more, then those of the most common weight (similarity times the form's length), then the most similar, then licenses by name.
+    share is the window's part of the text's words; opens says that a CLOSE title of the same license begins
+    among the first OPENING words.
     """
     known = _weighed_forms(forms)
     far = forms.select(F.size(_terms(F.col("template"))).alias("n")).agg(F.max("n").alias("far"), F.lit(0).alias("_")).drop("_")
@@ -210,7 +217,7 @@ def match_texts(texts: DataFrame, forms: DataFrame, least: float = LEAST) -> Dat
     terms = _terms(F.regexp_replace("text", "(?i)licence", "license"))
     near = F.expr(
         "transform(filter(sequence(0, size(terms) - 1), i -> array_contains(keys, terms[i])), "
-        "i -> struct(terms[i] AS term, least(i, far) AS at, slice(terms, greatest(i - far, 0) + 1, 2 * far + 1) AS near))"
+        "i -> struct(i AS nth, terms[i] AS term, least(i, far) AS at, slice(terms, greatest(i - far, 0) + 1, 2 * far + 1) AS near))"
     )
     places = (
         texts.where(F.col("text").rlike(GATE))
@@ -225,24 +232,35 @@ def match_texts(texts: DataFrame, forms: DataFrame, least: float = LEAST) -> Dat
     windows = places.join(F.broadcast(known), "term").withColumn("window", F.slice("near", start + 1, end - start))
     weight = lambda t: F.coalesce(F.try_element_at("idf", t), "unknown")
     common = F.aggregate("body", F.lit(0.0), lambda s, t: s + F.size(F.filter("window", lambda x: x == t)) * weight(t) * weight(t))
-    scored = windows.withColumn("similarity", F.round(common / F.sqrt(_square(F.col("window"))) / F.col("norm"), 6)).where(F.col("similarity") >= least)
+    scored = windows.withColumn("matched", common / F.sqrt(_square(F.col("window"))))
+    scored = scored.withColumn("similarity", F.round(F.col("matched") / F.col("norm"), 6)).where(F.col("similarity") >= least)
     rank = F.struct(
-        (F.col("similarity") < CLOSE).alias("loose"), F.round(-F.col("similarity") * F.col("norm"), 6).alias("s"), "license", (-F.col("similarity")).alias("c"), (-F.size("window") / F.col("n_terms")).alias("share")
+        (F.col("similarity") < CLOSE).alias("loose"), (-F.round("matched", 6)).alias("s"), (-F.col("similarity")).alias("c"), "license", (-F.size("window") / F.col("n_terms")).alias("share")
+    )
+    opening = F.when((F.col("nth") - F.col("offset") < OPENING) & F.col("title") & (F.col("similarity") >= CLOSE), F.col("license"))
+    best = scored.groupBy("key").agg(F.min(rank).alias("best"), F.collect_set(opening).alias("opening"))
+    return best.select(
+        "key", "best.license", (-F.col("best.c")).alias("similarity"), (-F.col("best.share")).alias("share"), F.array_contains("opening", F.col("best.license")).alias("opens")
     )
-    best = scored.groupBy("key").agg(F.min(rank).alias("best"))
-    return best.select("key", "best.license", (-F.col("best.c")).alias("similarity"), (-F.col("best.share")).alias("share"))
 
 
 def scan_license_texts(files: DataFrame, forms: DataFrame, least: float = LEAST) -> DataFrame:
-    """As scan_licenses, but each file's whole text is compared with forms (license, term, template) by match_texts.
+    """As scan_licenses, but each file's whole text is compared with forms (license, term, template, title) by match_texts.
 
-    files: (path, text, is_license_file). Equal texts are compared once.
+    files: (path, text) and optionally is_license_file; without it, or where it is null, a text is a license file
+    if SHARE of its words are the license's form, or if it opens with its title, however long it is. Equal texts
+    are compared once.
     """
-    keyed = files.select(
-        "path", F.coalesce("is_license_file", F.lit(False)).alias("is_license_file"), F.sha2("text", 256).alias("key"), _directory().alias("dir"),
-    )
+    given = F.col("is_license_file") if "is_license_file" in files.columns else F.lit(None).cast("boolean")
+    keyed = files.select("path", given.alias("given"), F.sha2("text", 256).alias("key"), _directory().alias("dir"))
     found = match_texts(_gated(files), forms, least)
-    headed = keyed.join(found.select("key", "license", "similarity"), "key", "left").withColumn("license", F.expr("if(path is null, null, license)"))
+    headed = keyed.join(found, "key", "left").select(
+        "path",
+        F.coalesce("given", (F.col("share") >= SHARE) | F.col("opens"), F.lit(False)).alias("is_license_file"),
+        "dir",
+        F.when(F.col("path").isNotNull(), F.col("license")).alias("license"),
+        "similarity",
+    )
     return _inherit(materialize(headed, "headers"))
 
 
@@ -256,8 +274,9 @@ def _directory() -> Column:
 
 
 def form_table(spark: SparkSession) -> DataFrame:
-    """The forms as a DataFrame (license, term, template)."""
-    return spark.createDataFrame(FORMS, "license string, term string, template string")
+    """The forms as a DataFrame (license, term, template, title)."""
+    rows = [(a, k, t, not _NOTICE.match(t)) for a, k, t in FORMS]
+    return spark.createDataFrame(rows, "license string, term string, template string, title boolean")
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -279,11 +298,14 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op2_licenses, with every form of FORMS wherever it stands in a text; beyond SQL, tests hold it against known texts."""
+    """As op2_licenses, with every form of FORMS wherever it stands in a text; beyond SQL, tests hold it against known texts.
+
+    Paths differ in depth: a third of the documents lie at source/i, a third at source/(i div 1000)/i and a third
+    at source/(i div 1000)/(i div 100)/i; what is a license file, the texts decide.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.expr("concat_ws('/', coalesce(source, ''), doc_id div 1000, doc_id div 100, doc_id)")
-    short = F.length("text") < 400
-    found = scan_license_texts(docs.select(path.alias("path"), "text", short.alias("is_license_file")), form_table(spark))
+    path = F.expr("concat_ws('/', coalesce(source, ''), if(doc_id % 3 >= 1, doc_id div 1000, null), if(doc_id % 3 = 2, doc_id div 100, null), doc_id)")
+    found = scan_license_texts(docs.select(path.alias("path"), "text"), form_table(spark))
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "similarity", "origin", "source_path")
 
 

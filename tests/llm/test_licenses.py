@@ -32,3 +32,33 @@ def test_forms(spark):
     table = spark.createDataFrame([*files, (None, "Apache License", True)], "path string, text string, is_license_file boolean")
     got = {r.path: r.license for r in licenses.scan_license_texts(table, licenses.form_table(spark)).collect()}
     assert got == {p: FOUND.get(t) for p, t, _ in files} | {None: None}
+
+
+BODY = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction. " + "The above notice shall be included in all copies. " * 20
+
+
+def test_inheritance_over_levels(spark):
+    """A license file of any length gives its license two levels down; the nearest one counts."""
+    files = [
+        ("top/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + BODY),
+        ("top/a/b/x", "plain text"),
+        ("top/a/y", None),
+        ("top/c/LICENSE", "Apache License\nVersion 2.0, January 2004\n" + "Terms and conditions for use and distribution. " * 400),
+        ("top/c/d/e/z", "plain text"),
+        ("other/long", "plain words of an essay go on and on. " * 100 + "Released under the MIT License."),
+        ("other/header", "# Licensed under the Apache License, Version 2.0\n" + "x = y + 1\n" * 100),
+        ("other/q/r", "plain text"),
+    ]
+    got = {r.path: (r.license, r.origin, r.source_path) for r in licenses.scan_license_texts(spark.createDataFrame(files, "path string, text string"), licenses.form_table(spark)).collect()}
+    assert got["top/a/b/x"] == got["top/a/y"] == ("MIT", "inherited", "top/LICENSE")
+    assert got["top/c/d/e/z"] == ("Apache-2.0", "inherited", "top/c/LICENSE")
+    assert got["other/header"] == ("Apache-2.0", "header", "other/header")
+    assert got["other/long"] == ("MIT", "header", "other/long") and got["other/q/r"] == (None, "none", None)
+
+
+def test_query_has_levels(spark, tmp_path):
+    """A document two levels below a license file inherits it."""
+    rows = [(3, "MIT License\n" + BODY, "s"), (5, "plain text", "s"), (4, "plain text", "s"), (8, "plain text", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.path, r.license, r.source_path) for r in licenses.op2_licenses_all_forms(spark, str(tmp_path)).collect()}
+    assert got == {3: ("s/3", "MIT", "s/3"), 5: ("s/0/0/5", "MIT", "s/3"), 4: ("s/0/4", "MIT", "s/3"), 8: ("t/0/0/8", None, None)}
