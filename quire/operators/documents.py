@@ -53,6 +53,51 @@ def detect_claims(sentences: DataFrame, patterns: list[tuple[str, str]]) -> Data
     ).select("doc_id", "position", "hit.claim_type", F.col("hit.n_patterns").cast("long").alias("n_patterns"), "confidence")
 
 
+#: The claim types, each with its regular expressions, in the order that numbers claims.
+CLAIM_PATTERNS = {
+    "statistical": [r"p\s*[<>≤≥=]\s*0\.\d+", r"\d+%\s*CI", r"statistically\s+significant", r"effect\s+size", r"odds\s+ratio", r"hazard\s+ratio", r"confidence\s+interval"],
+    "causal": [r"(?:causes?|caused)\s+", r"leads?\s+to", r"results?\s+in", r"due\s+to", r"associated\s+with"],
+    "comparative": [r"outperforms?", r"(?:better|worse|superior|inferior)\s+(?:than|to)", r"state[- ]of[- ]the[- ]art", r"improvement\s+(?:of|over)"],
+    "methodological": [r"we\s+(?:propose|introduce|present|develop)", r"novel\s+(?:approach|method|framework)", r"our\s+(?:approach|method|contribution)"],
+    "existence": [r"we\s+(?:find|found|observe|show|demonstrate)", r"results?\s+(?:show|indicate|suggest|demonstrate)", r"(?:analysis|experiment)\s+(?:shows?|reveals?)"],
+    "negation": [r"no\s+significant\s+(?:difference|effect|improvement)", r"(?:failed?|unable)\s+to", r"did\s+not\s+(?:find|observe|show)", r"no\s+(?:evidence|support)\s+for"],
+}
+#: Confidence of a single match by section; 0.5 in any other, no claim at 0.
+SECTION_PRIORS = {
+    "results": 0.7, "discussion": 0.7, "methodology": 0.65, "conclusion": 0.65, "limitations": 0.65, "future_work": 0.5,
+    "introduction": 0.4, "related_work": 0.4, "other": 0.5, "acknowledgments": 0.0, "appendix": 0.0,
+}
+
+
+def section_claims(sentences: DataFrame) -> DataFrame:
+    """(doc_id, claim_id, position, claim_type, matched_patterns, confidence): CLAIM_PATTERNS with SECTION_PRIORS.
+
+    sentences: (doc_id, position, sentence, label), label being the section's. Two or more matches over all types
+    give 0.8 but in sections of prior 0, which give no claims. claim_id counts a document's claims, clm_001 on.
+    """
+    stripped = F.regexp_replace("sentence", r"(?U)^\s+|\s+$", "")
+    typed = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("nth"),
+                F.lit(t).alias("claim_type"),
+                F.array_compact(F.array(*[F.when(F.col("stripped").rlike("(?iU)" + p), F.lit(p)) for p in ps])).alias("matched_patterns"),
+            )
+            for k, (t, ps) in enumerate(CLAIM_PATTERNS.items())
+        ]
+    )
+    prior = F.coalesce(F.create_map(*[F.lit(x) for kv in SECTION_PRIORS.items() for x in kv])[F.col("label")], F.lit(0.5))
+    hits = (
+        sentences.select("doc_id", "position", stripped.alias("stripped"), prior.alias("prior"))
+        .where("prior > 0")
+        .select("doc_id", "position", "prior", F.filter(typed, lambda x: F.size(x["matched_patterns"]) > 0).alias("hits"))
+    )
+    total = F.aggregate("hits", F.lit(0), lambda n, x: n + F.size(x["matched_patterns"]))
+    claims = hits.select("doc_id", "position", F.when(total >= 2, 0.8).otherwise(F.col("prior")).alias("confidence"), F.explode("hits").alias("hit"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "hit.nth"))
+    return claims.select("doc_id", F.format_string("clm_%03d", nth).alias("claim_id"), "position", "hit.claim_type", "hit.matched_patterns", "confidence")
+
+
 def find_entities(docs: DataFrame, lexicon: DataFrame, token: str = r"[A-Za-z]+") -> DataFrame:
     """(doc_id, text, label, n_mentions) of single-token lexicon entries (term, label), by an equi join on tokens."""
     tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("term"))

@@ -4,6 +4,7 @@ import re
 import unicodedata
 from collections import Counter
 
+from quire.operators import documents
 from quire.plans import queries
 
 
@@ -67,3 +68,26 @@ def test_claims_in_every_language(spark, tmp_path):
 def test_entities_in_every_language(spark, tmp_path):
     got = {(r.doc_id, r.text, r.n_mentions) for r in queries.dictionary_entities_all_languages(spark, _texts(spark, tmp_path)).collect()}
     assert got == {(1, "The", 1), (1, "And", 1), (2, "And", 1), (2, "With", 1), (3, "The", 1), (3, "This", 1), (3, "That", 1), (4, "The", 2)}
+
+
+def test_section_claims(spark):
+    rows = [
+        (1, 0, "It was statistically  significant (P < 0.05).", "results"),
+        (1, 1, "This leads to rain", "introduction"),
+        (1, 2, "We found no evidence for it, due to chance", "other"),
+        (1, 3, "This leads to thanks, p = 0.1", "acknowledgments"),
+        (1, 4, "Nothing here is caused ", "results"),
+        (2, 0, "Our\u00a0method failed to help", "appendix"),
+        (2, 1, "Our\u00a0method", None),
+        (2, 2, None, "results"),
+    ]
+    got = documents.section_claims(spark.createDataFrame(rows, "doc_id int, position int, sentence string, label string")).collect()
+    assert sorted((r.doc_id, r.claim_id, r.position, r.claim_type, len(r.matched_patterns), r.confidence) for r in got) == [
+        (1, "clm_001", 0, "statistical", 2, 0.8),
+        (1, "clm_002", 1, "causal", 1, 0.4),
+        (1, "clm_003", 2, "causal", 1, 0.8),
+        (1, "clm_004", 2, "existence", 1, 0.8),
+        (1, "clm_005", 2, "negation", 1, 0.8),
+        (2, "clm_001", 1, "methodological", 1, 0.5),
+    ]
+    assert sum(map(len, documents.CLAIM_PATTERNS.values())) == 26
