@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.plans.storage import discard, read_back, write_work
@@ -28,10 +28,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     current = (
         pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    path = write_work(current, "edges")
     shape = current
+    path, mark = _written(current)
     current = read_back(shape, path)
-    mark = _fingerprint(current)
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
@@ -47,9 +46,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("u <> v")
             .distinct()
         )
-        new_path = write_work(step, "edges")
+        new_path, new_mark = _written(step)
         current = read_back(shape, new_path)
-        new_mark = _fingerprint(current)
         discard(spark, path)
         path = new_path
         if new_mark == mark:
@@ -64,9 +62,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
 
 
-def _fingerprint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row.n, int(row.h or 0)
+def _written(edges: DataFrame) -> tuple[str, tuple[int, int]]:
+    """Where edges were written, and their count with a sum of hashes, observed on the way."""
+    seen = Observation()
+    path = write_work(
+        edges.observe(
+            seen,
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
+        ),
+        "edges",
+    )
+    return path, (seen.get["n"], int(seen.get["h"] or 0))

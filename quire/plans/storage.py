@@ -15,11 +15,13 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def workspace(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is taken
-    and remembered for the session.
+    Only where that setting is absent and Spark runs on this machine alone (tests, a laptop) a temporary folder
+    is taken and remembered for the session; a cluster without the setting is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.quire.workspace", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.quire.workspace", base)
     return base.rstrip("/")
