@@ -16,8 +16,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     get a score like any text, repeated rows stand or fall together.
     """
     labels = quality.learning_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 5, 0)
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
-    model = quality.fit_quality(materialize(quality.statistics_table(labelled), "stats"), labels)
+    model = quality.fit_quality(materialize(quality.statistics_table(docs), "stats"), labels)
     return quality.keep_good(docs, model, 0.3)
 
 
