@@ -29,12 +29,12 @@ RULES: dict[str, tuple[str, str]] = {
 
 
 def _count(text: Column, chars: str) -> Column:
-    """How many characters of a class a text has: the cuts that splitting there makes."""
-    return (F.size(F.split(text, chars)) - 1).cast("long")
+    """How many characters of a class a text has."""
+    return (F.length(text) - F.length(F.regexp_replace(text, chars + "+", ""))).cast("long")
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and a struct column `q` of whole-text statistics.
+    """docs and a struct column `q` of whole-text statistics; docs has no column of that name or that begins with _.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (words in 3-word windows that occur at
     least twice, the first included), n_upper, n_letters, n_loud. All by expressions on the row: where a text
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("_text")
     q = F.struct(
         F.size("_words").cast("long").alias("n_words"),
-        (F.length(text) - _count(text, SPACE)).cast("long").alias("word_chars"),
+        F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
         _count(text, r"[#*$%&|<>]").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -133,49 +133,50 @@ def posterior(vote: tuple[int, ...], prior: float, good: list[dict[int, float]],
     return a / (a + b)
 
 
-def vote_counts(measured: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """How often each combination of votes occurs among rows with q that pass the base rules."""
-    counted = measured.where(~base_failed()).groupBy(F.array(*votes()).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return sorted((tuple(r.v), r.n) for r in counted.collect())  # at most 3 to the number of rules
+def vote_counts(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """How often each combination of votes occurs among rows (base_failed, votes) that pass the base rules."""
+    counted = voted.where("not base_failed").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    return sorted((tuple(r.votes), r.n) for r in counted.collect())  # at most 3 to the number of rules
 
 
-def judged(measured: DataFrame, prior: float, good: list[dict[int, float]], bad: list[dict[int, float]]) -> DataFrame:
-    """Rows with q, and base_failed, good_probability and kept: not base_failed and probably good."""
-    voted = measured.withColumn("_votes", F.array(*votes()))
+def good_probability(prior: float, good: list[dict[int, float]], bad: list[dict[int, float]]) -> Column:
+    """posterior() of the column `votes`."""
 
     def likelihood(start: float, of: list[dict[int, float]]) -> Column:
         out = F.lit(start)
         for j, p in enumerate(of):
-            v = F.col("_votes")[j]
+            v = F.col("votes")[j]
             out = out * F.when(v > 0, p[1]).when(v < 0, p[-1]).otherwise(p[0])
         return out
 
     a, b = likelihood(prior, good), likelihood(1 - prior, bad)
-    return (
-        voted.withColumn("base_failed", base_failed())
-        .withColumn("good_probability", a / (a + b))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= 0.5))
-        .drop("_votes")
-    )
+    return a / (a + b)
+
+
+def _voted(rows: DataFrame, *kept: str) -> DataFrame:
+    """kept columns of rows (text among its columns), base_failed and votes, written once: the estimate and the verdicts read them."""
+    return materialize(with_statistics(rows).select(*kept, base_failed().alias("base_failed"), F.array(*votes()).alias("votes")), "votes")
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, q, base_failed, good_probability and kept for each row of docs.
+    """doc_id, q, base_failed, good_probability and kept for each row of docs; kept: not base_failed, and probably good.
 
-    The statistics of all rows are written once; counting the combinations of votes, which is all the estimate
-    needs, and the verdicts read them. Texts that fail the base rules do not take part in the estimate. Null and
-    empty texts have no words and fail; repeated rows are judged alike; an empty table gives an empty result.
+    Texts that fail the base rules do not take part in the estimate. Null and empty texts have no words and fail;
+    repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    measured = materialize(with_statistics(rows).select("doc_id", "q"), "quality")
-    return judged(measured, *estimate(vote_counts(measured)))
+    voted = _voted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "q")
+    p = good_probability(*estimate(vote_counts(voted)))
+    return voted.select("doc_id", "q", "base_failed", p.alias("good_probability"), (~F.col("base_failed") & (p >= 0.5)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge_quality keeps, with all their columns; texts never leave their partition."""
-    measured = with_statistics(docs, text_col)
-    kept = judged(measured, *estimate(vote_counts(measured)))
-    return kept.where("kept").select(*docs.columns)
+    """The rows of docs that judge_quality keeps, with all their columns, whatever their names; texts never leave
+    their partition. Null and empty texts go, repeated rows stand or fall together, an empty table stays empty."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    text = columns[docs.columns.index(text_col)]
+    voted = _voted(docs.select(F.struct(*columns).alias("row"), text.alias("text")), "row")
+    p = good_probability(*estimate(vote_counts(voted)))
+    return voted.where(~F.col("base_failed") & (p >= 0.5)).select("row.*")
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
