@@ -1,12 +1,13 @@
 """Words and word hashes of many texts at once, on the bytes of an Arrow column.
 
 A batch of texts is one long byte array with offsets. Words are runs of bytes of a class, found by
-comparing each byte's class with that of its neighbour; their hashes are differences of one running
-sum. Nothing loops over words in Python.
+comparing each byte's class with that of its neighbour; their hashes take eight bytes of all words at a time.
+Nothing loops over words in Python, but for the few very long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,21 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PIECE = 1 << 19
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of each."""
-    if "base" not in _powers or len(_powers["base"]) < n:
-        size = max(n, _PIECE + 1)
-        for name, factor in (("base", _BASE), ("inverse", _INVERSE)):
-            table = np.full(size, factor, np.uint64)
-            table[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[name] = np.multiply.accumulate(table)
-    return _powers["base"], _powers["inverse"]
+#: Words of more bytes than this are hashed one by one, by a library hash.
+LONG_WORD = 256
+#: The low bytes of eight that are kept, by how many.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,21 +113,26 @@ def words(texts: Texts, kind: np.ndarray) -> Words:
 
 
 def hashes(texts: Texts, found: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, equal for equal words in any batch."""
-    out = np.empty(len(found.start), np.uint64)
-    i, n = 0, len(out)
+    """A 64-bit hash of each word's bytes, equal for equal words in any batch.
+
+    Eight bytes at a time, mixed between, so that no relation among the bytes survives: different words collide
+    as random numbers would.
+    """
+    size = found.end - found.start
+    padded = np.concatenate((texts.data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
-        while i < n:
-            base = found.start[i]
-            j = max(i + 1, int(np.searchsorted(found.end, base + _PIECE, "right")))
-            part = texts.data[base : found.end[j - 1]]
-            power, inverse = _power_table(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
-            s, e = found.start[i:j] - base, found.end[i:j] - base
-            out[i:j] = (total[e] - total[s]) * inverse[s]
-            i = j
-    return mix(out)
+        out = mix(size.astype(np.uint64) * _BASE)
+        who, done = np.flatnonzero(size <= LONG_WORD), 0
+        while len(who):
+            part = eight[found.start[who] + done] & _KEPT[np.minimum(size[who] - done, 8)]
+            out[who] = mix((out[who] ^ part) * _BASE)
+            done += 8
+            who = who[size[who] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        body = texts.data[found.start[i] : found.end[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
+    return out
 
 
 def grams(word_hashes: np.ndarray, n: int) -> np.ndarray:

@@ -4,14 +4,14 @@ Two sets that are similar enough differ in at most d elements, where d follows f
 into bands of similar size; in a band whose largest sets differ by at most d, the hash space is cut into more
 than d tiles, so that similar sets agree wholly in at least one tile that is not empty. The hash of a tile's
 content is its signature: documents that share one are candidates, and no link is lost. Candidates are held
-against each other by a 4096-bit bitmap of their shingles, whose differing bits bound the overlap from above,
-and what passes by the exact intersection of the shingle arrays.
+against each other by hashed bitmaps of their shingles, as long as their sizes need, whose differing bits bound the
+overlap from above, and what passes by the exact intersection of the sorted shingle arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,15 @@ from quire.llm import columns as C
 from quire.plans.components import connected_components
 from quire.plans.storage import discard, materialize, read_back, write_work
 
-BITS = 4096
-#: Sets that a task remembers so as to send equal ones only once; beyond it the memory starts anew, which costs
+#: Texts are taken in runs of whole ones of about so many bytes, which bounds a task's memory.
+SLICE_BYTES = 1 << 20
+#: Sets that a task remembers so as to sign equal ones only once; beyond it the memory starts anew, which costs
 #: some more rows and loses nothing.
 REMEMBERED = 200_000
-#: Rows of two longs that may be broadcast, counted before; more of them are joined by a shuffle.
+#: Ids that may be broadcast (about 50 MB), counted before; more of them are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Documents of one signature that are checked pair by pair against the others in one piece.
+BLOCK = 2000
 
 
 class Bands:
@@ -96,174 +99,143 @@ class Bands:
             return index[who], C.mix(content + place)
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of the size-word shingles of each text, in the order of the texts."""
-    for texts in C.slices(column):
-        found = C.words(texts, C.SPACE_WORDS)
-        hashed = C.hashes(texts, found)
-        all_grams = C.grams(hashed, size)
-        for first, n in zip(found.first.tolist(), found.counts.tolist()):
-            if n >= size:
-                yield np.unique(all_grams[first : first + n - size + 1])
-            elif n:
-                yield C.grams(hashed[first : first + n], n)
-            else:
-                yield np.zeros(0, np.uint64)
+def shingle_sets(texts: C.Texts, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of the size-word shingles of each text."""
+    found = C.words(texts, C.SPACE_WORDS)
+    hashed = C.hashes(texts, found)
+    all_grams = C.grams(hashed, size)
+    for first, n in zip(found.first.tolist(), found.counts.tolist()):
+        if n >= size:
+            yield np.unique(all_grams[first : first + n - size + 1])
+        elif n:
+            yield C.grams(hashed[first : first + n], n)
+        else:
+            yield np.zeros(0, np.uint64)
 
 
-def _pack(ids: np.ndarray, signatures: np.ndarray) -> bytes:
-    low = int(ids.min())
-    small = int(ids.max()) - low < 1 << 32
-    head = np.array([len(ids), low, small], np.int64).tobytes()
-    return head + (ids - low).astype(np.uint32 if small else np.int64).tobytes() + signatures.tobytes()
+def bitmap(grams: np.ndarray, far: int) -> np.ndarray:
+    """Which of its bits an odd number of shingles falls on, as longs.
 
+    The bits are a power of two, 8 or more for each element in which a linked set may differ. Two sets differ in
+    at least as many elements as their bitmaps in bits, and the halves of a bitmap, xored, are the one of half
+    the bits, so those of different length can be compared.
+    """
+    bits = 64
+    while bits < 8 * far:
+        bits *= 2
+    at = (grams & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, low, small = np.frombuffer(blob, np.int64, 3)
-    width = 4 if small else 8
-    ids = np.frombuffer(blob, np.uint32 if small else np.int64, n, 24).astype(np.int64) + low
-    return ids, np.frombuffer(blob, np.uint64, n, 24 + width * int(n))
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit numbers as an Arrow column."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))
 
-def _sketch(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
-    """kind 0: (doc, shingles, the task's first document of the same set); kind 1: (signature, pivot, doc) where
-    documents share a signature."""
-    spark = docs.sparkSession
-    buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+def _sketches(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
+    """(doc, n, k1, k2, bits, sigs) of each row of (doc, text): how many shingles, a 128-bit hash of their set, its
+    bitmap and signatures.
+
+    bits and sigs are null for rows without shingles or doc, and where the task has seen an equal set.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            ids = batch.column(0)
-            rows, firsts, kept, kept_ids = [], [], [], []
-            for doc, grams in zip(ids.to_pylist(), shingle_sets(batch.column(1), size)):
-                first = doc
-                if len(grams) and doc is not None:
-                    key = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-                    first = seen.get(key)
-                    if first is None:
+            for texts in C.slices(batch.column(1), SLICE_BYTES):
+                ids = batch.column(0).slice(texts.first, len(texts))
+                sizes, keys, fresh = [], [], []
+                kept: list[np.ndarray] = []
+                for doc, grams in zip(ids.to_pylist(), shingle_sets(texts, size)):
+                    key = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) and doc is not None else None
+                    sizes.append(len(grams))
+                    keys.append(key or bytes(16))
+                    fresh.append(key is not None and key not in seen)
+                    if fresh[-1]:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
-                        first = seen[key] = doc
+                        seen.add(key)
                         kept.append(grams)
-                        kept_ids.append(doc)
-                rows.append(len(grams))
-                firsts.append(first)
-            blobs, places = [], []
-            if kept:
-                who, signatures = bands.signatures(np.concatenate(kept), np.array([len(x) for x in kept], np.int64))
-                bucket = (signatures >> np.uint64(33)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket, who, signatures = bucket[order], np.array(kept_ids, np.int64)[who[order]], signatures[order]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    blobs.append(_pack(who[a:b], signatures[a:b]))
-                    places.append(int(bucket[a]))
-            n, m = len(rows), len(blobs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([i % buckets for i in range(n)] + places, pa.int32()),
-                    pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                    pa.array(rows + [None] * m, pa.int64()),
-                    pa.array(firsts + [None] * m, pa.int64()),
-                    pa.array([None] * n + blobs, pa.binary()),
-                ],
-                ["bucket", "doc", "n", "first", "blob"],
-            )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, signatures = [], []
-        for batch in batches:
-            plain = batch.filter(batch.column(4).is_null())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(plain), pa.int32()), plain.column(1), plain.column(2), plain.column(3)], _KIND
-            )
-            for blob in batch.column(4).drop_null().to_pylist():
-                got = _unpack(blob)
-                ids.append(got[0])
-                signatures.append(got[1])
-        if not ids:
-            return
-        who, sig = np.concatenate(ids), np.concatenate(signatures)
-        order = np.lexsort((who, sig))
-        who, sig = who[order], sig[order]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.append(first, len(sig)))
-        shared = np.repeat(who[first] != who[first + length - 1], length)
-        pivot = np.repeat(who[first], length)[shared]
-        who, sig = who[shared], sig[shared]
-        for a in range(0, len(who), 50_000):
-            part = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.ones(len(who[part]), np.int32)),
-                    pa.array(sig[part].view(np.int64)),
-                    pa.array(pivot[part]),
-                    pa.array(who[part]),
-                ],
-                _KIND,
-            )
-
-    sent = docs.mapInArrow(send, "bucket int, doc long, n long, first long, blob binary")
-    return sent.repartition("bucket").mapInArrow(meet, "kind int, a long, b long, c long")
-
-
-_KIND = ["kind", "a", "b", "c"]
-
-
-def _profiles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, bits, grams) of each row: the set's size, its bitmap as longs, its sorted shingles."""
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 500):  # arrays are long: few rows to a batch
-                part = batch.slice(a, 500)
-                sets = list(shingle_sets(part.column(1), size))
-                bits = []
-                for grams in sets:
-                    row = np.zeros(BITS, np.uint8)
-                    row[(grams % np.uint64(BITS)).astype(np.int64)] = 1
-                    bits.append(np.packbits(row).view(np.int64))
+                bits, signed = [None] * len(sizes), [None] * len(sizes)
+                at = np.flatnonzero(fresh)
+                if kept:
+                    lengths = np.array([len(x) for x in kept], np.int64)
+                    who, found = bands.signatures(np.concatenate(kept), lengths)
+                    order = np.argsort(who, kind="stable")
+                    cuts = np.cumsum(np.bincount(who, minlength=len(kept)))[:-1]
+                    for i, grams, some in zip(at.tolist(), kept, np.split(found[order].view(np.int64), cuts)):
+                        bits[i], signed[i] = bitmap(grams, bands.distance(2 * len(grams))), some
+                blank = pa.array([k == bytes(16) for k in keys])
+                halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        pa.array([len(x) for x in sets], pa.int64()),
+                        ids,
+                        pa.array(sizes, pa.int64()),
+                        *[pa.array(np.ascontiguousarray(halves[:, j]), mask=blank.to_numpy(zero_copy_only=False)) for j in (0, 1)],
                         pa.array(bits, pa.list_(pa.int64())),
-                        pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                        pa.array(signed, pa.list_(pa.int64())),
                     ],
-                    ["doc", "n", "bits", "grams"],
+                    ["doc", "n", "k1", "k2", "bits", "sigs"],
                 )
 
-    return docs.mapInArrow(profile, "doc long, n long, bits array<long>, grams array<long>")
+    return docs.mapInArrow(sketch, "doc long, n long, k1 long, k2 long, bits array<long>, sigs array<long>")
+
+
+def _shingles(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, grams): the sorted shingles of each row of (doc, text)."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in C.slices(batch.column(1), SLICE_BYTES):  # arrays are long: few rows to a batch
+                sets = list(shingle_sets(texts, size))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), _lists(sets)], ["doc", "grams"])
+
+    return docs.mapInArrow(measure, "doc long, grams array<long>")
 
 
 def _may_link(num: int, den: int) -> Column:
     """Whether sizes and bitmaps of sides x and y allow the similarity: the overlap is at most half of what the
     sizes sum to less the differing bits."""
-    differ = F.expr("aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
-    return F.lit(den + num) * (F.expr("x_n + y_n") - differ) >= F.lit(2 * num) * F.expr("x_n + y_n")
+    x, y = (
+        f"if(size({a}_bits) > size({b}_bits), zip_with(slice({a}_bits, 1, size({b}_bits)), slice({a}_bits, size({b}_bits) + 1, "
+        f"size({b}_bits)), (p, q) -> p ^ q), {a}_bits)"
+        for a, b in ("xy", "yx")
+    )
+    differ = F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    sizes = F.expr("x_n + y_n")
+    near = F.expr(f"{den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n)")  # settles most, before any bit is counted
+    return near & (F.lit(den + num) * (sizes - differ) >= F.lit(2 * num) * sizes)
 
 
-def _side(profiles: DataFrame, name: str, *cols: str) -> DataFrame:
-    return profiles.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+def _side(table: DataFrame, name: str, *cols: str) -> DataFrame:
+    return table.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
 
-def _verified(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (x, y) those that link. The pairs that their bitmaps allow are written first, so that only the
-    shingle arrays of their documents travel."""
-    close = materialize(
-        pairs.join(_side(profiles, "x", "n", "bits"), "x")
-        .join(_side(profiles, "y", "n", "bits"), "y")
-        .where(_may_link(num, den))
-        .select("x", "y", "x_n", "y_n"),
-        "close",
-    )
-    needed = materialize(close.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "needed")
-    few = needed.count() <= BROADCAST_ROWS
-    arrays = profiles.select("doc", "grams").join(F.broadcast(needed) if few else needed, "doc", "left_semi")
-    full = close.join(_side(arrays, "y", "grams"), "y").join(_side(arrays, "x", "grams"), "x")
-    shared = F.size(F.array_intersect("x_grams", "y_grams"))
-    return full.where(F.lit(den) * shared >= F.lit(num) * (F.col("x_n") + F.col("y_n") - shared)).select("x", "y")
+def _hinted(ids: DataFrame) -> DataFrame:
+    """A table of one id column to semi-join with long rows: broadcast if counted small, else left to a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _linked(close: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (x, y) those that link, by intersecting the sorted arrays; only arrays of their documents travel."""
+    needed = close.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    arrays = shingles.join(needed, "doc", "left_semi")
+    full = close.select("x", "y").join(_side(arrays, "y", "grams"), "y").join(_side(arrays, "x", "grams"), "x").select("x", "y", "x_grams", "y_grams")
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column(2), batch.column(3))]
+            ok = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                a, b = (values[at[i] : at[i + 1]] for at, values in parts)
+                place = np.searchsorted(a, b)
+                both = int((a[np.minimum(place, len(a) - 1)] == b).sum())
+                ok[i] = den * both >= num * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(ok))
+
+    return full.mapInArrow(intersect, "x long, y long")
 
 
 def similar_groups(
@@ -277,72 +249,97 @@ def similar_groups(
     """doc_id, n_shingles, component_id for every row: the group that exact links num/den on size-word shingles form.
 
     A-Z are lower-cased, words are anything but ASCII white space; a text of fewer words than size is one
-    shingle; null and empty texts have none and link with nothing. Equal sets link at whatever size. Signatures
-    travel packed, a block of them for each bucket, so the shuffle carries about 10 bytes for each. First every
-    candidate is checked against the least document of most of its signatures, then against those of the others
-    where that leaves them in different groups; signatures whose documents still are in different groups are
-    checked pair by pair across them, so that no link is lost. Groups of near copies, however large, are settled
-    by the first steps and never give all their pairs.
-
-    ids are integers. Rows of one id count as one document and share its group; a null id gives a null
+    shingle; null and empty texts have none and link with nothing. Equal sets link at whatever size and go on as
+    their least document. First every candidate is checked against the least document of most of its signatures,
+    then against those of the others where that leaves them in different groups; signatures whose documents still
+    are in different groups are checked pair by pair across them, so that no link is lost. Groups of near copies,
+    however large, are settled by the first steps and never give all their pairs.
+
+    ids are integers. Rows of one id count as one document and share its group, even if their texts differ; a null id gives a null
     component_id. Ties cannot occur; repeated rows each give their row; an empty table gives an empty result;
     other columns are not read.
     """
     spark = docs.sparkSession
+    made: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(write_work(df, name))
+        return read_back(df, made[-1])
+
+    def drop(*names: str) -> None:
+        for path in [p for p in made if p.rpartition("/")[2].rpartition("-")[0] in names]:
+            discard(spark, path)
+            made.remove(path)
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    table = materialize(_sketch(rows, Bands(num, den), size), "sketch")
-    own = table.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("first"))
-    shared = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("x"), F.col("c").alias("y"))
-    same = own.where("first <> doc").select(F.col("first").alias("x"), F.col("doc").alias("y"))
+    sketches = keep(_sketches(rows, Bands(num, den), size), "sketches")
 
-    # how many signatures each document shares with their least documents
-    star = materialize(shared.where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")), "star")
-    some = materialize(star.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidates")
-    few = some.count() <= BROADCAST_ROWS
-    chosen = rows.join(F.broadcast(some) if few else some, "doc", "left_semi").select("doc", "text")
-    shape = _profiles(chosen, size)
-    profiles_path = write_work(shape, "profiles")
-    profiles = read_back(shape, profiles_path)
+    # equal sets go on as one, with their least document
+    sets = sketches.where("k1 is not null").groupBy("k1", "k2").agg(
+        F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits", True).alias("bits"), F.first("sigs", True).alias("sigs")
+    )
+    sets = keep(sets, "sets")
+    own = sketches.select("doc", "n", "k1", "k2").join(sets.select("k1", "k2", F.col("doc").alias("first")), ["k1", "k2"], "left")
+    own = keep(own.select("doc", "n", "first"), "own")
+    same = own.where("first <> doc").select(F.col("first").alias("x"), F.col("doc").alias("y"))
+    drop("sketches")
+
+    # documents that share a signature with another, each with the least one of that signature
+    signed = sets.select("doc", F.explode("sigs").alias("sig"))
+    least = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("most")).where("x < most").select("sig", "x")
+    shared = keep(signed.join(keep(least, "least"), "sig").select("sig", "x", F.col("doc").alias("y")), "shared")
+    star = keep(shared.where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")), "star")
+    some = keep(star.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidates")
+    bits = keep(sets.select("doc", "n", "bits").join(some, "doc", "left_semi"), "bits")
+    drop("sets", "least")
+    near = star.join(_side(bits, "x", "n", "bits"), "x").join(_side(bits, "y", "n", "bits"), "y").where(_may_link(num, den))
+    near = keep(near.select("x", "y", "times"), "near")
+
+    def arrays(pairs: DataFrame) -> DataFrame:
+        """Shingles of the pairs' documents, from their texts."""
+        needed = keep(pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "needed")
+        return _shingles(rows.join(_hinted(needed), "doc", "left_semi").select("doc", "text"), size)
 
     # the likeliest partner of each first; of the others, what that leaves in different groups
-    best = star.groupBy("y").agg(F.max(F.struct("times", (-F.col("x")).alias("x"))).alias("best"))
-    links = materialize(_verified(best.select((-F.col("best.x")).alias("x"), "y"), profiles, num, den), "links")
-    labels = connected_components(links, "x", "y")
-    apart = _apart(star, labels).select("x", "y")
-    links = materialize(links.unionByName(_verified(apart, profiles, num, den)), "links")
-    labels = materialize(connected_components(links, "x", "y"), "labels")
+    shingles = keep(arrays(near), "shingles")
+    best = near.groupBy("y").agg(F.max(F.struct("times", (-F.col("x")).alias("x"))).alias("best"))
+    links = keep(_linked(best.select((-F.col("best.x")).alias("x"), "y"), shingles, num, den), "links")
+    others = _apart(near, connected_components(links, "x", "y")).select("x", "y")
+    links = keep(links.unionByName(_linked(keep(others, "others"), shingles, num, den)), "links")
+    labels = keep(connected_components(links, "x", "y"), "labels")
+    drop("shingles", "others")
 
     # signatures whose documents are still in different groups: all their pairs across groups
-    apart = materialize(_apart(star, labels).select("x", "y"), "apart")
-    few = apart.count() <= BROADCAST_ROWS
-    split = shared.join(F.broadcast(apart) if few else apart, ["x", "y"], "left_semi").select("sig").distinct()
-    split = materialize(split, "split")
-    few = split.count() <= BROADCAST_ROWS
-    rest = shared.join(F.broadcast(split) if few else split, "sig", "left_semi").select("sig", F.col("y").alias("doc"))
-    rest = materialize(
-        rest.join(labels, rest.doc == labels.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("part")),
-        "rest",
-    )
-    x = rest.select("sig", F.col("doc").alias("x"), F.col("part").alias("x_part")).join(
-        _side(profiles, "x", "n", "bits"), "x"
-    )
-    y = rest.select("sig", F.col("doc").alias("y"), F.col("part").alias("y_part")).join(
-        _side(profiles, "y", "n", "bits"), "y"
-    )
-    close = (
-        x.join(y, [x.sig == y.sig, F.col("x") < F.col("y"), F.col("x_part") != F.col("y_part"), _may_link(num, den)])
-        .select("x", "y")
-        .distinct()
-        .join(apart, ["x", "y"], "left_anti")
-    )
-    links = materialize(links.unionByName(_verified(close, profiles, num, den)), "links")
-    groups = materialize(connected_components(links.unionByName(same), "x", "y"), "groups")
-    discard(spark, profiles_path)
-
+    apart = keep(_apart(star, labels).select("x", "y"), "apart")
+    across = keep(_across(shared, labels, apart, bits, num, den, keep), "across")
+    drop("shared", "rest", "star", "near")
+    links = links.unionByName(_linked(across, keep(arrays(across), "shingles"), num, den))
+    groups = keep(connected_components(keep(links.unionByName(same), "links"), "x", "y"), "groups")
     placed = own.join(groups, own.doc == groups.node, "left").select(
-        "doc", "n", F.coalesce("component", "doc").alias("component")
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
     )
-    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = materialize(placed, "placed")
+    for path in made:
+        discard(spark, path)
+    return out
+
+
+def _across(shared: DataFrame, labels: DataFrame, apart: DataFrame, bits: DataFrame, num: int, den: int, keep: Callable) -> DataFrame:
+    """(x, y), each once, x < y: pairs in different groups that share a signature and that their bitmaps allow, but those of apart.
+
+    A signature of many documents is cut into blocks: each document is held against every block of the others by
+    another task, so that no key is one task's work.
+    """
+    split = shared.join(apart, ["x", "y"], "left_semi").select("sig").distinct()
+    rest = shared.join(split, "sig", "left_semi").select("sig", F.col("y").alias("doc"))
+    part = labels.select(F.col("node").alias("doc"), "component")
+    blocks = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(part, "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("part")).join(blocks, "sig")
+    rest = keep(rest, "rest").join(bits, "doc")
+    x = _side(rest, "x", "sig", "part", "n", "bits", "blocks").withColumn("block", F.pmod(F.hash("x"), F.col("x_blocks")))
+    y = _side(rest, "y", "sig", "part", "n", "bits", "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
+    met = x.join(y, [x.x_sig == y.y_sig, x.block == y.block, F.col("x") < F.col("y"), F.col("x_part") != F.col("y_part"), _may_link(num, den)])
+    return met.select("x", "y").distinct().join(apart, ["x", "y"], "left_anti")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard, language, licenses, pieces, quality, rules, toxicity, urls
+from quire.llm import columns, decontaminate, jaccard, language, licenses, pieces, quality, rules, toxicity, urls
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -75,6 +75,75 @@ def test_bands_lose_no_link():
                 assert sig[0] & sig[1], (n, drop)
 
 
+def test_hashes_tell_words_apart(spark):
+    """A polynomial modulo a power of two gives a Thue-Morse word and its complement one hash."""
+    texts = []
+    for bits in (3, 6, 10, 11, 12):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        texts += [word, word.translate(str.maketrans("ab", "ba"))]
+    texts += ["abcdefgh", "abcdefgha", "abcdefghab", "a" * 256, "a" * 257, "b" + "a" * 256]
+    column = columns.pa.array(texts)
+    for got in columns.slices(column):
+        hashed = columns.hashes(got, columns.words(got, columns.SPACE_WORDS))
+        assert len(set(hashed.tolist())) == len(texts) == len(hashed)
+    groups = jaccard.similar_groups(_docs(spark, texts)).collect()
+    assert all(r.component_id == r.doc_id for r in groups)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m in ((300, 310), (300, 500), (40, 41), (2000, 2300)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - 20], rng.integers(0, 1 << 63, m - n + 20).astype(np.uint64)])
+        x, y = jaccard.bitmap(a, n // 7), jaccard.bitmap(b, m // 7)
+        while len(x) != len(y):
+            x, y = (v[: len(v) // 2] ^ v[len(v) // 2 :] if len(v) > min(len(x), len(y)) else v for v in (x, y))
+        differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_signatures_that_stay_mixed(spark, monkeypatch):
+    """Many documents around one passage, in several groups: every link across is found, in blocks of any size."""
+    rng = random.Random(9)
+    core = _prose(rng, 100).split()
+    texts = []
+    for _ in range(60):
+        copy = list(core)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    expected = _brute_groups(texts, 5, 80, 100)
+    assert 1 < len({g for _, g in expected.values()}) < 60
+    for block in (2000, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(_docs(spark, texts)).collect()}
+        assert got == expected
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = _prose(random.Random(1), 60), _prose(random.Random(2), 60)
+    rows = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (11, a + " tail"), (3, b + " tail"), (1, "other text")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.similar_groups(rows).collect()}
+    assert got == {(5, 3), (7, 3), (9, 3), (11, 3), (3, 3), (1, 1)}
+
+
+def test_rules_keep_any_columns(spark):
+    good = "The quick brown fox jumps over the lazy dog while seven other animals watch from the green hill beyond the river. " * 1
+    texts = [good + _prose(random.Random(i), 60) for i in range(6)] + [None, "", "short text", "buy now " * 60]
+    names = ["kept", "good_probability", "base_failed", "votes", "q", "_words", "_text", "row", "n_words", "a.b", "c`d"]
+    schema = "doc_id long, text string, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], schema)
+    docs = docs.union(docs.where("doc_id = 0"))
+    got = rules.keep_good(docs)
+    assert got.columns == docs.columns
+    expected = {r.doc_id for r in rules.judge_quality(docs).collect() if r.kept}
+    rows = [tuple(r) for r in got.collect()]
+    assert {r[0] for r in rows} == expected and not expected & {6, 7, 8, 9}
+    assert all(r[2:] == tuple(f"{n}{r[0]}" for n in names) for r in rows)
+    assert sum(r[0] == 0 for r in rows) == (2 if 0 in expected else 0)
+    assert rules.keep_good(docs.limit(0)).count() == 0
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(7)
     items = [_prose(rng, n) for n in (30, 12, 10, 4, 1)] + [None, "", "!!"]
