@@ -59,7 +59,7 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 22, lower: bool = True) -> Iterator[Texts]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20, lower: bool = True) -> Iterator[Texts]:
     """Cut a string column into runs of whole texts of about most_bytes; null reads as empty.
 
     With lower, A-Z become a-z. A text longer than most_bytes is a run of its own.

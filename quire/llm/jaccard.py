@@ -30,7 +30,9 @@ REMEMBERED = 200_000
 #: Ids that may be broadcast (about 50 MB), counted before; more of them are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Documents of one signature that are checked pair by pair against the others in one piece.
-BLOCK = 2000
+BLOCK = 1000
+#: Rows of cells that are checked together, about.
+CELL_ROWS = 20_000
 
 
 class Bands:
@@ -209,6 +211,76 @@ def _may_link(num: int, den: int) -> Column:
     return near & (F.lit(den + num) * (sizes - differ) >= F.lit(2 * num) * sizes)
 
 
+def _rows(offsets: np.ndarray, longs: np.ndarray, at: np.ndarray, width: int, to: int) -> np.ndarray:
+    """Bitmaps of `width` longs, a row for each of at, folded to `to` longs."""
+    bits = longs[offsets[at][:, None] + np.arange(width)]
+    while bits.shape[1] > to:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def _near_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
+    """(x, y), x < y, of rows (sig, low, high, own, doc, part, n, bits): pairs that share sig, low and high, are in
+    different parts, between the blocks low and high if these differ, and that sizes and bitmaps allow."""
+    sig, low, high, own, doc, part, n = (table.column(c).to_numpy() for c in ("sig", "low", "high", "own", "doc", "part", "n"))
+    lists = table.column("bits").combine_chunks()
+    offsets, longs = lists.offsets.to_numpy(), lists.values.to_numpy()
+    width = np.diff(offsets)
+    order = np.lexsort((doc, high, low, sig))
+    sig, low, high, own, doc, part, n, width = (x[order] for x in (sig, low, high, own, doc, part, n, width))
+    new = (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    first = np.flatnonzero(np.concatenate(([True], new)))
+    ends = np.repeat(np.append(first[1:], len(sig)), np.diff(np.append(first, len(sig))))  # of each row's cell
+    found = []
+
+    def far(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether bitmaps differ by too much; on any number of axes, the last being longs."""
+        differ = np.bitwise_count(left ^ right).sum(-1, dtype=np.int32)
+        return (den + num) * (sizes - differ) < 2 * num * sizes
+
+    def held(x: np.ndarray, y: np.ndarray) -> None:
+        """Add the pairs of rows x and y that their whole bitmaps allow."""
+        wide = width[x] * (1 << 20) + width[y]
+        for w in np.unique(wide).tolist():
+            p, q = x[wide == w], y[wide == w]
+            a, b = w >> 20, w & ((1 << 20) - 1)
+            at_once = max(1, 500_000 // max(a, b))
+            for j in range(0, len(p), at_once):
+                i, k = p[j : j + at_once], q[j : j + at_once]
+                near = ~far(_rows(offsets, longs, order[i], a, min(a, b)), _rows(offsets, longs, order[k], b, min(a, b)), n[i] + n[k])
+                found.append(np.stack([doc[i[near]], doc[k[near]]]))
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows are in different parts and blocks, and of like size."""
+        like = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+        return like & (part[x] != part[y]) & (doc[x] != doc[y]) & ((low[x] == high[x]) | (own[x] != own[y]))
+
+    large = ends - np.repeat(first, np.diff(np.append(first, len(sig)))) > 16
+    at, step = np.flatnonzero(~large), 0
+    while len(at):  # rows of small cells against those so many places on
+        step += 1
+        at = at[at + step < ends[at]]
+        ok = apart(at, at + step)
+        held(at[ok], at[ok] + step)
+    for begin in first[large[first]].tolist():  # rows of a large cell against all later ones, by folded bitmaps first
+        end = int(ends[begin])
+        size = max(1, int(width[begin:end].min()) // 4)
+        bits = np.empty((end - begin, size), np.int64)
+        for w in np.unique(width[begin:end]).tolist():
+            own_width = begin + np.flatnonzero(width[begin:end] == w)
+            bits[own_width - begin] = _rows(offsets, longs, order[own_width], w, size)
+        at_once = max(1, 250_000 // bits.size)
+        for i in range(begin, end, at_once):
+            rows = np.arange(i, min(i + at_once, end))
+            x, y = np.nonzero(~far(bits[rows - begin, None], bits[None, i - begin :], n[rows, None] + n[None, i:end]))
+            x, y = x + i, y + i
+            x, y = x[x < y], y[x < y]
+            ok = apart(x, y)
+            held(x[ok], y[ok])
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"x": pairs[0], "y": pairs[1]})
+
+
 def _side(table: DataFrame, name: str, *cols: str) -> DataFrame:
     return table.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
@@ -327,19 +399,25 @@ def similar_groups(
 def _across(shared: DataFrame, labels: DataFrame, apart: DataFrame, bits: DataFrame, num: int, den: int, keep: Callable) -> DataFrame:
     """(x, y), each once, x < y: pairs in different groups that share a signature and that their bitmaps allow, but those of apart.
 
-    A signature of many documents is cut into blocks: each document is held against every block of the others by
-    another task, so that no key is one task's work.
+    A signature of many documents is cut into blocks, any two of which meet in a cell: no signature is one task's
+    work. Cells are dealt out by hash, about CELL_ROWS rows together.
     """
     split = shared.join(apart, ["x", "y"], "left_semi").select("sig").distinct()
     rest = shared.join(split, "sig", "left_semi").select("sig", F.col("y").alias("doc"))
     part = labels.select(F.col("node").alias("doc"), "component")
     blocks = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rest = rest.join(part, "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("part")).join(blocks, "sig")
-    rest = keep(rest, "rest").join(bits, "doc")
-    x = _side(rest, "x", "sig", "part", "n", "bits", "blocks").withColumn("block", F.pmod(F.hash("x"), F.col("x_blocks")))
-    y = _side(rest, "y", "sig", "part", "n", "bits", "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
-    met = x.join(y, [x.x_sig == y.y_sig, x.block == y.block, F.col("x") < F.col("y"), F.col("x_part") != F.col("y_part"), _may_link(num, den)])
-    return met.select("x", "y").distinct().join(apart, ["x", "y"], "left_anti")
+    rest = keep(rest, "rest")
+    groups = 1 + (rest.agg(F.sum("blocks")).first()[0] or 0) // CELL_ROWS
+    cells = (
+        rest.join(bits, "doc")
+        .withColumn("own", F.pmod(F.hash("doc"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "part", "n", "bits")
+    )
+    dealt = cells.groupBy(F.pmod(F.xxhash64("sig", "low", "high"), F.lit(groups)).alias("cell"))
+    met = dealt.applyInArrow(lambda table: _near_pairs(table, num, den), "x long, y long")
+    return met.distinct().join(apart, ["x", "y"], "left_anti")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:

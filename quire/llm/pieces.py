@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -26,8 +27,9 @@ MARK = "▁"
 UNK_PENALTY = 10.0
 #: Where the tokenizer's model lies for the driver, which sends its pieces to the executors.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Units of at most so many characters, and about twice so many of them, are remembered by a worker: those met
+#: since the last so many new ones, and those met before.
+SHORT, REMEMBERED = 32, 60_000
 _UNIT = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -73,6 +75,14 @@ class Pieces:
         return cls(ids, scores, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None, unk, texts, norm.add_dummy_prefix)
 
 
+    def digest(self) -> str:
+        """A hash of all that segments by: equal for equal vocabularies."""
+        if not hasattr(self, "_digest"):
+            body = repr((self.texts, self.scores, self.byte_ids, self.unk_id, self.dummy_prefix))
+            self._digest = hashlib.blake2b(body.encode("utf-8", "surrogatepass")).hexdigest()
+        return self._digest
+
+
 class Segmenter:
     """Encodes, counts and decodes texts with a vocabulary."""
 
@@ -86,8 +96,8 @@ class Segmenter:
             self.automaton.add_word(piece, (len(piece), score))
         if pieces.scores:
             self.automaton.make_automaton()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.counted: dict[str, int] = {}
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.counted: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.bytes_of = {i: b for b, i in enumerate(pieces.byte_ids or [])}
 
     def marked(self, text: str) -> str:
@@ -145,35 +155,43 @@ class Segmenter:
                 pieces[end] = pieces[start] + (len(self._unknown(unit[start:end])) if unknown else 1)
         return pieces[-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; none for null and empty."""
-        known, out = self.known, []
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit numbers; none for null and empty."""
+        (fresh, known), out = self.known, []
         for unit in self.units(text or ""):
-            ids = known.get(unit)
+            ids = fresh.get(unit)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self._solve(unit)
-                if len(unit) <= 64:
-                    known[unit] = ids
-            out += ids
-        return out
+                ids = known.get(unit)
+                if ids is None:
+                    ids = array("i", self._solve(unit)).tobytes()
+                if len(unit) <= SHORT:
+                    if len(fresh) >= REMEMBERED:
+                        fresh, known = self.known = {}, fresh
+                    fresh[unit] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a text; none for null and empty."""
+        return array("i", self.packed(text)).tolist()
 
     def count(self, text: str | None) -> int:
         """len(encode(text)), without the ids."""
-        counted, total = self.counted, 0
+        (fresh, known), total = self.counted, 0
         for unit in self.units(text or ""):
-            n = counted.get(unit)
+            n = fresh.get(unit)
             if n is None:
-                if len(counted) >= REMEMBERED:
-                    counted.clear()
-                n = self._count(unit)
-                if len(unit) <= 64:
-                    counted[unit] = n
+                n = known.get(unit)
+                if n is None:
+                    n = self._count(unit)
+                if len(unit) <= SHORT:
+                    if len(fresh) >= REMEMBERED:
+                        fresh, known = self.counted = {}, fresh
+                    fresh[unit] = n
             total += n
         return total
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes joined to characters, marks to spaces, the prefix taken off."""
         out: list[str] = []
         held = bytearray()
@@ -198,7 +216,7 @@ _here: dict[str, Segmenter] = {}
 def _segmenter(shared) -> Segmenter:
     """This worker's segmenter for a broadcast vocabulary; built once, kept over tasks."""
     pieces = shared.value
-    key = hashlib.blake2b(repr((len(pieces.texts), pieces.unk_id, pieces.texts[-1:])).encode()).hexdigest() + str(id(pieces))
+    key = pieces.digest()
     if key not in _here:
         _here.clear()
         _here[key] = Segmenter(pieces)
@@ -217,18 +235,18 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _segmenter(shared)
         for batch in batches:
-            for a in range(0, len(batch), 1000):  # ids are long: few rows to a batch
-                part = batch.slice(a, 1000)
+            for a in range(0, len(batch), 200):  # ids are long: few rows to a batch
+                part = batch.slice(a, 200)
                 texts = part.column(1).to_pylist()
-                ids = [tool.encode(t) for t in texts]
-                sizes = np.array([0] + [len(x) for x in ids]).cumsum()
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1]))
+                ids = [tool.packed(t) for t in texts]
+                sizes = np.array([0] + [len(x) // 4 for x in ids]).cumsum()
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.ListArray.from_arrays(sizes.astype(np.int32), pa.array(flat)),
                         pa.array(np.diff(sizes).astype(np.int64)),
-                        pa.array([tool.decode(x) == (t or "") for x, t in zip(ids, texts)]),
+                        pa.array([tool.decode(array("i", x)) == (t or "") for x, t in zip(ids, texts)]),
                     ],
                     ["doc_id", "ids", "n_pieces", "round_trip"],
                 )
@@ -259,8 +277,10 @@ def count_pieces(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _segmenter(shared)
         for batch in batches:
-            counts = [tool.count(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_pieces"])
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                counts = [tool.count(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_pieces"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long")
 
