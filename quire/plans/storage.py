@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -37,9 +40,31 @@ def write_work(df: DataFrame, name: str = "table") -> str:
     path = f"{workspace(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex[:12]}"
     with _shuffles_removed(df.sparkSession):
         df.write.parquet(path)
+    if (made := _written.get()) is not None:
+        made.append(path)
     return path
 
 
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside."""
+    made: list[str] = []
+    token = _written.set(made)
+    try:
+        yield made
+    finally:
+        _written.reset(token)
+
+
+def discard_unread(spark: SparkSession, paths: list[str], *read: DataFrame) -> list[str]:
+    """Delete the tables at paths but those that a DataFrame in read still reads, which are returned."""
+    files = [f for df in read for f in df.inputFiles()]
+    kept = [p for p in paths if any(f"/{p.rpartition('/')[2]}/" in f for f in files)]
+    for path in set(paths) - set(kept):
+        discard(spark, path)
+    return kept
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark deletes an execution's shuffle files when it ends: what was written is all that is read later.
