@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard, pieces, quality, rules
-from quire.plans.storage import materialize
+from quire.plans.storage import discard_unread, materialize, tables_written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _clears_up(stage: Stage) -> Stage:
+    """The stage, which first deletes the working tables of earlier ones that docs, written since, no longer reads."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = discard_unread(spark, _left, docs)
+        with tables_written() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
 
+    return run
 
+
+@_clears_up
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from labels, scores at 0.3 or more.
 
@@ -20,11 +40,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_good(docs, model, 0.3)
 
 
+@_clears_up
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are probably good by the rules' votes."""
+    """Documents that pass the base rules and are probably good by the rules' votes.
+
+    Null and empty texts go; repeated rows stand or fall together; an empty table stays empty.
+    """
     return rules.keep_good(docs)
 
 
+@_clears_up
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.8 on 5-word shingles form: the one with the least doc_id.
 
@@ -35,13 +60,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_clears_up
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts hold none and are kept, as are repeated rows of a clean text; an empty benchmark keeps all.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_clears_up
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, a row for each row; null and empty texts have none."""
     return pieces.encode(docs, pieces.Pieces.load())
 
 
