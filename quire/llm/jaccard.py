@@ -118,12 +118,12 @@ def shingle_sets(texts: C.Texts, size: int) -> Iterator[np.ndarray]:
 def bitmap(grams: np.ndarray, far: int) -> np.ndarray:
     """Which of its bits an odd number of shingles falls on, as longs.
 
-    The bits are a power of two, 8 or more for each element in which a linked set may differ. Two sets differ in
+    The bits are a power of two, 6 or more for each element in which a linked set may differ. Two sets differ in
     at least as many elements as their bitmaps in bits, and the halves of a bitmap, xored, are the one of half
     the bits, so those of different length can be compared.
     """
     bits = 64
-    while bits < 8 * far:
+    while bits < 6 * far:
         bits *= 2
     at = (grams & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
@@ -264,7 +264,7 @@ def _near_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
         held(at[ok], at[ok] + step)
     for begin in first[large[first]].tolist():  # rows of a large cell against all later ones, by folded bitmaps first
         end = int(ends[begin])
-        size = max(1, int(width[begin:end].min()) // 4)
+        size = max(1, int(width[begin:end].min()) // 2)
         bits = np.empty((end - begin, size), np.int64)
         for w in np.unique(width[begin:end]).tolist():
             own_width = begin + np.flatnonzero(width[begin:end] == w)
@@ -384,7 +384,7 @@ def similar_groups(
     # signatures whose documents are still in different groups: all their pairs across groups
     apart = keep(_apart(star, labels).select("x", "y"), "apart")
     across = keep(_across(shared, labels, apart, bits, num, den, keep), "across")
-    drop("shared", "rest", "star", "near")
+    drop("shared", "parts", "rest", "star", "near")
     links = links.unionByName(_linked(across, keep(arrays(across), "shingles"), num, den))
     groups = keep(connected_components(keep(links.unionByName(same), "links"), "x", "y"), "groups")
     placed = own.join(groups, own.doc == groups.node, "left").select(
@@ -397,17 +397,32 @@ def similar_groups(
 
 
 def _across(shared: DataFrame, labels: DataFrame, apart: DataFrame, bits: DataFrame, num: int, den: int, keep: Callable) -> DataFrame:
-    """(x, y), each once, x < y: pairs in different groups that share a signature and that their bitmaps allow, but those of apart.
+    """(x, y), each once, x < y: pairs in different groups that share a signature and that their bitmaps allow, but
+    those with the least document of the signature, which are checked before.
 
-    A signature of many documents is cut into blocks, any two of which meet in a cell: no signature is one task's
-    work. Cells are dealt out by hash, about CELL_ROWS rows together.
+    Of signatures with the same documents one is enough. A signature of many documents is cut into blocks, any two
+    of which meet in a cell: no signature is one task's work. Cells are dealt out by hash, about CELL_ROWS rows
+    together.
     """
-    split = shared.join(apart, ["x", "y"], "left_semi").select("sig").distinct()
-    rest = shared.join(split, "sig", "left_semi").select("sig", F.col("y").alias("doc"))
+    others = shared.where("x <> y")
+    split = others.join(apart, ["x", "y"], "left_semi").select("sig").distinct()
     part = labels.select(F.col("node").alias("doc"), "component")
-    blocks = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(part, "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("part")).join(blocks, "sig")
-    rest = keep(rest, "rest")
+    rest = others.join(split, "sig", "left_semi").select("sig", F.col("y").alias("doc")).join(part, "doc", "left")
+    rest = keep(rest.select("sig", "doc", F.coalesce("component", "doc").alias("part")), "parts")
+    mixed = (
+        rest.groupBy("sig")
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("part").alias("low"),
+            F.max("part").alias("high"),
+            *[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"docs{i}") for i in (1, 2)],
+        )
+        .where("low < high")
+        .groupBy("size", "docs1", "docs2")
+        .agg(F.min("sig").alias("sig"))
+        .select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    rest = keep(rest.join(mixed, "sig"), "rest")
     groups = 1 + (rest.agg(F.sum("blocks")).first()[0] or 0) // CELL_ROWS
     cells = (
         rest.join(bits, "doc")

@@ -328,3 +328,25 @@ def test_pipeline_stages(spark):
     assert all(group == i for i, (n, group) in brute.items() if n)
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(texts) and all(r.round_trip for r in out)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Nulls, empties, repeats, clashing columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").limit(40)
+    rows = some.select("*", *[F.lit(c).alias(c) for c in ("kept", "q", "votes", "row", "component", "x", "stats")])
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0), rows):
+            got = stage(spark, docs, sf)
+            if name != "SentencePiece encoding":
+                assert got.columns == docs.columns and got.count() <= docs.count(), name
+            else:
+                assert got.count() == docs.count()
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, odd, sf).collect()}
+    assert kept == {1, 2, 3, 4, None, 6}
+    twice = rows.union(rows)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        one, two = stage(spark, rows, sf).count(), stage(spark, twice, sf).count()
+        assert two == 2 * one, name
