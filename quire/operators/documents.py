@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.storage import materialize
+
+
+#: Entries of a lexicon that may be broadcast; a larger one is joined by a shuffle.
+LEXICON_ROWS = 200_000
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, sha256 of the text, and whether an earlier document has the same one."""
-    hashed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    hashed = materialize(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")), "hashes")  # each text once
     first = hashed.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     return hashed.join(first, "sha256").select("doc_id", "sha256", (F.col("doc_id") > F.col("first_id")).alias("is_duplicate"), "n_copies")
 
 
-def sentence_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, sentence)."""
-    return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("position", "sentence"))
+def sentence_table(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, position, sentence) and more columns of the document."""
+    return docs.select("doc_id", *more, F.posexplode(T.sentences(F.col("text"))).alias("position", "sentence"))
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -30,8 +35,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def detect_claims(sentences: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, position, claim_type, n_patterns, confidence) of the sentences that patterns match.
+def detect_claims(sentences: DataFrame, patterns: list[tuple[str, str]], *more: str) -> DataFrame:
+    """(doc_id, position, claim_type, n_patterns, confidence) of the sentences that patterns match, and more of their columns.
 
     patterns: (claim_type, regular expression), at most some dozens. Two or more matches over all types give
     0.8, one 0.6.
@@ -46,11 +51,11 @@ def detect_claims(sentences: DataFrame, patterns: list[tuple[str, str]]) -> Data
             for t in types
         ]
     )
-    hits = sentences.select("doc_id", "position", F.filter(counted, lambda x: x["n_patterns"] > 0).alias("hits"))
+    hits = sentences.select("doc_id", *more, "position", F.filter(counted, lambda x: x["n_patterns"] > 0).alias("hits"))
     total = F.aggregate("hits", F.lit(0), lambda s, x: s + x["n_patterns"])
     return hits.where(F.size("hits") > 0).select(
-        "doc_id", "position", F.explode("hits").alias("hit"), F.when(total >= 2, 0.8).otherwise(0.6).alias("confidence")
-    ).select("doc_id", "position", "hit.claim_type", F.col("hit.n_patterns").cast("long").alias("n_patterns"), "confidence")
+        "doc_id", *more, "position", F.explode("hits").alias("hit"), F.when(total >= 2, 0.8).otherwise(0.6).alias("confidence")
+    ).select("doc_id", *more, "position", "hit.claim_type", F.col("hit.n_patterns").cast("long").alias("n_patterns"), "confidence")
 
 
 #: The claim types, each with its regular expressions, in the order that numbers claims.
@@ -100,9 +105,12 @@ def section_claims(sentences: DataFrame) -> DataFrame:
 
 def find_entities(docs: DataFrame, lexicon: DataFrame, token: str = r"[A-Za-z]+") -> DataFrame:
     """(doc_id, text, label, n_mentions) of single-token lexicon entries (term, label), by an equi join on tokens."""
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("term"))
-    counted = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n_mentions"))
-    return counted.join(lexicon, "term").select("doc_id", F.col("term").alias("text"), "label", "n_mentions")
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("text"))
+    terms = lexicon.withColumnRenamed("term", "text")
+    if terms.count() <= LEXICON_ROWS:  # then no token is shuffled that is not in it
+        terms = F.broadcast(terms)
+    found = tokens.join(terms, "text")
+    return found.groupBy("doc_id", "text", "label").agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
 def deduplicate(rows: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:

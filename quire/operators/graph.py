@@ -134,3 +134,60 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "min_confidence",
         "max_confidence",
     )
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 10) -> DataFrame:
+    """(position, node_id) of a path of fewest undirected edges, up to so many; no rows if there is none.
+
+    Of several the one that takes, from the target backwards, the least node at each step. Only the rows of the
+    path itself reach the driver.
+    """
+    spark = edges.sparkSession
+    ways = materialize(_both(edges), "ways")
+    found = materialize(distances(edges, spark.createDataFrame([(source,)], "node_id string"), depth), "distances")
+    end = found.where(F.col("node_id") == target).first()
+    if end is None:
+        return spark.createDataFrame([], "position int, node_id string")
+    path = [target]
+    for hop in range(end.distance - 1, -1, -1):
+        before = ways.where(F.col("u") == path[-1]).join(found.where(F.col("distance") == hop), F.col("v") == F.col("node_id"))
+        path.append(before.agg(F.min("node_id")).first()[0])
+    return spark.createDataFrame(list(enumerate(reversed(path))), "position int, node_id string")
+
+
+def simple_paths(edges: DataFrame, source: str, target: str, depth: int = 5) -> DataFrame:
+    """(nodes, n_edges) of every undirected path without a repeated node from source to target, of at most so many edges.
+
+    A path ends where it meets the target; from a node to itself there is one path, of no edge.
+    """
+    ways = materialize(_both(edges).where("u <> v"), "ways")
+    open_paths = edges.sparkSession.createDataFrame([([source],)], "nodes array<string>")
+    done = open_paths.where(F.lit(source == target))
+    for _ in range(0 if source == target else depth):
+        step = open_paths.join(ways, F.element_at("nodes", -1) == F.col("u")).where(~F.array_contains("nodes", F.col("v")))
+        step = materialize(step.select(F.concat("nodes", F.array("v")).alias("nodes")), "paths")
+        done = done.unionByName(step.where(F.element_at("nodes", -1) == target))
+        open_paths = step.where(F.element_at("nodes", -1) != target)
+    return done.select("nodes", (F.size("nodes") - 1).alias("n_edges"))
+
+
+def components_with_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of every node; one without an edge is its own."""
+    found = components(edges)
+    return nodes.select(F.col("node_id").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def stage_of_edge(edge_id: Column, stages: dict[str, str]) -> Column:
+    """The stage that made an edge, by what its id begins with up to the first `_`; `unknown` for others."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in stages.items() for x in kv])[F.substring_index(edge_id, "_", 1)], F.lit("unknown"))
+
+
+def density_by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_type, n_nodes, n_edges, density): edges with both ends of a type over n (n - 1), uncapped."""
+    kinds = nodes.select("node_id", "node_type")
+    ends = edges.join(kinds.toDF("source_id", "node_type"), "source_id").join(kinds.toDF("target_id", "other"), "target_id")
+    inside = ends.where("node_type = other").groupBy("node_type").agg(F.count(F.lit(1)).alias("n_edges"))
+    n = kinds.groupBy("node_type").agg(F.count(F.lit(1)).alias("n_nodes"))
+    possible = F.col("n_nodes") * (F.col("n_nodes") - 1)
+    edges_of = F.coalesce("n_edges", F.lit(0))
+    return n.join(inside, "node_type", "left").select("node_type", "n_nodes", edges_of.alias("n_edges"), F.round(F.when(possible > 0, edges_of / possible).otherwise(0.0), 10).alias("density"))

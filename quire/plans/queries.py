@@ -50,8 +50,8 @@ SELECT source, claim_type, count(*) AS n_claims, CAST(sum(n) AS BIGINT) AS n_mat
 )
 def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").where("lang = 'en'")
-    claims = D.detect_claims(D.sentence_table(docs), CLAIMS)
-    return claims.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "claim_type").agg(
+    claims = D.detect_claims(D.sentence_table(docs, "source"), CLAIMS, "source")
+    return claims.groupBy("source", "claim_type").agg(
         F.count(F.lit(1)).alias("n_claims"), F.sum("n_patterns").alias("n_matches"), F.round(F.avg("confidence"), 4).alias("avg_confidence")
     )
 
@@ -79,8 +79,8 @@ SELECT source, claim_type, count(*) AS n_claims, CAST(sum(n) AS BIGINT) AS n_mat
 )
 def claim_counts_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    claims = D.detect_claims(D.sentence_table(docs), CLAIM_WORDS)
-    return claims.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "claim_type").agg(
+    claims = D.detect_claims(D.sentence_table(docs, "source"), CLAIM_WORDS, "source")
+    return claims.groupBy("source", "claim_type").agg(
         F.count(F.lit(1)).alias("n_claims"), F.sum("n_patterns").alias("n_matches"), F.round(F.avg("confidence"), 4).alias("avg_confidence")
     )
 
@@ -337,3 +337,6 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("turn").cast("long").alias("first_turn"),
         (F.max("turn") - F.min("turn") + 1 == F.countDistinct("turn")).alias("contiguous"),
     )
+
+
+from quire.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  registers its queries here
