@@ -224,7 +224,7 @@ def _near_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
     different parts, between the blocks low and high if these differ, and that sizes and bitmaps allow."""
     sig, low, high, own, doc, part, n = (table.column(c).to_numpy() for c in ("sig", "low", "high", "own", "doc", "part", "n"))
     lists = table.column("bits").combine_chunks()
-    offsets, longs = lists.offsets.to_numpy(), lists.values.to_numpy()
+    offsets, longs = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)  # numpy counts bits of a signed number's absolute value
     width = np.diff(offsets)
     order = np.lexsort((doc, high, low, sig))
     sig, low, high, own, doc, part, n, width = (x[order] for x in (sig, low, high, own, doc, part, n, width))
@@ -265,7 +265,7 @@ def _near_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
     for begin in first[large[first]].tolist():  # rows of a large cell against all later ones, by folded bitmaps first
         end = int(ends[begin])
         size = max(1, int(width[begin:end].min()) // 2)
-        bits = np.empty((end - begin, size), np.int64)
+        bits = np.empty((end - begin, size), np.uint64)
         for w in np.unique(width[begin:end]).tolist():
             own_width = begin + np.flatnonzero(width[begin:end] == w)
             bits[own_width - begin] = _rows(offsets, longs, order[own_width], w, size)

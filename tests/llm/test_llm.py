@@ -120,6 +120,25 @@ def test_signatures_that_stay_mixed(spark, monkeypatch):
         assert got == expected
 
 
+@pytest.mark.parametrize("count", [12, 40])
+def test_near_pairs_keep_every_link(count):
+    rng = np.random.default_rng(2)
+    core = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    bands, rows = jaccard.Bands(85, 100), []
+    for i in range(count):
+        gone = rng.permutation(400)[: rng.integers(0, 60)]
+        some = np.concatenate([np.delete(core, gone), rng.integers(0, 1 << 63, rng.integers(0, 20)).astype(np.uint64)])
+        rows.append(np.unique(some))
+    table = columns.pa.table({
+        "sig": [1] * count, "low": [0] * count, "high": [0] * count, "own": [0] * count, "doc": list(range(count)), "part": list(range(count)),
+        "n": [len(r) for r in rows], "bits": [jaccard.bitmap(r, bands.distance(2 * len(r))).tolist() for r in rows],
+    })
+    got = jaccard._near_pairs(table, 85, 100)
+    found = set(zip(got.column("x").to_pylist(), got.column("y").to_pylist()))
+    linked = {(i, j) for i, j in itertools.combinations(range(count), 2) if 100 * len(np.intersect1d(rows[i], rows[j])) >= 85 * len(np.union1d(rows[i], rows[j]))}
+    assert linked and linked <= found and len(found) < count * (count - 1) // 2
+
+
 def test_one_id_with_two_texts(spark):
     a, b = _prose(random.Random(1), 60), _prose(random.Random(2), 60)
     rows = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (11, a + " tail"), (3, b + " tail"), (1, "other text")], "doc_id long, text string")
