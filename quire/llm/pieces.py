@@ -29,7 +29,7 @@ UNK_PENALTY = 10.0
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units of at most so many characters, and about twice so many of them, are remembered by a worker: those met
 #: since the last so many new ones, and those met before.
-SHORT, REMEMBERED = 32, 60_000
+SHORT, REMEMBERED = 64, 250_000
 _UNIT = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
