@@ -359,7 +359,9 @@ def similar_groups(
     # documents that share a signature with another, each with the least one of that signature
     signed = sets.select("doc", F.explode("sigs").alias("sig"))
     least = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("most")).where("x < most").select("sig", "x")
-    shared = keep(signed.join(keep(least, "least"), "sig").select("sig", "x", F.col("doc").alias("y")), "shared")
+    # the least ones grow with the input: sorted and merged at any size, never broadcast; hot signatures can be split
+    least = keep(least, "least").hint("merge")
+    shared = keep(signed.join(least, "sig").select("sig", "x", F.col("doc").alias("y")), "shared")
     star = keep(shared.where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")), "star")
     some = keep(star.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidates")
     bits = keep(sets.select("doc", "n", "bits").join(some, "doc", "left_semi"), "bits")
