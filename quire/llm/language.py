@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quire.llm.quality import held_out
 
 SPACE, OTHER, PAD = 0, 1, 2
-#: Characters of a document that are read in one go; the end of such a block ends a phrase.
+#: Characters of a document that are read side by side with those of others; phrases go on over a block's end.
 BLOCK = 1024
 
 
@@ -95,28 +95,86 @@ class LanguageModel:
             table[ord(c)] = code
         return table
 
-    def phrases(self, blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each language (columns) in each block of codes; blocks: longest first, padded."""
-        out = np.zeros((len(blocks), len(self.names)), np.int64)
-        columns = np.ascontiguousarray(blocks.T)
+    def phrases(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Phrases of each language (columns) in each text; the texts' codes follow one another, counts of each.
+
+        Blocks of all texts are read at once, each as if a phrase began with it, and where phrases begin is noted.
+        A block is then read again from where the last phrase of the one before ends, until a phrase begins where one
+        was noted: from there both readings are the same. Blocks whose beginning that moves are read once more, until none
+        does, so that phrases are those of reading each text from end to end.
+        """
+        out = np.zeros((len(counts), len(self.names)), np.int64)
+        if not len(codes):
+            return out
+        blocks_of = -(-counts // BLOCK)
+        owner = np.repeat(np.arange(len(counts)), blocks_of)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
+        limit = np.cumsum(counts)[owner]
+        start = limit - counts[owner] + nth * BLOCK
+        end = np.minimum(start + BLOCK, limit)
+        later, goes_on = np.flatnonzero(nth > 0), np.flatnonzero(end < limit)  # block later[i] follows goes_on[i]
+        sizes = end - start
+        order = np.argsort(-sizes, kind="stable")
+        place = start[order][:, None] + np.arange(BLOCK)
+        real = np.arange(BLOCK) < sizes[order][:, None]
+        columns = np.ascontiguousarray(np.where(real, codes[np.minimum(place, len(codes) - 1)], PAD).T)
+        falling = -sizes[order]
         for k, table in enumerate(self.tables):
             flat, width = table.ravel(), table.shape[1]
-            state = np.zeros(len(blocks), np.int32)
-            count = np.zeros(len(blocks), np.int64)
-            for at in range(int(sizes[0]) if len(sizes) else 0):
-                live = int(np.searchsorted(-sizes, -at, "left"))
-                code = columns[at, :live]
-                here = state[:live]
+            state = np.zeros(len(owner), np.int32)
+            begins = np.zeros(columns.shape, bool)
+            for at in range(-int(falling[0])):
+                live = int(np.searchsorted(falling, -at, "left"))
+                code, here = columns[at, :live], state[:live]
                 to = flat[here * width + code]
                 stop = to == 0
-                anew = flat[code]
-                # a phrase ends, and a character that the language lacks is one by itself
-                count[:live] += (stop & (here != 0)).view(np.int8) + (stop & (anew == 0)).view(np.int8)
-                np.copyto(to, anew, where=stop)
+                # a phrase begins after one ended or after a character that the language lacks, which is one by itself
+                begins[at, :live] = stop | (here == 0)
+                np.copyto(to, flat[code], where=stop)
                 state[:live] = to
-            out[:, k] = count + (state != 0)
+            noted = np.zeros(len(codes) + 1, bool)
+            noted[place[real]] = begins.T[real]
+            before = np.concatenate(([0], np.cumsum(noted)))
+            found = before[end] - before[start]
+            at_end = np.zeros(len(owner), np.int32)
+            at_end[order] = state
+            leaves = limit.copy()
+            leaves[goes_on], _ = self._read(flat, width, codes, end[goes_on], at_end[goes_on], end[goes_on], limit[goes_on], noted)
+            noted_leaves = leaves.copy()
+            todo = later
+            while len(todo):
+                entry = leaves[todo - 1]
+                at, begun = self._read(flat, width, codes, entry, np.zeros(len(todo), np.int32), end[todo], limit[todo], noted)
+                met = at < end[todo]
+                found[todo] = begun + np.where(met, before[end[todo]] - before[np.minimum(at, end[todo])], 0)
+                now = np.where(met, noted_leaves[todo], at)
+                moved = todo[(now != leaves[todo]) & (end[todo] < limit[todo])]
+                leaves[todo] = now
+                todo = moved + 1
+            out[:, k] = np.bincount(owner, found, len(counts)).astype(np.int64)
         return out
 
+    @staticmethod
+    def _read(
+        flat: np.ndarray, width: int, codes: np.ndarray, at: np.ndarray, state: np.ndarray, end: np.ndarray, limit: np.ndarray, noted: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Read on from at in state until a phrase begins that is noted or at end or later, or the text's limit:
+        that place, and how many phrases began before it."""
+        at, state, begun = at.copy(), state.copy(), np.zeros(len(at), np.int64)
+        lanes = np.arange(len(at))
+        while len(lanes):
+            lanes = lanes[at[lanes] < limit[lanes]]
+            pos, here = at[lanes], state[lanes]
+            code = codes[pos]
+            to = flat[here * width + code]
+            begins = (to == 0) | (here == 0)
+            on = ~(begins & (noted[pos] | (pos >= end[lanes])))
+            lanes, to, code, begins = lanes[on], to[on], code[on], begins[on]
+            begun[lanes] += begins
+            state[lanes] = np.where(to == 0, flat[code], to)
+            at[lanes] += 1
+        return at, begun
+
     def identify(self, column: pa.Array) -> tuple[list[str | None], np.ndarray]:
         """The language of each text and how sure it is: und and 0 where there is no letter."""
         lut = self.codes()
@@ -153,20 +211,7 @@ class LanguageModel:
         seen[:] = counts > 0
         if not self.names:
             return
-        blocks_of = -(-counts // BLOCK)
-        n = int(blocks_of.sum())
-        first = np.cumsum(counts) - counts
-        block_owner = np.repeat(np.arange(len(texts)), blocks_of)
-        nth = np.arange(n) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
-        sizes = np.minimum(counts[block_owner] - nth * BLOCK, BLOCK)
-        order = np.argsort(-sizes, kind="stable")
-        start = (first[block_owner] + nth * BLOCK)[order]
-        sizes, block_owner = sizes[order], block_owner[order]
-        at = start[:, None] + np.arange(BLOCK)
-        blocks = np.where(np.arange(BLOCK) < sizes[:, None], codes[np.minimum(at, max(len(codes) - 1, 0))], PAD)
-        found = self.phrases(blocks, sizes)
-        for k in range(len(self.names)):
-            cost[:, k] = np.bincount(block_owner, found[:, k], len(texts)) * self.bits[k]
+        cost[:] = self.phrases(codes, counts) * self.bits
 
 
 def fit_languages(
@@ -204,7 +249,11 @@ def fit_languages(
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score for each row of docs; null or letterless texts are und with score 0."""
+    """doc_id, lang_pred and score for each row of docs; null or letterless texts are und with score 0.
+
+    Texts are read whole, from end to end. Of languages that cost the same the first by name is taken; repeated rows each
+    give their row; an empty table gives an empty result; other columns are not read.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as `letters` letters a language
 
