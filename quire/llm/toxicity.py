@@ -31,6 +31,9 @@ TARGETS = "you your yours u he she they them him her these those this that every
 NEGATIONS = "not no never nobody neither nor isn't aren't wasn't don't doesn't didn't won't cannot can't without".split()
 REPORTS = "said says wrote writes claimed claims reported reportedly quoted quote called alleged according told".split()
 
+#: Characters of a stem, from and to.
+LEAST_STEM, LONGEST_STEM = 3, 8
+
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "intent", "target", "negation", "report", "other"
 
 Step = Callable[[Hashable, str], tuple[Hashable, float]]
@@ -88,11 +91,13 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 @dataclass
 class ToxicityModel:
-    """Weights of core words, and of the logistic curve over a document's clause features."""
+    """Weights of core words and of stems, which are insults however they go on, and of the logistic curve over a
+    document's clause features."""
 
     insults: dict[str, float]
     threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, 1.0))
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 4.0, 1.0, 0.0]))
+    stems: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.kinds: dict[str, str] = {}
@@ -102,13 +107,13 @@ class ToxicityModel:
         self.grammar = reduce(compose, (negation(), reported(), addressed(), intended()))
         self.memo: dict[tuple, tuple] = {}
         self.core = ahocorasick.Automaton()
-        for word in self.weights:
-            self.core.add_word(word, len(word))
-        if self.weights:
+        for word in self.weights.keys() | self.stems.keys():
+            self.core.add_word(word, (len(word), word in self.stems))
+        if len(self.core):
             self.core.make_automaton()
 
     def __getstate__(self) -> dict:
-        return {"insults": self.insults, "threats": self.threats, "curve": self.curve}
+        return {"insults": self.insults, "threats": self.threats, "curve": self.curve, "stems": self.stems}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -118,27 +123,36 @@ class ToxicityModel:
         """What the core words of one clause weigh together."""
         state, total = self.grammar.start, 0.0
         for word in words:
-            kind = self.kinds.get(word, OTHER)
+            kind, weight = self._core(word)
             move = self.memo.get((state, kind))
             if move is None:
                 move = self.memo[state, kind] = self.grammar.step(state, kind)
             state, factor = move
             if kind in (INSULT, THREAT):
-                total += factor * self.weights[word]
+                total += factor * weight
         return total
 
+    def _core(self, word: str) -> tuple[str, float]:
+        """A word's class and weight: its own, else that of the longest stem it begins with."""
+        kind = self.kinds.get(word)
+        if kind is None and self.stems:
+            for k in range(min(len(word), LONGEST_STEM), LEAST_STEM - 1, -1):
+                if (weight := self.stems.get(word[:k])) is not None:
+                    return INSULT, weight
+        return kind or OTHER, self.weights.get(word, 0.0)
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         """(heaviest clause, all clauses, matched clauses) of a text."""
         low = (text or "").lower()
-        if not self.weights or not any(self._whole(low, end, size) for end, size in self.core.iter(low)):
+        if not len(self.core) or not any(self._whole(low, end, *found) for end, found in self.core.iter(low)):
             return 0.0, 0.0, 0.0
         weights = [w for c in _CLAUSE.split(low) if (w := self.clause(_WORD.findall(c))) > 0]
         return (max(weights), sum(weights), float(len(weights))) if weights else (0.0, 0.0, 0.0)
 
     @staticmethod
-    def _whole(low: str, end: int, size: int) -> bool:
+    def _whole(low: str, end: int, size: int, stem: bool) -> bool:
         at = end - size
-        return not (at >= 0 and low[at].isalpha()) and not (end + 1 < len(low) and low[end + 1].isalpha())
+        return not (at >= 0 and low[at].isalpha()) and (stem or not (end + 1 < len(low) and low[end + 1].isalpha()))
 
     @staticmethod
     def design(features: np.ndarray) -> np.ndarray:
@@ -160,63 +174,65 @@ def _word_hashes(column: pa.Array) -> Iterator[tuple[C.Texts, C.Words, np.ndarra
 _LETTERS = C.byte_class("", ((0x61, 0x7A), (0x80, 0xFF)))
 
 
-def learn_insults(sample: DataFrame, most: int = 2000) -> dict[str, float]:
-    """Words that labelled documents show to be insults, with weights from 0.5 to 1.5.
+def learn_insults(sample: DataFrame, most: int = 2000, stem_share: float = 0.8) -> tuple[dict[str, float], dict[str, float]]:
+    """Words, and beginnings of words, that labelled documents show to be insults, with weights from 0.5 to 1.5.
 
     sample: (text, label). A word counts by the different words it follows, so that copies of one toxic
-    document do not make all its words look toxic. It is taken if chance gives such a split less than once in a
-    hundred vocabularies; the `most` surest are kept. Words travel as hashes; those chosen are then looked up.
+    document do not make all its words look toxic. The words of one beginning share their evidence: a family of
+    three words or more is judged by their sums, where labels show each of them too seldom. A word or family is taken
+    if chance gives such a split less than once in a hundred vocabularies; the `most` surest of either are kept.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy()
             for texts, found, hashed in _word_hashes(batch.column(0)):
-                inside = C.within(found, 2)
-                bad = label[texts.first + found.text[1:][inside]].astype(np.uint64)
+                inside = np.flatnonzero(C.within(found, 2))
+                bad = label[texts.first + found.text[1:][inside]].astype(np.int64)
                 word, before = hashed[1:][inside], hashed[:-1][inside]
                 with np.errstate(over="ignore"):  # a row of each once in this slice
-                    _, one = np.unique(C.mix(word * np.uint64(3) + before) + bad, return_index=True)
-                x = np.stack([word, before, bad], axis=1)[one].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])], ["word", "before", "bad"])
-
-    seen = sample.mapInArrow(pairs, "word long, before long, bad long").groupBy("word", "before").agg(
+                    _, one = np.unique(C.mix(word * np.uint64(3) + before) + bad.view(np.uint64), return_index=True)
+                at, body = inside[one] + 1, texts.data.tobytes()
+                spelt = [body[s:e].decode("utf-8") for s, e in zip(found.start[at].tolist(), found.end[at].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(spelt, pa.string()), pa.array(before[one].view(np.int64)), pa.array(bad[one])], ["word", "before", "bad"]
+                )
+
+    seen = sample.mapInArrow(pairs, "word string, before long, bad long").groupBy("word", "before").agg(
         F.max("bad").alias("bad"), F.max(1 - F.col("bad")).alias("good")
     )
     counts = materialize(seen.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
+    sizes = F.sequence(F.lit(LEAST_STEM), F.least(F.lit(LONGEST_STEM), F.length("word")))
+    stems = (
+        counts.where(F.length("word") >= LEAST_STEM)
+        .select(F.explode(sizes).alias("k"), "word", "bad", "good")
+        .groupBy(F.expr("substring(word, 1, k)").alias("word"))
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("members"))
+        .where("members >= 3")
+        .select("word", "bad", "good")
+    )
+    stems = materialize(stems, "stems")
     all_of = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).first()
     if not all_of.bad or not all_of.good:
-        return {}
+        return {}, {}
     share = all_of.bad / (all_of.bad + all_of.good)
+    tried = all_of.n + stems.count()
     n, p = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     q = F.greatest(F.lit(1.0) - p, F.lit(1e-12))
     far = n * (p * F.log(p / share) + q * F.log(q / (1 - share)))
-    chosen = (
-        counts.where("bad >= 3")
-        .withColumn("far", far)
-        .where((p >= max(0.6, min(0.95, 3 * share))) & (F.col("far") >= math.log(all_of.n + 1) + 4.6))
-        .orderBy(F.desc("far"), "word")
-        .limit(most)
-        .collect()
-    )
-    weights = {r.word: 0.5 + r.bad / (r.bad + r.good) for r in chosen}
-    known = np.array(sorted(weights), np.int64).view(np.uint64)
-    known.sort()
-    if not len(known):
-        return {}
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts, found, hashed in _word_hashes(batch.column(0)):
-                hit = np.flatnonzero(np.isin(hashed, known))
-                _, one = np.unique(hashed[hit], return_index=True)
-                at = hit[one]
-                spelt = [texts.data[s:e].tobytes().decode("utf-8") for s, e in zip(found.start[at], found.end[at])]
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[at].view(np.int64)), pa.array(spelt, pa.string())], ["word", "spelt"])
+    def surest(table: DataFrame, least: float) -> dict[str, float]:
+        rows = (
+            table.where("bad >= 3")
+            .withColumn("far", far)
+            .where((p >= least) & (F.col("far") >= math.log(tried + 1) + 4.6))
+            .orderBy(F.desc("far"), "word")
+            .limit(most)
+            .collect()
+        )
+        return {r.word: 0.5 + r.bad / (r.bad + r.good) for r in rows if r.word.isalpha()}
 
-    # at most `most` rows: one for each hash
-    spelt = sample.mapInArrow(spell, "word long, spelt string").groupBy("word").agg(F.min("spelt").alias("spelt")).collect()
-    return {r.spelt: weights[r.word] for r in spelt if r.spelt.isalpha()}
+    return surest(counts, max(0.6, min(0.95, 3 * share))), surest(stems, max(stem_share, min(0.95, 3 * share)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 40_000, seed: int = 11) -> ToxicityModel:
@@ -230,8 +246,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 40_000, seed:
     share = F.when(F.col("label") == 1, sample / 2 / max(1, counts.get(1, 0))).otherwise(sample / 2 / max(1, counts.get(0, 0)))
     chosen = labels.where(draw < share)  # at most about `sample` short rows: small enough to broadcast
     texts = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    learned = learn_insults(texts)
-    model = ToxicityModel(dict.fromkeys(INSULTS, 1.0) | learned)
+    learned, stems = learn_insults(texts)
+    model = ToxicityModel(dict.fromkeys(INSULTS, 1.0) | learned, stems=stems)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

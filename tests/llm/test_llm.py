@@ -280,22 +280,27 @@ def test_other_operators_on_odd_rows(spark, odd):
         assert df.count() == 0
 
 
-def test_language_phrases():
-    model = language.LanguageModel.fit({"a": "abcabd", "b": "xyz"})
-    for text in ("abcabd", "abab", "xyzx", "zzz", "q", "ab xyz", "bdabca" * 700):
-        plain = language.plain_letters(text)
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1024])
+def test_language_phrases(monkeypatch, block):
+    """Phrases of whole texts, read from end to end, whatever the blocks and the texts beside them."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    sources = {"a": "abcabd", "b": "xyz", "c": "".join(rng.choice(list("abc "), 300))}
+    model = language.LanguageModel.fit(sources)
+    texts = ["abcabd", "", "abab", "xyzx", "zzz", "q", "ab xyz", "bdabca" * 700, sources["c"] * 9]
+    texts += ["".join(rng.choice(list("abcdxyzq "), n, p=[0.25, 0.2, 0.2, 0.1, 0.1, 0.05, 0.04, 0.01, 0.05])) for n in rng.integers(1, 400, 40)]
+    plain = [language.plain_letters(t) for t in texts]
+    codes = np.array([model.alphabet.get(c, language.OTHER) for t in plain for c in t], np.uint8)
+    got = model.phrases(codes, np.array([len(t) for t in plain]))
+    for row, text in zip(got, plain):
         for k, name in enumerate(model.names):
-            source, n = {"a": "abcabd", "b": "xyz"}[name], 0
-            for s in range(0, len(plain), language.BLOCK):
-                part, i = plain[s : s + language.BLOCK], 0
-                while i < len(part):
-                    j = i + 1
-                    while j <= len(part) and part[i:j] in source:
-                        j += 1
-                    i, n = max(i + 1, j - 1), n + 1
-            codes = np.array([model.alphabet.get(c, language.OTHER) for c in plain])
-            got = sum(model.phrases(codes[None, s : s + language.BLOCK], np.array([len(codes[s : s + language.BLOCK])]))[0, k] for s in range(0, len(codes), language.BLOCK))
-            assert got == n, (text, name)
+            i = n = 0
+            while i < len(text):
+                j = i + 1
+                while j <= len(text) and text[i:j] in sources[name]:
+                    j += 1
+                i, n = max(i + 1, j - 1), n + 1
+            assert row[k] == n, (text, name)
 
 
 def test_toxicity_grammar():
@@ -306,6 +311,19 @@ def test_toxicity_grammar():
     assert weigh("idiotic") == weigh("a clean clause. you") == weigh("") == weigh(None) == 0
 
 
+def test_toxicity_stems(spark):
+    """Words that labels show too seldom share the evidence of their beginning; ordinary beginnings give no stem."""
+    ends = [a + b for a in "aeiou" for b in "klmnprst"]
+    rows = [(f"w{chr(97 + i % 26)}x today vilm{ends[i % 40]} walks house{ends[i % 40]}", 1) for i in range(80)]
+    rows += [(f"w{chr(97 + i % 26)}x today friend{ends[i % 40]} walks house{ends[i % 40]}", 0) for i in range(400)]
+    rows = [(" ".join(f"{w} p{ends[(i * 7 + j) % 40]}{ends[i % 40]}" for j, w in enumerate(t.split())), y) for i, (t, y) in enumerate(rows)]
+    words, stems = toxicity.learn_insults(spark.createDataFrame([(" ".join(reversed(t.split())), y) for t, y in rows], "text string, label int"))
+    assert "vil" in stems and all(s.startswith("vil") for s in stems)
+    model = toxicity.ToxicityModel(words, {}, stems=stems)
+    assert model.features("you vilmzzz")[0] > 0 and model.features("you evilm, devil friendak houseak") == (0.0, 0.0, 0.0)
+    assert toxicity.learn_insults(spark.createDataFrame([], "text string, label int")) == ({}, {})
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
