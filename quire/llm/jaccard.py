@@ -29,6 +29,9 @@ SLICE_BYTES = 1 << 20
 REMEMBERED = 200_000
 #: Ids that may be broadcast (about 50 MB), counted before; more of them are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Sets and signatures are brought together in so many shares by hash, one after the other: a shuffle, which stays on
+#: disk until its table is written, holds one share.
+SHARES = 4
 #: Documents of one signature that are checked pair by pair against the others in one piece.
 BLOCK = 1000
 #: Rows of cells that are checked together, about.
@@ -338,6 +341,12 @@ def similar_groups(
         made.append(write_work(df, name))
         return read_back(df, made[-1])
 
+    def keep_shares(make: Callable[[int], DataFrame], name: str) -> DataFrame:
+        """One table of all shares."""
+        before = len(made)
+        shares = [keep(make(k), name) for k in range(SHARES)]
+        return spark.read.schema(shares[0].schema).parquet(*[p for p in made[before:] if f"/{name}-" in p])
+
     def drop(*names: str) -> None:
         for path in [p for p in made if p.rpartition("/")[2].rpartition("-")[0] in names]:
             discard(spark, path)
@@ -347,21 +356,27 @@ def similar_groups(
     sketches = keep(_sketches(rows, Bands(num, den), size), "sketches")
 
     # equal sets go on as one, with their least document
-    sets = sketches.where("k1 is not null").groupBy("k1", "k2").agg(
-        F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits", True).alias("bits"), F.first("sigs", True).alias("sigs")
-    )
-    sets = keep(sets, "sets")
+    def equal_sets(k: int) -> DataFrame:
+        return sketches.where(F.pmod("k1", F.lit(SHARES)) == k).groupBy("k1", "k2").agg(
+            F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits", True).alias("bits"), F.first("sigs", True).alias("sigs")
+        )
+
+    sets = keep_shares(equal_sets, "sets")
     own = sketches.select("doc", "n", "k1", "k2").join(sets.select("k1", "k2", F.col("doc").alias("first")), ["k1", "k2"], "left")
     own = keep(own.select("doc", "n", "first"), "own")
     same = own.where("first <> doc").select(F.col("first").alias("x"), F.col("doc").alias("y"))
     drop("sketches")
 
     # documents that share a signature with another, each with the least one of that signature
-    signed = sets.select("doc", F.explode("sigs").alias("sig"))
-    least = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("most")).where("x < most").select("sig", "x")
-    # the least ones grow with the input: sorted and merged at any size, never broadcast; hot signatures can be split
-    least = keep(least, "least").hint("merge")
-    shared = keep(signed.join(least, "sig").select("sig", "x", F.col("doc").alias("y")), "shared")
+    def sharing(k: int) -> DataFrame:
+        drop("least")
+        signed = sets.select("doc", F.explode("sigs").alias("sig")).where(F.pmod("sig", F.lit(SHARES)) == k)
+        least = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("most")).where("x < most").select("sig", "x")
+        # the least ones grow with the input: sorted and merged at any size, never broadcast; hot signatures can be split
+        least = keep(least, "least").hint("merge")
+        return signed.join(least, "sig").select("sig", "x", F.col("doc").alias("y"))
+
+    shared = keep_shares(sharing, "shared")
     star = keep(shared.where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")), "star")
     some = keep(star.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidates")
     bits = keep(sets.select("doc", "n", "bits").join(some, "doc", "left_semi"), "bits")
