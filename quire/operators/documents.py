@@ -119,11 +119,6 @@ def deduplicate(rows: DataFrame, keys: list[str], score: str, order: str) -> Dat
     return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def inverted_index(rows: DataFrame, key: Column, doc: str = "doc_id") -> DataFrame:
-    """(key, doc_id) rows of an index, each once; nulls left out."""
-    return rows.select(key.alias("key"), doc).where("key is not null").distinct()
-
-
 def concordance(sections: DataFrame) -> DataFrame:
     """(doc_id, share) of section pairs in canonical order.
 

@@ -38,24 +38,6 @@ s AS (SELECT doc_id, source, lang, unnest(list_filter(string_split_regex(regexp_
         lambda x: trim(x) <> '')) AS sentence FROM documents)"""
 
 
-@query(
-    "WITH " + _SENTENCES + r""",
-c AS (SELECT source, sentence, CAST(regexp_matches(sentence, '(?i)\band the\b') AS INT) + CAST(regexp_matches(sentence, '(?i)\band a\b') AS INT) AS a,
-  CAST(regexp_matches(sentence, '(?i)\bof the\b') AS INT) + CAST(regexp_matches(sentence, '(?i)\bin the\b') AS INT) AS r,
-  CAST(regexp_matches(sentence, '(?i)\bis the\b') AS INT) AS i FROM s WHERE lang = 'en'),
-h AS (SELECT source, 'addition' AS claim_type, a AS n, a + r + i AS t FROM c WHERE a > 0 UNION ALL
-  SELECT source, 'relation', r, a + r + i FROM c WHERE r > 0 UNION ALL SELECT source, 'identity', i, a + r + i FROM c WHERE i > 0)
-SELECT source, claim_type, count(*) AS n_claims, CAST(sum(n) AS BIGINT) AS n_matches,
-  round(avg(CASE WHEN t >= 2 THEN 0.8 ELSE 0.6 END), 4) AS avg_confidence FROM h GROUP BY ALL"""
-)
-def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'")
-    claims = D.detect_claims(D.sentence_table(docs, "source"), CLAIMS, "source")
-    return claims.groupBy("source", "claim_type").agg(
-        F.count(F.lit(1)).alias("n_claims"), F.sum("n_patterns").alias("n_matches"), F.round(F.avg("confidence"), 4).alias("avg_confidence")
-    )
-
-
 def _whole_words(phrase: str) -> str:
     """A phrase in any ASCII case between non-letters: the same to Java and RE2, whose \\b and (?i) differ on accented letters."""
     return r"(?:^|[^\p{L}\p{M}\p{N}_])" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in phrase) + r"(?:[^\p{L}\p{M}\p{N}_]|\z)"
@@ -68,7 +50,6 @@ def _matches(kind: str) -> str:
     return " + ".join(f"CAST(regexp_matches(sentence, '{p}') AS INT)" for t, p in CLAIM_WORDS if t == kind)
 
 
-# claim_counts and dictionary_entities read English alone, as far as their SQL goes; these two read every document.
 @query(
     "WITH " + _SENTENCES + f""",
 c AS (SELECT source, sentence, {_matches("addition")} AS a, {_matches("relation")} AS r, {_matches("identity")} AS i FROM s),
@@ -77,7 +58,7 @@ h AS (SELECT source, 'addition' AS claim_type, a AS n, a + r + i AS t FROM c WHE
 SELECT source, claim_type, count(*) AS n_claims, CAST(sum(n) AS BIGINT) AS n_matches,
   round(avg(CASE WHEN t >= 2 THEN 0.8 ELSE 0.6 END), 4) AS avg_confidence FROM h GROUP BY ALL"""
 )
-def claim_counts_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     claims = D.detect_claims(D.sentence_table(docs, "source"), CLAIM_WORDS, "source")
     return claims.groupBy("source", "claim_type").agg(
@@ -90,7 +71,7 @@ def claim_counts_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 lex(term, label) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in LEXICON) + """)
 SELECT doc_id, term AS text, label, count(*) AS n_mentions FROM t JOIN lex USING (term) GROUP BY ALL"""
 )
-def dictionary_entities_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dictionary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = spark.createDataFrame(LEXICON, "term string, label string")
     return D.find_entities(_table(spark, sf_dir, "documents"), lexicon, r"[\p{L}\p{M}]+")
 
@@ -112,16 +93,6 @@ def word_and_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.text_counts(_table(spark, sf_dir, "documents"))
 
 
-@query(
-    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents WHERE lang = 'en'),
-lex(term, label) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in LEXICON) + """)
-SELECT doc_id, term AS text, label, count(*) AS n_mentions FROM t JOIN lex USING (term) GROUP BY ALL"""
-)
-def dictionary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'")
-    return D.find_entities(docs, spark.createDataFrame(LEXICON, "term string, label string"))
-
-
 @query(
     """SELECT o_custkey, o_orderpriority, o_orderkey, o_totalprice FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1"""
@@ -137,11 +108,8 @@ UNION ALL SELECT 'initial', upper(substr(text, 1, 1)), count(DISTINCT doc_id) FR
 def corpus_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     parts = {"source": F.col("source"), "language": F.col("lang"), "initial": F.when(F.col("text") != "", F.upper(F.substring("text", 1, 1)))}
-    out = None
-    for name, key in parts.items():
-        counted = D.inverted_index(docs, key).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")).select(F.lit(name).alias("index_name"), "key", "n_docs")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    pairs = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(name).alias("index_name"), key.alias("key")) for name, key in parts.items()])).alias("entry"))
+    return pairs.select("doc_id", "entry.*").where("key is not null").groupBy("index_name", "key").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("""SELECT count(*) AS n_documents, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_languages,
@@ -271,20 +239,11 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(_edges(spark, sf_dir), spark.createDataFrame([("d1",)], "node_id string"), 2)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, w AS (SELECT source_id AS u, target_id AS v FROM e WHERE relation_type = 'A' AND confidence = 1.0 UNION
-  SELECT target_id, source_id FROM e WHERE relation_type = 'A' AND confidence = 1.0),
-b AS (SELECT u AS node, u AS reach FROM w UNION SELECT node, v FROM b JOIN w ON u = reach)
-SELECT node, min(reach) AS component FROM b GROUP BY node""")
-def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(_edges(spark, sf_dir).where("relation_type = 'A' and confidence = 1.0"))
-
-
-# graph_components is the certain A-edges alone, as far as its SQL goes; this is R06 over the whole graph.
 @query(f"""WITH RECURSIVE {_EDGES}, w AS MATERIALIZED (SELECT source_id AS u, target_id AS v FROM e UNION SELECT target_id, source_id FROM e),
 b(node, component) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM w GROUP BY u
   UNION SELECT w.v, min(b.component) FROM b JOIN w ON b.node = w.u JOIN recurring.b AS k ON k.node = w.v WHERE b.component < k.component GROUP BY w.v)
 SELECT node, component FROM b""")
-def graph_components_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(_edges(spark, sf_dir))
 
 

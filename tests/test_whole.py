@@ -27,7 +27,7 @@ def test_components_take_every_edge(spark, tmp_path):
     """Lines of any flag and discount join their ends; one flag or confidence alone would not."""
     lines = [(1, 1, "A", 0.0), (1, 2, "N", 0.1), (2, 2, "R", 0.05), (3, 3, "N", 0.0), (4, 4, "R", 0.07), (4, 5, "A", 0.02), (5, 5, "N", 0.1), (5, 5, "N", 0.1)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = queries.graph_components_all_edges(spark, str(tmp_path)).collect()
+    got = queries.graph_components(spark, str(tmp_path)).collect()
     expected = _union_find((f"d{a}", f"c{b}") for a, b, _, _ in lines)
     assert len(got) == len(expected) and {tuple(r) for r in got} == set(expected.items())
     assert len(set(expected.values())) == 3
@@ -61,12 +61,12 @@ def test_claims_in_every_language(spark, tmp_path):
                 at = [m.start() for m in re.finditer(f"(?i)(?a:{phrase})", sentence)]
                 if any(not _word((" " + sentence)[i]) and not _word((sentence + " ")[i + len(phrase)]) for i in at):
                     expected[source, kind] += 1
-    got = {(r.source, r.claim_type): r.n_matches for r in queries.claim_counts_all_languages(spark, _texts(spark, tmp_path)).collect()}
+    got = {(r.source, r.claim_type): r.n_matches for r in queries.claim_counts(spark, _texts(spark, tmp_path)).collect()}
     assert got == dict(expected) and ("a", "addition") in got and ("b", "relation") in got
 
 
 def test_entities_in_every_language(spark, tmp_path):
-    got = {(r.doc_id, r.text, r.n_mentions) for r in queries.dictionary_entities_all_languages(spark, _texts(spark, tmp_path)).collect()}
+    got = {(r.doc_id, r.text, r.n_mentions) for r in queries.dictionary_entities(spark, _texts(spark, tmp_path)).collect()}
     assert got == {(1, "The", 1), (1, "And", 1), (2, "And", 1), (2, "With", 1), (3, "The", 1), (3, "This", 1), (3, "That", 1), (4, "The", 2)}
 
 
