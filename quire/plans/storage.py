@@ -35,11 +35,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return read_back(df, write_work(df, name))
 
 
-def write_work(df: DataFrame, name: str = "table") -> str:
-    """Write df to a fresh folder of the workspace; returns its path."""
+def write_work(df: DataFrame, name: str = "table", *by: str) -> str:
+    """Write df to a fresh folder of the workspace, in one folder below it for each value of by; returns its path."""
     path = f"{workspace(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex[:12]}"
     with _shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     if (made := _written.get()) is not None:
         made.append(path)
     return path
