@@ -341,11 +341,8 @@ def similar_groups(
         made.append(write_work(df, name))
         return read_back(df, made[-1])
 
-    def keep_shares(make: Callable[[int], DataFrame], name: str) -> DataFrame:
-        """One table of all shares."""
-        before = len(made)
-        shares = [keep(make(k), name) for k in range(SHARES)]
-        return spark.read.schema(shares[0].schema).parquet(*[p for p in made[before:] if f"/{name}-" in p])
+    def all_shares(share: DataFrame, name: str) -> DataFrame:
+        return spark.read.schema(share.schema).parquet(*[p for p in made if f"/{name}-" in p])
 
     def drop(*names: str) -> None:
         for path in [p for p in made if p.rpartition("/")[2].rpartition("-")[0] in names]:
@@ -353,34 +350,37 @@ def similar_groups(
             made.remove(path)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sketches = keep(_sketches(rows, Bands(num, den), size), "sketches")
+    sketches = _sketches(rows, Bands(num, den), size).withColumn("share", F.pmod(F.coalesce("k1", F.lit(0)), F.lit(SHARES)).cast("int"))
+    path = write_work(sketches, "sketches", "share")
 
-    # equal sets go on as one, with their least document
-    def equal_sets(k: int) -> DataFrame:
-        return sketches.where(F.pmod("k1", F.lit(SHARES)) == k).groupBy("k1", "k2").agg(
+    # equal sets go on as one, with their least document; a share's sketches go when its sets are written
+    for k in range(SHARES):
+        share = read_back(sketches, path).where(F.col("share") == k)
+        sets = share.where("k1 is not null").groupBy("k1", "k2").agg(
             F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits", True).alias("bits"), F.first("sigs", True).alias("sigs")
         )
-
-    sets = keep_shares(equal_sets, "sets")
-    own = sketches.select("doc", "n", "k1", "k2").join(sets.select("k1", "k2", F.col("doc").alias("first")), ["k1", "k2"], "left")
-    own = keep(own.select("doc", "n", "first"), "own")
+        sets = keep(sets, "sets")
+        own = share.select("doc", "n", "k1", "k2").join(sets.select("k1", "k2", F.col("doc").alias("first")), ["k1", "k2"], "left")
+        own = keep(own.select("doc", "n", "first"), "own")
+        discard(spark, f"{path}/share={k}")
+    sets, own = all_shares(sets, "sets"), all_shares(own, "own")
+    made.append(path)
     same = own.where("first <> doc").select(F.col("first").alias("x"), F.col("doc").alias("y"))
     drop("sketches")
 
     # documents that share a signature with another, each with the least one of that signature
-    def sharing(k: int) -> DataFrame:
-        drop("least")
+    for k in range(SHARES):
         signed = sets.select("doc", F.explode("sigs").alias("sig")).where(F.pmod("sig", F.lit(SHARES)) == k)
         least = signed.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("most")).where("x < most").select("sig", "x")
         # the least ones grow with the input: sorted and merged at any size, never broadcast; hot signatures can be split
         least = keep(least, "least").hint("merge")
-        return signed.join(least, "sig").select("sig", "x", F.col("doc").alias("y"))
-
-    shared = keep_shares(sharing, "shared")
+        shared = keep(signed.join(least, "sig").select("sig", "x", F.col("doc").alias("y")), "shared")
+        drop("least")
+    shared = all_shares(shared, "shared")
     star = keep(shared.where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")), "star")
     some = keep(star.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidates")
     bits = keep(sets.select("doc", "n", "bits").join(some, "doc", "left_semi"), "bits")
-    drop("sets", "least")
+    drop("sets")
     near = star.join(_side(bits, "x", "n", "bits"), "x").join(_side(bits, "y", "n", "bits"), "y").where(_may_link(num, den))
     near = keep(near.select("x", "y", "times"), "near")
 
