@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def normalize_text(text: Column) -> Column:
     """Trimmed, lower-cased, white space collapsed, trailing punctuation stripped."""
     low = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    return F.regexp_replace(F.regexp_replace(low, r"(?U)\s+", " "), r"[.,;:!?'\")\]}]+$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)\s+", " "), r"[.,;:!?'\"()]+$", ""))
 
 
 def words(text: Column) -> Column:
@@ -31,44 +31,10 @@ def paragraphs(text: Column, gap: str = r"\n\s*\n") -> Column:
     return F.filter(F.transform(F.split(text, gap), F.trim), lambda x: x != "")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: a fold over a with a row of the table as its state."""
-    chars = F.split(b, "")
-    start = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
-
-    def step(row: Column, c: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda done, j: F.concat(
-                done,
-                F.array(
-                    F.when(F.element_at(chars, j) == c, F.element_at(row, j) + 1).otherwise(
-                        F.greatest(F.element_at(row, j + 1), F.element_at(done, -1))
-                    )
-                ),
-            ),
-        )
-
-    table = F.aggregate(F.split(a, ""), start, step, lambda row: F.element_at(row, -1))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(table)
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """200 LCS / (|a| + |b|); 0 where a side is empty."""
-    total = F.length(a) + F.length(b)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.lit(200.0) * lcs_length(a, b) / total)
-
-
 def sorted_tokens(text: Column) -> Column:
     return F.array_join(F.array_sort(words(text)), " ")
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """ratio of the texts with their tokens sorted."""
-    return ratio(sorted_tokens(a), sorted_tokens(b))
-
-
 def normalize_doi(doi: Column) -> Column:
     """Percent signs decoded, prefix and trailing punctuation stripped, lower-cased; null if it holds no DOI."""
     found = F.regexp_extract(F.try_url_decode(F.translate(doi, "‐‑–—", "----")), r"10\.\d{4,9}/\S+", 0)
