@@ -300,3 +300,4 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from quire.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  registers its queries here
 from quire.plans import resolution_queries as _resolution_queries  # noqa: E402, F401
+from quire.plans import relation_queries as _relation_queries  # noqa: E402, F401
