@@ -107,27 +107,29 @@ def _butterfly(blocks: DataFrame) -> DataFrame:
     return state.where("block < n_blocks").select("key", "block", F.col("node").alias("root"), "above")
 
 
-def proofs_in_groups(items: DataFrame, order: list[str], more: list[str], name: str, height: int = HEIGHT) -> DataFrame:
-    """(key, block, root, rows): the root of each group key of items, and of its members, block by block, more columns, leaf and proof.
+def proofs_in_groups(items: DataFrame, order: list[str], more: list[str], name: str, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
+    """The members of each group key of items, block by block, with their proofs, and the blocks' own proofs.
 
     items: (key, leaf, ...), read twice; key is not null. Leaves are taken by order, nulls first, then by digest. A proof
-    is a list of (before, after), from the leaf's level up: a node's parent is the digest of before, node and after.
+    is a list of (before, after), from the leaf's level up: a node's parent is the digest of before, node and after. Returns
+    (key, block, rows), each row with the columns more, leaf and its proof in the block, and (key, block, root, above). Only
+    the second, one thin row for 3^height leaves, is ever joined by key.
     """
     size = FANOUT**height
     placed = ranked(items, "key", [*order, "leaf"], name)
     block = F.floor(F.col("rank") / size)
     blocks = placed.groupBy("key", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("rank", "leaf", *more))).alias("rows"))
-    blocks = materialize(blocks, name)
-    sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n_blocks"))
-    up = F.when(F.col("n_blocks") == 1, levels_over(F.size("rows"))).otherwise(height)
-    nodes = blocks.join(sizes, "key").withColumn("up", up)
-    levels = nodes.withColumn("levels", _block_levels(F.col("rows.leaf"), F.col("up"), height))
+    # a first block that is not full is the only one; a full one has all its levels in either case
+    up = F.when(F.col("block") == 0, levels_over(F.size("rows"))).otherwise(height)
+    levels = materialize(blocks, name).withColumn("up", up).withColumn("levels", _block_levels(F.col("rows.leaf"), F.col("up"), height))
     proven = F.transform(
         "rows",
         lambda x, i: F.struct(*[x[c].alias(c) for c in more], x["leaf"].alias("leaf"), _siblings(F.col("levels"), i, F.col("up"), height).alias("proof")),
     )
-    held = materialize(levels.select("key", "block", "n_blocks", F.element_at(F.element_at("levels", -1), 1).alias("node"), proven.alias("rows")), name)
-    return held.select("key", "block", "rows").join(_butterfly(held.select("key", "block", "n_blocks", "node")), ["key", "block"])
+    held = materialize(levels.select("key", "block", F.element_at(F.element_at("levels", -1), 1).alias("node"), proven.alias("rows")), name)
+    nodes = held.select("key", "block", "node")
+    sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return held.select("key", "block", "rows"), _butterfly(nodes.join(sizes, "key"))
 
 
 def manifest(docs: DataFrame, *more: Column, height: int = HEIGHT) -> DataFrame:
@@ -141,14 +143,15 @@ def manifest(docs: DataFrame, *more: Column, height: int = HEIGHT) -> DataFrame:
     names = [f"_more{i}" for i in range(len(more))]
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source"))
     leaves = docs.select("doc_id", key.alias("key"), leaf_digest(F.col("text")).alias("leaf"), *[c.alias(n) for c, n in zip(more, names, strict=True)])
-    below = proofs_in_groups(materialize(leaves, "leaves"), ["doc_id"], ["doc_id", *names], "leaves", height)
-    below = materialize(below, "subtrees")
-    tops = below.where("block = 0").select(F.lit("").alias("key"), F.col("key").alias("source_key"), F.col("root").alias("leaf"))
-    above = proofs_in_groups(tops, ["source_key"], ["source_key"], "sources", height)
-    above = above.select("root", "above", F.explode("rows").alias("row")).select(
+    members, blocks = proofs_in_groups(materialize(leaves, "leaves"), ["doc_id"], ["doc_id", *names], "leaves", height)
+    blocks = materialize(blocks, "subtrees")
+    tops = blocks.where("block = 0").select(F.lit("").alias("key"), F.col("key").alias("source_key"), F.col("root").alias("leaf"))
+    sources, above = proofs_in_groups(tops, ["source_key"], ["source_key"], "sources", height)
+    above = sources.join(above, ["key", "block"]).select("root", "above", F.explode("rows").alias("row")).select(
         F.col("row.source_key").alias("key"), F.col("row.leaf").alias("subroot"), F.col("root").alias("top"), F.concat("row.proof", "above").alias("rest")
     )
-    joined = below.join(above, "key").select("subroot", F.col("top").alias("root"), F.concat("above", "rest").alias("rest"), F.explode("rows").alias("row"))
+    whole = blocks.join(above, "key").select("key", "block", "subroot", F.col("top").alias("root"), F.concat("above", "rest").alias("rest"))
+    joined = members.join(whole, ["key", "block"]).select("subroot", "root", "rest", F.explode("rows").alias("row"))
     return joined.select("row.doc_id", "row.leaf", "subroot", "root", F.concat("row.proof", "rest").alias("proof"), *[f"row.{n}" for n in names])
 
 
