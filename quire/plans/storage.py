@@ -35,11 +35,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return read_back(df, write_work(df, name))
 
 
-def write_work(df: DataFrame, name: str = "table", *by: str) -> str:
-    """Write df to a fresh folder of the workspace, in one folder below it for each value of by; returns its path."""
+def write_work(df: DataFrame, name: str = "table") -> str:
+    """Write df to a fresh folder of the workspace; returns its path."""
     path = f"{workspace(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex[:12]}"
     with _shuffles_removed(df.sparkSession):
-        df.write.partitionBy(*by).parquet(path)
+        df.write.parquet(path)
     if (made := _written.get()) is not None:
         made.append(path)
     return path
@@ -47,22 +47,16 @@ def write_work(df: DataFrame, name: str = "table", *by: str) -> str:
 
 @contextmanager
 def tables_written() -> Iterator[list[str]]:
-    """The paths of the tables that are written inside."""
+    """The paths of the tables that are written inside; a scope around this one gets them too."""
     made: list[str] = []
+    outer = _written.get()
     token = _written.set(made)
     try:
         yield made
     finally:
         _written.reset(token)
-
-
-def discard_unread(spark: SparkSession, paths: list[str], *read: DataFrame) -> list[str]:
-    """Delete the tables at paths but those that a DataFrame in read still reads, which are returned."""
-    files = [f for df in read for f in df.inputFiles()]
-    kept = [p for p in paths if any(f"/{p.rpartition('/')[2]}/" in f for f in files)]
-    for path in set(paths) - set(kept):
-        discard(spark, path)
-    return kept
+        if outer is not None:
+            outer.extend(made)
 
 
 @contextmanager
