@@ -154,8 +154,8 @@ def good_probability(prior: float, good: list[dict[int, float]], bad: list[dict[
 
 
 def _voted(rows: DataFrame, *kept: str) -> DataFrame:
-    """kept columns of rows (text among its columns), base_failed and votes, written once: the estimate and the verdicts read them."""
-    return materialize(with_statistics(rows).select(*kept, base_failed().alias("base_failed"), F.array(*votes()).alias("votes")), "votes")
+    """kept columns of rows (text among its columns), base_failed and votes."""
+    return with_statistics(rows).select(*kept, base_failed().alias("base_failed"), F.array(*votes()).alias("votes"))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,14 +164,17 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts that fail the base rules do not take part in the estimate. Null and empty texts have no words and fail;
     repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
     """
-    voted = _voted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "q")
+    # written once: the estimate and the verdicts read the statistics
+    voted = materialize(_voted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "q"), "votes")
     p = good_probability(*estimate(vote_counts(voted)))
     return voted.select("doc_id", "q", "base_failed", p.alias("good_probability"), (~F.col("base_failed") & (p >= 0.5)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns, whatever their names; texts never leave
-    their partition. Null and empty texts go, repeated rows stand or fall together, an empty table stays empty."""
+    their partition. Null and empty texts go, repeated rows stand or fall together, an empty table stays empty.
+
+    Statistics are made twice, for the estimate and for the verdicts: a table of whole rows between would cost as much disk as docs."""
     columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     text = columns[docs.columns.index(text_col)]
     voted = _voted(docs.select(F.struct(*columns).alias("row"), text.alias("text")), "row")

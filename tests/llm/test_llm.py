@@ -343,7 +343,7 @@ def test_queries_match_sql(spark):
     from tests.test_queries import _plain
 
     sf, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in registry.SQL.items():
         expected, df = db.sql(sql), registry.QUERIES[name](spark, sf)
@@ -387,3 +387,15 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES[:4]:
         one, two = stage(spark, rows, sf).count(), stage(spark, twice, sf).count()
         assert two == 2 * one, name
+
+
+def test_pipeline_stages_stand_alone(spark):
+    """A stage's result is whole whatever is called after it: nothing it reads is deleted by another call."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    halves = [docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")]
+    for name, stage in corpus_pipeline.STAGES:
+        first, second = (stage(spark, half, sf) for half in halves)
+        assert second.count() + first.count() <= docs.count() and second.count() > 0, name
