@@ -3,32 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, jaccard, pieces, quality, rules
-from quire.plans.storage import discard_unread, materialize, tables_written
+from quire.plans.storage import discard, materialize, read_back, tables_written, write_work
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
 
 
-def _clears_up(stage: Stage) -> Stage:
-    """The stage, which first deletes the working tables of earlier ones that docs, written since, no longer reads."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _left[:] = discard_unread(spark, _left, docs)
-        with tables_written() as made:
-            out = stage(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
-
-    return run
-
-
-@_clears_up
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from labels, scores at 0.3 or more.
 
@@ -36,11 +19,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     get a score like any text, repeated rows stand or fall together.
     """
     labels = quality.learning_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 5, 0)
-    model = quality.fit_quality(materialize(quality.statistics_table(docs), "stats"), labels)
+    with tables_written() as made:
+        model = quality.fit_quality(materialize(quality.statistics_table(docs), "stats"), labels)
+    for path in made:  # the model is all that is needed of them
+        discard(spark, path)
     return quality.keep_good(docs, model, 0.3)
 
 
-@_clears_up
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are probably good by the rules' votes.
 
@@ -49,18 +34,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_good(docs)
 
 
-@_clears_up
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.8 on 5-word shingles form: the one with the least doc_id.
 
     Rows without a doc_id are kept, as are repeated rows of the one that stays.
     """
-    groups = materialize(jaccard.similar_groups(docs, size=5, num=80, den=100), "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    with tables_written() as made:
+        groups = jaccard.similar_groups(docs, size=5, num=80, den=100)
+        gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+        path = write_work(gone, "gone")
+    for other in set(made) - {path}:  # only the ids that go are read later
+        discard(spark, other)
+    return docs.join(read_back(gone, path), "doc_id", "left_anti").select(*docs.columns)
 
 
-@_clears_up
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item.
 
@@ -69,7 +56,6 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_clears_up
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, a row for each row; null and empty texts have none."""
     return pieces.encode(docs, pieces.Pieces.load())
@@ -87,8 +73,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents, each written and read again by the next; what a stage left goes once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with tables_written() as made:
+            out = stage(spark, docs, sf_dir)
+            path = write_work(out, name.replace(" ", "-"))
+        docs = read_back(out, path)
+        for other in {*made, *before} - {path}:
+            discard(spark, other)
+        before = [path]
     return docs
