@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType
 from quire.functions.text import normalize_text, sorted_tokens
 
 
-def _common(a: str, b: str) -> int:
+def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence: one row of the table is the bits of an integer."""
     if len(a) > len(b):
         a, b = b, a
@@ -28,7 +28,7 @@ def _common(a: str, b: str) -> int:
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of code points; null if either is null."""
-    return pd.Series([None if x is None or y is None else _common(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def at_least(a: Column, b: Column, percent: int) -> Column:

@@ -21,14 +21,14 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def sentences(text: Column) -> Column:
-    """Cut after . ! ? before white space, and at line ends; blank ones dropped."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x) != "")
+def sentences(text: Column, line_ends: bool = True) -> Column:
+    """Cut after . ! ? before white space, and at line ends unless told not to; blank ones dropped."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+" + (r"|\n+" if line_ends else "")), lambda x: F.trim(x) != "")
 
 
-def paragraphs(text: Column, gap: str = r"\n\s*\n") -> Column:
-    """Cut at blank lines (or another gap), trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, gap), F.trim), lambda x: x != "")
+def paragraphs(text: Column, gap: str = r"\n\n") -> Column:
+    """Cut at double line feeds (or another gap), white space trimmed, empty ones dropped."""
+    return F.filter(F.transform(F.split(text, gap), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def sorted_tokens(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def detect_claims(sentences: DataFrame, patterns: list[tuple[str, str]], *more:
     ).select("doc_id", *more, "position", "hit.claim_type", F.col("hit.n_patterns").cast("long").alias("n_patterns"), "confidence")
 
 
-#: The claim types, each with its regular expressions, in the order that numbers claims.
+#: The claim types, each with its regular expressions, in the order that numbers claims. Fixed values.
 CLAIM_PATTERNS = {
     "statistical": [r"p\s*[<>≤≥=]\s*0\.\d+", r"\d+%\s*CI", r"statistically\s+significant", r"effect\s+size", r"odds\s+ratio", r"hazard\s+ratio", r"confidence\s+interval"],
     "causal": [r"(?:causes?|caused)\s+", r"leads?\s+to", r"results?\s+in", r"due\s+to", r"associated\s+with"],
@@ -67,15 +69,15 @@ CLAIM_PATTERNS = {
     "existence": [r"we\s+(?:find|found|observe|show|demonstrate)", r"results?\s+(?:show|indicate|suggest|demonstrate)", r"(?:analysis|experiment)\s+(?:shows?|reveals?)"],
     "negation": [r"no\s+significant\s+(?:difference|effect|improvement)", r"(?:failed?|unable)\s+to", r"did\s+not\s+(?:find|observe|show)", r"no\s+(?:evidence|support)\s+for"],
 }
-#: Confidence of a single match by section; 0.5 in any other, no claim at 0.
+#: Confidence of a single match by section; 0.5 in any other, no claim at 0. Fixed values.
 SECTION_PRIORS = {
     "results": 0.7, "discussion": 0.7, "methodology": 0.65, "conclusion": 0.65, "limitations": 0.65, "future_work": 0.5,
     "introduction": 0.4, "related_work": 0.4, "other": 0.5, "acknowledgments": 0.0, "appendix": 0.0,
 }
 
 
-def section_claims(sentences: DataFrame) -> DataFrame:
-    """(doc_id, claim_id, position, claim_type, matched_patterns, confidence): CLAIM_PATTERNS with SECTION_PRIORS.
+def section_claims(sentences: DataFrame, patterns: Mapping[str, list[str]] = CLAIM_PATTERNS, priors: Mapping[str, float] = SECTION_PRIORS) -> DataFrame:
+    """(doc_id, claim_id, position, claim_type, matched_patterns, confidence): sentences that patterns match, by the sections' priors.
 
     sentences: (doc_id, position, sentence, label), label being the section's. Two or more matches over all types
     give 0.8 but in sections of prior 0, which give no claims. claim_id counts a document's claims, clm_001 on.
@@ -88,10 +90,10 @@ def section_claims(sentences: DataFrame) -> DataFrame:
                 F.lit(t).alias("claim_type"),
                 F.array_compact(F.array(*[F.when(F.col("stripped").rlike("(?iU)" + p), F.lit(p)) for p in ps])).alias("matched_patterns"),
             )
-            for k, (t, ps) in enumerate(CLAIM_PATTERNS.items())
+            for k, (t, ps) in enumerate(patterns.items())
         ]
     )
-    prior = F.coalesce(F.create_map(*[F.lit(x) for kv in SECTION_PRIORS.items() for x in kv])[F.col("label")], F.lit(0.5))
+    prior = F.coalesce(F.create_map(*[F.lit(x) for kv in priors.items() for x in kv])[F.col("label")], F.lit(0.5))
     hits = (
         sentences.select("doc_id", "position", stripped.alias("stripped"), prior.alias("prior"))
         .where("prior > 0")

@@ -16,10 +16,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable[[Query], Query]:
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query with its SQL; None where tests hold it against brute force."""
+
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -301,3 +304,4 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 from quire.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  registers its queries here
 from quire.plans import resolution_queries as _resolution_queries  # noqa: E402, F401
 from quire.plans import relation_queries as _relation_queries  # noqa: E402, F401
+from quire.plans import section_queries as _section_queries  # noqa: E402, F401
