@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import words
+
 #: Weights of the field scores in a document's quality, in this order. Fixed values.
 FIELD_WEIGHTS = {
     "title": 0.20, "authors": 0.15, "abstract": 0.15, "sections": 0.15, "references": 0.15, "citations": 0.10, "entities": 0.05, "claims": 0.05,
@@ -68,12 +70,20 @@ def merge_coverage(parts: DataFrame, pairs: list[str]) -> DataFrame:
 
 
 def register(known: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, sha256, status) of new: `duplicate` if known or an earlier new document has its hash, else `added`."""
+    """(doc_id, sha256, status, earlier_id) of new (doc_id, sha256): what becomes of each row as they come in by doc_id.
+
+    duplicate: known or an earlier new row holds its hash, earlier_id being the least such id, a known one first; refused: its
+    doc_id is taken by another; else added. Of repeated new rows of one id and hash one is told.
+    """
+    seen = known.groupBy("sha256").agg(F.min("doc_id").alias("known_id"))
     first = new.groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
-    seen = known.select("sha256", F.lit(True).alias("seen")).distinct()
-    told = new.join(first, "sha256").join(seen, "sha256", "left")
-    status = F.when(F.col("seen") | (F.col("doc_id") != F.col("first_id")), "duplicate").otherwise("added")
-    return told.select("doc_id", "sha256", status.alias("status"))
+    taken = known.select("doc_id", F.lit(True).alias("taken")).distinct()
+    told = new.distinct().join(first, "sha256").join(seen, "sha256", "left").join(taken, "doc_id", "left")
+    earlier = F.coalesce("known_id", F.when(F.col("first_id") < F.col("doc_id"), F.col("first_id")))
+    # of rows of one id that bring different hashes, one can be added
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("earlier_id").isNotNull(), "sha256"))
+    status = F.when(F.col("earlier_id").isNotNull(), "duplicate").when(F.coalesce("taken", F.lit(False)) | (F.col("nth") > 1), "refused").otherwise("added")
+    return told.withColumn("earlier_id", earlier).withColumn("nth", nth).select("doc_id", "sha256", status.alias("status"), "earlier_id")
 
 
 def field_scores(per_document: DataFrame) -> DataFrame:
@@ -104,12 +114,38 @@ def quality(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("overall"))
 
 
-def text_score(text: Column, confidence: Column, least: int, most: int, weights: tuple[float, float, float]) -> Column:
-    """Confidence, a length of least to most words, and no garbage characters, by weight; 0 for null and blank texts."""
-    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
-    clean = ~F.coalesce(text, F.lit("")).rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F�]")
-    score = weights[0] * confidence + weights[1] * words.between(least, most).cast("double") + weights[2] * clean.cast("double")
-    return F.when(words > 0, F.round(score, 6)).otherwise(0.0)
+def _length(n: Column, least: int, most: int) -> Column:
+    """1 for least to most words, less in proportion for fewer, and for more down to 0 at twice as many."""
+    over = F.greatest(F.lit(0.0), 1.0 - (n - most) / float(most))
+    return F.when(n < least, n / float(least)).when(n > most, over).otherwise(1.0)
+
+
+def _clean(text: Column) -> Column:
+    return (~text.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F�]")).cast("double")
+
+
+def title_score(title: Column, confidence: Column, primary: Column | bool = True) -> Column:
+    """0.5 confidence (0.8 of it unless it came by a primary route), 0.3 for 5 to 30 words, 0.2 for no garbage; null as empty."""
+    text = F.coalesce(title, F.lit(""))
+    sure = F.when(F.lit(primary), confidence).otherwise(0.8 * confidence)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * sure + 0.3 * _length(F.size(words(text)), 5, 30) + 0.2 * _clean(text))), 6)
+
+
+def abstract_score(abstract: Column) -> Column:
+    """0.4 for being there, 0.3 for 50 to 500 words, 0.3 for no garbage; 0 for null and blank."""
+    text = F.coalesce(abstract, F.lit(""))
+    n = F.size(words(text))
+    return F.when(n > 0, F.round(0.4 + 0.3 * _length(n, 50, 500) + 0.3 * _clean(text), 6)).otherwise(0.0)
+
+
+def author_scores(authors: DataFrame) -> DataFrame:
+    """(doc_id, score_authors): 0.4 for having any, 0.3 for the share with surnames, 0.3 for the share with affiliations.
+
+    authors: (doc_id, surname, n_affiliations); documents without any are not in the result.
+    """
+    named = F.avg(F.when(F.trim("surname") != "", 1.0).otherwise(0.0))
+    placed = F.avg(F.when(F.col("n_affiliations") > 0, 1.0).otherwise(0.0))
+    return authors.groupBy("doc_id").agg(F.round(0.4 + 0.3 * named + 0.3 * placed, 6).alias("score_authors"))
 
 
 def review_reasons(overall: Column, title: Column, sections: Column, linked: Column) -> Column:
@@ -124,42 +160,6 @@ def review_reasons(overall: Column, title: Column, sections: Column, linked: Col
     )
 
 
-def cluster_entities(entities: DataFrame, aliases: DataFrame, components) -> DataFrame:
-    """(cluster_id, entity_id, norm, method): entities whose text, or what aliases make of it, and label are equal.
-
-    entities: (entity_id, text, label, confidence), of repeated ids the most confident row; aliases: (norm,
-    canonical), as many as a dictionary holds. components: the function that finds connected components. Members are
-    linked to the least id of their key, so a key of many entities is a star, never all its pairs. method: exact if
-    another member has the same text, else alias, else single.
-    """
-    from quire.functions.text import normalize_text
-
-    best = entities.groupBy("entity_id").agg(F.max(F.struct("confidence", "text", "label")).alias("e")).select("entity_id", "e.*")
-    named = best.withColumn("norm", normalize_text(F.col("text"))).join(F.broadcast(aliases), "norm", "left")
-    links = None
-    for key in ("norm", "canonical"):
-        least = named.where(f"{key} is not null").groupBy(key, "label").agg(F.min("entity_id").alias("src"))
-        some = named.join(least, [key, "label"]).select("src", F.col("entity_id").alias("dst"))
-        links = some if links is None else links.unionByName(some)
-    found = components(links, "src", "dst")
-    members = named.join(found, F.col("entity_id") == F.col("node")).withColumnRenamed("component", "cluster_id")
-    same = members.groupBy("cluster_id", "norm").agg(F.count(F.lit(1)).alias("n_same"))
-    method = F.when(F.col("n_same") > 1, "exact").when(F.col("canonical").isNotNull(), "alias").otherwise("single")
-    return members.join(same, ["cluster_id", "norm"]).select("cluster_id", "entity_id", "norm", "text", "label", "confidence", method.alias("method"))
-
-
-def describe_clusters(members: DataFrame) -> DataFrame:
-    """cluster_id, canonical text (the longest, of these the last by order), size, least confidence, number of variants, and how it came about."""
-    has = {m: F.max((F.col("method") == m).cast("int")) for m in ("exact", "alias")}
-    return members.groupBy("cluster_id").agg(
-        F.max(F.struct(F.length("text").alias("n"), "text")).alias("c"),
-        F.count(F.lit(1)).alias("size"),
-        F.min("confidence").alias("confidence"),
-        F.countDistinct("text").alias("n_variants"),
-        F.when((has["exact"] == 1) & (has["alias"] == 1), "hybrid").when(has["alias"] == 1, "alias").when(has["exact"] == 1, "exact").otherwise("single").alias("method"),
-    ).select("cluster_id", F.col("c.text").alias("canonical"), "size", "confidence", "n_variants", "method")
-
-
 def deduplicate_facts(facts: DataFrame, priority: dict[str, int]) -> DataFrame:
     """(value, fact_type, confidence): of a value and type the most confident; where all types of a value are equally sure, the first by priority alone.
 
@@ -183,8 +183,17 @@ def normalized_predicate(raw: Column, forms: dict[str, str]) -> Column:
 
 
 def evidence_span(chunk: Column, source: Column) -> Column:
-    """struct(start, end) of source in chunk, exactly or else in any case; null if absent, null or blank."""
-    at = F.greatest(F.instr(chunk, source), F.lit(0))
-    any_case = F.instr(F.lower(chunk), F.lower(source))
-    start = F.when(at > 0, at).when(any_case > 0, any_case) - 1
-    return F.when((F.trim(source) != "") & start.isNotNull(), F.struct(start.alias("start"), (start + F.length(source)).alias("end")))
+    """struct(start, end, basis) of source, trimmed, in chunk: `exact`, else in `any_case`, else with white space `collapsed`.
+
+    Collapsed places count in the chunk's text with its white space collapsed. Null if source is absent, null or blank.
+    """
+    squeeze = lambda text: F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    asked = F.regexp_replace(source, r"(?U)^\s+|\s+$", "")
+
+    def at(where: Column, what: Column, basis: str) -> Column:
+        start = F.instr(where, what) - 1
+        return F.when((what != "") & (start >= 0), F.struct(start.alias("start"), (start + F.char_length(what)).alias("end"), F.lit(basis).alias("basis")))
+
+    return F.coalesce(
+        at(chunk, asked, "exact"), at(F.lower(chunk), F.lower(asked), "any_case"), at(F.lower(squeeze(chunk)), F.lower(squeeze(asked)), "collapsed")
+    )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quire.operators import corpus as K
 from quire.operators import graph as G
-from quire.plans.components import connected_components
 from quire.plans.queries import _EDGES, _NODES, _edges, _nodes, _table, query
 
 
@@ -109,13 +108,18 @@ def merged_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.merge_coverage(one, ["entities", "claims"])
 
 
-@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), k AS (SELECT DISTINCT sha256 FROM h WHERE doc_id % 7 = 0),
-n AS (SELECT *, min(doc_id) OVER (PARTITION BY sha256) AS f FROM h WHERE doc_id % 7 <> 0)
-SELECT doc_id, n.sha256, CASE WHEN k.sha256 IS NOT NULL OR doc_id <> f THEN 'duplicate' ELSE 'added' END AS status FROM n LEFT JOIN k ON n.sha256 = k.sha256""")
+@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, doc_id % 7 AS r FROM documents), k AS (SELECT doc_id, sha256 FROM h WHERE r = 0),
+n AS (SELECT doc_id, sha256 FROM h WHERE r <> 0 UNION ALL SELECT doc_id, 'x' || sha256 FROM h WHERE r = 0 UNION ALL SELECT doc_id, 'y' || doc_id FROM h WHERE r = 1),
+e AS (SELECT doc_id, n.sha256, coalesce((SELECT min(k.doc_id) FROM k WHERE k.sha256 = n.sha256), CASE WHEN min(doc_id) OVER (PARTITION BY n.sha256) < doc_id THEN min(doc_id) OVER (PARTITION BY n.sha256) END) AS earlier_id FROM n)
+SELECT doc_id, sha256, earlier_id, CASE WHEN earlier_id IS NOT NULL THEN 'duplicate' WHEN doc_id IN (SELECT doc_id FROM k) OR row_number() OVER (PARTITION BY doc_id ORDER BY earlier_id IS NOT NULL, sha256) > 1
+THEN 'refused' ELSE 'added' END AS status FROM e""")
 def registry_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh document is registered; the others come in."""
+    """Every seventh document is registered; the others come in, with ids that are taken and ids that come twice."""
     hashed = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    return K.register(hashed.where("doc_id % 7 = 0"), hashed.where("doc_id % 7 <> 0"))
+    known, rest = hashed.where("doc_id % 7 = 0"), hashed.where("doc_id % 7 <> 0")
+    taken = known.select("doc_id", F.concat(F.lit("x"), "sha256").alias("sha256"))
+    twice = hashed.where("doc_id % 7 = 1").select("doc_id", F.concat(F.lit("y"), "doc_id").alias("sha256"))
+    return K.register(known, rest.unionByName(taken).unionByName(twice))
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, author, date, price FROM d WHERE price >= 1000")
@@ -144,54 +148,34 @@ def document_field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = "string_split(coalesce(text, ''), chr(10))[1]"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_FIRST} AS title, text, CASE WHEN quality = 1 THEN CAST(0.9 AS DOUBLE) WHEN quality = 0 THEN 0.1 ELSE 0.5 END AS c FROM documents LEFT JOIN labels USING (doc_id)),
-w AS (SELECT doc_id, title, text, c, len(regexp_extract_all(title, '[^ \\t\\n\\r\\f\\v]+')) AS n, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) AS m FROM t),
-s AS (SELECT doc_id, CASE WHEN n > 0 THEN round(CAST(0.5 AS DOUBLE) * c + 0.3 * CAST(n BETWEEN 5 AND 30 AS INT) + 0.2 * CAST(NOT regexp_matches(title, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFD}}]') AS INT), 6) ELSE CAST(0 AS DOUBLE) END AS score_title,
-  CASE WHEN m > 0 THEN round(CAST(0.4 AS DOUBLE) + 0.3 * CAST(m BETWEEN 50 AND 500 AS INT) + 0.3 * CAST(NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFD}}]') AS INT), 6) ELSE CAST(0 AS DOUBLE) END AS score_abstract FROM w)
+_GARBAGE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]"
+
+
+def _length(n: str, least: int, most: int) -> str:
+    return f"CASE WHEN {n} < {least} THEN {n} / {least} WHEN {n} > {most} THEN greatest(0, 1 - ({n} - {most}) / {most}) ELSE 1 END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_FIRST} AS title, coalesce(text, '') AS text, lang = 'en' AS main, CASE WHEN quality = 1 THEN CAST(0.9 AS DOUBLE) WHEN quality = 0 THEN 0.1 ELSE 0.5 END AS c FROM documents LEFT JOIN labels USING (doc_id)),
+w AS (SELECT *, len(regexp_extract_all(title, '[^ \\t\\n\\r\\f\\v]+')) AS n, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS m FROM t),
+s AS (SELECT doc_id, round(CAST(0.5 AS DOUBLE) * CASE WHEN main THEN c ELSE 0.8 * c END + 0.3 * {_length("n", 5, 30)} + 0.2 * CAST(NOT regexp_matches(title, '{_GARBAGE}') AS INT), 6) AS score_title,
+  CASE WHEN m > 0 THEN round(CAST(0.4 AS DOUBLE) + 0.3 * {_length("m", 50, 500)} + 0.3 * CAST(NOT regexp_matches(text, '{_GARBAGE}') AS INT), 6) ELSE CAST(0 AS DOUBLE) END AS score_abstract FROM w)
 SELECT *, concat_ws(',', CASE WHEN score_abstract < 0.5 THEN 'low_overall' END, CASE WHEN score_title < 0.4 THEN 'low_title' END) AS reasons FROM s""")
 def title_and_abstract_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first line as title, the whole text as abstract; the quality label as confidence."""
+    """A document's first line as title, the whole text as abstract; the quality label as confidence, English as the primary route."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id", "left")
     sure = F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.1).otherwise(0.5)
     title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
-    scored = docs.select("doc_id", K.text_score(title, sure, 5, 30, (0.5, 0.3, 0.2)).alias("score_title"), K.text_score(F.col("text"), F.lit(1.0), 50, 500, (0.4, 0.3, 0.3)).alias("score_abstract"))
+    scored = docs.select("doc_id", K.title_score(title, sure, F.col("lang") == "en").alias("score_title"), K.abstract_score(F.col("text")).alias("score_abstract"))
     why = K.review_reasons(F.col("score_abstract"), F.col("score_title"), F.lit(None).cast("double"), F.lit(None).cast("double"))
     return scored.select("*", F.array_join(why, ",").alias("reasons"))
 
 
-_ALIASES = [("red plate", "plate"), ("hot plate", "plate"), ("old rod", "rod"), ("large rod", "rod")]
-_CLUSTERS = f"""WITH e AS (SELECT p_partkey AS entity_id, p_name AS text, p_type AS label, round(p_retailprice / 2500, 4) AS confidence,
-  regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') AS norm FROM part), a(norm, canonical) AS (VALUES {", ".join(f"('{x}', '{y}')" for x, y in _ALIASES)}),
-n AS (SELECT e.*, canonical, coalesce(canonical, '=' || e.norm) AS k FROM e LEFT JOIN a ON e.norm = a.norm),
-c AS (SELECT min(entity_id) OVER (PARTITION BY k, label) AS cluster_id, *, count(*) OVER (PARTITION BY k, label, norm) AS same FROM n),
-r AS (SELECT *, CASE WHEN same > 1 THEN 'exact' WHEN canonical IS NOT NULL THEN 'alias' ELSE 'single' END AS method FROM c)"""
-
-
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("text"), F.col("p_type").alias("label"), F.round(F.col("p_retailprice") / 2500, 4).alias("confidence"))
-    return K.cluster_entities(entities, spark.createDataFrame(_ALIASES, "norm string, canonical string"), connected_components)
-
-
-@query(_CLUSTERS + " SELECT cluster_id, entity_id, norm, method FROM r")
-def entity_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir).select("cluster_id", "entity_id", "norm", "method")
-
-
-@query(_CLUSTERS + """ SELECT cluster_id, arg_max(text, (length(text), text)) AS canonical, count(*) AS size, min(confidence) AS confidence, count(DISTINCT text) AS n_variants,
-CASE WHEN bool_or(method = 'exact') AND bool_or(method = 'alias') THEN 'hybrid' WHEN bool_or(method = 'alias') THEN 'alias' WHEN bool_or(method = 'exact') THEN 'exact' ELSE 'single' END AS method FROM r GROUP BY cluster_id""")
-def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.describe_clusters(_members(spark, sf_dir))
-
-
-@query(_CLUSTERS + """, s AS (SELECT cluster_id, count(*) AS n FROM r GROUP BY ALL)
-SELECT count(*) FILTER (WHERE n > 1) AS n_clusters, count(*) FILTER (WHERE n = 1) AS n_unresolved, round(CAST(sum(n) FILTER (WHERE n > 1) AS DOUBLE) / sum(n), 4) AS rate FROM s""")
-def entity_resolution_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _members(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(
-        F.count(F.when(F.col("n") > 1, 1)).alias("n_clusters"), F.count(F.when(F.col("n") == 1, 1)).alias("n_unresolved"),
-        F.round(F.sum(F.when(F.col("n") > 1, F.col("n"))) / F.sum("n"), 4).alias("rate"),
-    )
+@query("""SELECT o_orderkey % 1000 AS doc_id, round(0.4 + 0.3 * avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0::DOUBLE ELSE 0 END) + 0.3 * avg(CASE WHEN o_custkey % 3 > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS score_authors FROM orders GROUP BY 1""")
+def author_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for authors of a thousand documents; status P has a blank surname."""
+    surname = F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderstatus"))
+    return K.author_scores(_table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("doc_id"), surname.alias("surname"), (F.col("o_custkey") % 3).alias("n_affiliations")))
 
 
 _PRIORITY = {"R": 0, "A": 1, "N": 2}
@@ -248,15 +232,21 @@ def triples_by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _triples(spark, sf_dir).where("predicate = 'evaluated_on'")
 
 
-@query("""WITH s AS (SELECT doc_id, text, regexp_extract(text, '([A-Za-z]+) [A-Za-z]+', 0) AS q FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, text, upper(q) AS q FROM s WHERE q <> '')
-SELECT doc_id, CASE WHEN instr(text, q) > 0 THEN instr(text, q) ELSE instr(lower(text), lower(q)) END - 1 AS start,
-  CASE WHEN instr(text, q) > 0 THEN instr(text, q) ELSE instr(lower(text), lower(q)) END - 1 + length(q) AS "end" FROM u""")
+_ASKED = r"([A-Za-z]+)[ \n]+[A-Za-z]+"
+
+
+@query(r"""WITH s AS (SELECT doc_id, text, regexp_extract(text, '([A-Za-z]+)[ \n]+[A-Za-z]+', 0) AS q FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, text, lower(text) AS low, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS flat, CASE doc_id % 3 WHEN 0 THEN q WHEN 1 THEN upper(q) ELSE replace(regexp_replace(q, '\s+', ' ', 'g'), ' ', '   ') END AS q FROM s WHERE q <> ''),
+v AS (SELECT doc_id, instr(text, q) AS a, instr(low, lower(q)) AS b, instr(flat, regexp_replace(lower(q), '\s+', ' ', 'g')) AS c, length(q) AS n, length(regexp_replace(q, '\s+', ' ', 'g')) AS m FROM u)
+SELECT doc_id, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE c END - 1 AS start, CASE WHEN a > 0 THEN a + n WHEN b > 0 THEN b + n ELSE c + m END - 1 AS "end",
+  CASE WHEN a > 0 THEN 'exact' WHEN b > 0 THEN 'any_case' ELSE 'collapsed' END AS basis FROM v WHERE a > 0 OR b > 0 OR c > 0""")
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a document holds its first two words, asked for in upper case."""
-    source = F.upper(F.regexp_extract("text", "([A-Za-z]+) [A-Za-z]+", 0))
+    """Where a document holds its first two words, asked for as they are, in upper case, or further apart and padded."""
+    q = F.regexp_extract("text", _ASKED, 0)
+    apart = F.concat(F.lit(" \n"), F.replace(F.regexp_replace(q, r"\s+", " "), F.lit(" "), F.lit("   ")), F.lit(" "))
+    source = F.when(F.col("doc_id") % 3 == 0, q).when(F.col("doc_id") % 3 == 1, F.upper(q)).otherwise(apart)
     found = _table(spark, sf_dir, "documents").select("doc_id", K.evidence_span(F.col("text"), source).alias("span")).where("span is not null")
-    return found.select("doc_id", "span.start", "span.end")
+    return found.select("doc_id", "span.start", "span.end", "span.basis")
 
 
 @query(f"WITH {_NODES} SELECT * FROM n WHERE node_type = 'document' ORDER BY weight DESC, node_id LIMIT 10")
