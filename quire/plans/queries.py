@@ -305,3 +305,4 @@ from quire.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  r
 from quire.plans import resolution_queries as _resolution_queries  # noqa: E402, F401
 from quire.plans import relation_queries as _relation_queries  # noqa: E402, F401
 from quire.plans import section_queries as _section_queries  # noqa: E402, F401
+from quire.plans import evidence_queries as _evidence_queries  # noqa: E402, F401
