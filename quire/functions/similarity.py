@@ -25,6 +25,23 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def ratio(a: str, b: str) -> float:
+    """2 LCS / (|a| + |b|); 1 for two empty texts."""
+    return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def set_ratio(a: str, b: str) -> float:
+    """The best ratio among the common words, those with the words of a alone, and those with the words of b alone."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    if both and (x <= y or y <= x):
+        return 1.0
+    with_x, with_y = (f"{both} {" ".join(sorted(z - (x & y)))}".strip() for z in (x, y))
+    return max([ratio(with_x, with_y), *([ratio(both, with_x), ratio(both, with_y)] if both else [])])
+
+
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of code points; null if either is null."""

@@ -35,10 +35,35 @@ def sorted_tokens(text: Column) -> Column:
     return F.array_join(F.array_sort(words(text)), " ")
 
 
+#: Named and numbered HTML entities that are read; fixed values. The ampersand's is last, so nothing is read twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&ndash;": "\u2013", "&amp;": "&"}
+#: A DOI within a text. Fixed value.
+DOI = r"(?i)\b(10\.\d{4,9}/[^\s\"<>]+)"
+_DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212"
+
+
+def unescape(text: Column) -> Column:
+    """The entities of ENTITIES as their characters."""
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def plain_dashes(text: Column) -> Column:
+    return F.translate(text, _DASHES, "-" * len(_DASHES))
+
+
 def normalize_doi(doi: Column) -> Column:
-    """Percent signs decoded, prefix and trailing punctuation stripped, lower-cased; null if it holds no DOI."""
-    found = F.regexp_extract(F.try_url_decode(F.translate(doi, "‐‑–—", "----")), r"10\.\d{4,9}/\S+", 0)
-    return F.nullif(F.lower(F.regexp_replace(found, r"[.,;:)\]}>/\s]+$", "")), F.lit(""))
+    """Entities, dashes and percent signs read, prefixes and trailing punctuation stripped, lower-cased; null if it holds no DOI.
+
+    A text with a malformed percent sign is not decoded.
+    """
+    text = plain_dashes(F.trim(unescape(doi)))
+    text = F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)^doi\s*:\s*", ""), r"(?i)^https?://(?:dx\.)?doi\.org/", "")
+    found = F.coalesce(F.nullif(F.regexp_extract(text, DOI, 1), F.lit("")), text)
+    bare = F.lower(F.regexp_replace(found, r"^[\s.,;:)\]}>/]+|[\s.,;:)\]}>/]+$", ""))
+    return F.when(bare.startswith("10."), bare)
 
 
 def reference_year(year: Column, raw: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quire.functions.similarity import common_length
+from quire.functions.similarity import ratio, set_ratio
 
 # Words of headers that decide a label where no variant does; fixed values, tried in this order.
 HEADER_WORDS = {
@@ -57,31 +57,15 @@ def clean_header(header: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), "^ | $", ""))
 
 
-def _ratio(a: str, b: str) -> float:
-    return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
-
-
-def _set_ratio(a: str, b: str) -> float:
-    """The best ratio among the common words, those with the words of a alone, and those with the words of b alone."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    if both and (x <= y or y <= x):
-        return 1.0
-    with_x, with_y = (f"{both} {" ".join(sorted(z - (x & y)))}".strip() for z in (x, y))
-    return max([_ratio(with_x, with_y), *([_ratio(both, with_x), _ratio(both, with_y)] if both else [])])
-
-
 def variant_score(header: str, variant: str) -> float:
     """How well a cleaned header fits a variant, 0 to 1."""
     if not header or not variant:
         return 0.0
     if header == variant:
         return 1.0
-    scores = [_ratio(header, variant), _ratio(" ".join(sorted(header.split())), " ".join(sorted(variant.split())))]
+    scores = [ratio(header, variant), ratio(" ".join(sorted(header.split())), " ".join(sorted(variant.split())))]
     if len(variant.split()) >= 2 or len(variant) >= 12:
-        by_set = _set_ratio(header, variant)
+        by_set = set_ratio(header, variant)
         if by_set >= 0.90 and len(header) < 0.6 * len(variant):
             by_set = round(max(0.88 * by_set, 0.70), 4)  # a short header within a long variant says little
         scores.append(by_set)
