@@ -307,3 +307,4 @@ from quire.plans import relation_queries as _relation_queries  # noqa: E402, F40
 from quire.plans import section_queries as _section_queries  # noqa: E402, F401
 from quire.plans import evidence_queries as _evidence_queries  # noqa: E402, F401
 from quire.plans import citation_queries as _citation_queries  # noqa: E402, F401
+from quire.plans import document_graph_queries as _document_graph_queries  # noqa: E402, F401
