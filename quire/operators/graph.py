@@ -26,14 +26,6 @@ def co_occurrence(members: DataFrame) -> DataFrame:
     return a.join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
 
 
-def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end among nodes."""
-    ids = nodes.select("node_id").distinct()
-    out = edges.join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi")
-    into = edges.join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-    return out.unionByName(into).distinct()
-
-
 def subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes in ids, and the edges with both ends there."""
     ids = ids.select("node_id").distinct()
@@ -62,12 +54,16 @@ def _both(edges: DataFrame) -> DataFrame:
     return forward.unionByName(forward.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def distances(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(node_id, distance) of every node within so many undirected hops of the starts (node_id)."""
+def distances(edges: DataFrame, starts: DataFrame, depth: int | None = None, until: str | None = None) -> DataFrame:
+    """(node_id, distance) of every node within so many undirected hops of the starts (node_id), or of all that can be reached.
+
+    With until, the search ends with the hop that finds that node.
+    """
     ways = materialize(_both(edges), "ways")
     found = starts.select("node_id").distinct().withColumn("distance", F.lit(0))
-    frontier = found
-    for hop in range(1, depth + 1):
+    frontier, hop = found, 0
+    while depth is None or hop < depth:
+        hop += 1
         step = (
             frontier.join(ways, F.col("node_id") == F.col("u"))
             .select(F.col("v").alias("node_id"))
@@ -77,7 +73,7 @@ def distances(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         )
         frontier = materialize(step, "frontier")
         found = found.unionByName(frontier)
-        if frontier.isEmpty():
+        if frontier.isEmpty() or until is not None and not frontier.where(F.col("node_id") == until).isEmpty():
             break
     return found
 
@@ -136,15 +132,15 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 10) -> DataFrame:
-    """(position, node_id) of a path of fewest undirected edges, up to so many; no rows if there is none.
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(position, node_id) of a path of fewest undirected edges, however long; no rows if there is none.
 
     Of several the one that takes, from the target backwards, the least node at each step. Only the rows of the
-    path itself reach the driver.
+    path itself reach the driver; the search ends where it meets the target or nothing new.
     """
     spark = edges.sparkSession
     ways = materialize(_both(edges), "ways")
-    found = materialize(distances(edges, spark.createDataFrame([(source,)], "node_id string"), depth), "distances")
+    found = materialize(distances(edges, spark.createDataFrame([(source,)], "node_id string"), until=target), "distances")
     end = found.where(F.col("node_id") == target).first()
     if end is None:
         return spark.createDataFrame([], "position int, node_id string")
@@ -158,19 +154,41 @@ def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 10) -
 def simple_paths(edges: DataFrame, source: str, target: str, depth: int = 5) -> DataFrame:
     """(nodes, n_edges) of every undirected path without a repeated node from source to target, of at most so many edges.
 
-    A path ends where it meets the target; from a node to itself there is one path, of no edge.
+    A path ends where it meets the target; from a node to itself there is one path, of no edge. Only nodes from which
+    the target lies within what is left of depth carry a path on.
     """
+    spark = edges.sparkSession
     ways = materialize(_both(edges).where("u <> v"), "ways")
-    open_paths = edges.sparkSession.createDataFrame([([source],)], "nodes array<string>")
+    near = materialize(distances(edges, spark.createDataFrame([(target,)], "node_id string"), depth), "distances")
+    ways = materialize(ways.join(near.select(F.col("node_id").alias("v"), "distance"), "v"), "ways")
+    open_paths = spark.createDataFrame([([source],)], "nodes array<string>")
     done = open_paths.where(F.lit(source == target))
-    for _ in range(0 if source == target else depth):
-        step = open_paths.join(ways, F.element_at("nodes", -1) == F.col("u")).where(~F.array_contains("nodes", F.col("v")))
+    for n in range(1, depth + 1 if source != target else 1):
+        step = open_paths.join(ways, F.element_at("nodes", -1) == F.col("u")).where(~F.array_contains("nodes", F.col("v")) & (F.col("distance") <= depth - n))
         step = materialize(step.select(F.concat("nodes", F.array("v")).alias("nodes")), "paths")
         done = done.unionByName(step.where(F.element_at("nodes", -1) == target))
         open_paths = step.where(F.element_at("nodes", -1) != target)
     return done.select("nodes", (F.size("nodes") - 1).alias("n_edges"))
 
 
+def edge_paths(edges: DataFrame, source: str, target: str, depth: int = 5) -> DataFrame:
+    """(edge_ids, nodes, n_edges, weight, confidence): simple_paths with each way to choose among parallel edges.
+
+    edges also have edge_id and weight; weight is the sum of a path's, confidence the least of its edges'.
+    """
+    paths = materialize(simple_paths(edges, source, target, depth).withColumn("path", F.monotonically_increasing_id()), "paths")
+    kept = ["edge_id", "weight", "confidence"]
+    there = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), *kept)
+    both = there.unionByName(edges.select(F.col("target_id").alias("u"), F.col("source_id").alias("v"), *kept))
+    out = paths.select("path", "nodes", "n_edges", F.array().cast("array<string>").alias("edge_ids"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("confidence"))
+    for i in range(depth):
+        going = out.where(F.col("n_edges") > i).withColumns({"u": F.get("nodes", F.lit(i)), "v": F.get("nodes", F.lit(i + 1))})
+        step = going.join(both.withColumnsRenamed({"weight": "w", "confidence": "c"}), ["u", "v"])
+        step = step.select("path", "nodes", "n_edges", F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), (F.col("weight") + F.col("w")).alias("weight"), F.least("confidence", "c").alias("confidence"))
+        out = out.where(F.col("n_edges") <= i).unionByName(step)
+    return out.select("edge_ids", "nodes", "n_edges", F.round("weight", 4).alias("weight"), F.when(F.col("n_edges") > 0, F.col("confidence")).otherwise(0.0).alias("confidence"))
+
+
 def components_with_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of every node; one without an edge is its own."""
     found = components(edges)

@@ -309,3 +309,4 @@ from quire.plans import evidence_queries as _evidence_queries  # noqa: E402, F40
 from quire.plans import citation_queries as _citation_queries  # noqa: E402, F401
 from quire.plans import document_graph_queries as _document_graph_queries  # noqa: E402, F401
 from quire.plans import triple_queries as _triple_queries  # noqa: E402, F401
+from quire.plans import corpus_graph_queries as _corpus_graph_queries  # noqa: E402, F401
