@@ -9,8 +9,8 @@ from quire.functions import text as T
 from quire.operators import chunks as C
 from quire.operators import citations as L
 from quire.operators import references as M
-from quire.plans.queries import _table, query
-from quire.plans.relation_queries import _LEAST_PAGES
+from quire.plans.registry import _table, query
+from quire.plans.relation_queries import with_counts
 from quire.plans.resolution_queries import _TITLE
 
 _MARKERS = ["[{a}, 3-5]", "(Smith et al., {y})", "[{a}] and Li, {y}", ""]
@@ -26,7 +26,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     target = F.when(F.col("nth") % 5 == 0, F.concat(F.lit("#b"), (F.col("nth") % 8).cast("string"), F.lit(" #b1")))
     number = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("number")
     titles = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.regexp_extract("html", _TITLE, 1).alias("title"))
-    refs = docs.select("doc_id", number).withColumn("page", (F.col("doc_id") * 7 + F.col("number")) % _LEAST_PAGES).join(titles, "page")
+    refs = with_counts(spark, sf_dir, docs.select("doc_id", number), "pages").withColumn("page", (F.col("doc_id") * 7 + F.col("number")) % F.col("n_pages")).join(titles, "page")
     authors = F.when(F.col("number") % 2 == 0, F.array(F.lit("Smith, A"), F.lit("Li, B"))).otherwise(F.array(F.lit("Brown, C")))
     cut = C.chunk_sections(docs.select("doc_id", F.lit(0).alias("position"), F.col("text").alias("content")), gap=r"\n")
     return {
@@ -65,7 +65,7 @@ def bibliography(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.when(F.col("item_id") % 11 > 0, F.concat(F.lit("doi:10.1000/P"), F.col("item_id").cast("string"))).alias("doi"),
     )
     order = F.col("o_orderkey")
-    orders = _table(spark, sf_dir, "orders").withColumn("item_id", order % _LEAST_PAGES).join(titles, "item_id")
+    orders = with_counts(spark, sf_dir, _table(spark, sf_dir, "orders"), "pages").withColumn("item_id", order % F.col("n_pages")).join(titles, "item_id")
     cut = F.when(order % 4 == 0, F.col("title")).when(order % 4 == 1, F.concat(F.upper("title"), F.lit("."))).when(order % 4 == 2, F.regexp_replace("title", r"^\S+\s", ""))
     refs = orders.select(
         F.col("o_custkey").alias("doc_id"), F.concat(F.lit("ref_"), order.cast("string")).alias("ref_id"), cut.alias("title"),

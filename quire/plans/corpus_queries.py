@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import corpus as K
 from quire.operators import graph as G
-from quire.plans.queries import _EDGES, _NODES, _edges, _nodes, _table, query
+from quire.plans.queries import _EDGES, _NODES, _edges, _nodes
+from quire.plans.registry import _table, query
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

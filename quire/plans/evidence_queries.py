@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import evidence as E
-from quire.plans.queries import _table, query
+from quire.plans.registry import _table, query
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

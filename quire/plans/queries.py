@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import documents as D
 from quire.operators import graph as G
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query with its SQL; None where tests hold it against brute force."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from quire.plans.registry import _table, query
 
 # Stop-word pairs stand in for claim patterns: the tables' prose is invented.
 CLAIMS = [("addition", "(?i)\\band the\\b"), ("addition", "(?i)\\band a\\b"), ("relation", "(?i)\\bof the\\b"), ("relation", "(?i)\\bin the\\b"), ("identity", "(?i)\\bis the\\b")]
@@ -299,14 +277,3 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("turn").cast("long").alias("first_turn"),
         (F.max("turn") - F.min("turn") + 1 == F.countDistinct("turn")).alias("contiguous"),
     )
-
-
-from quire.plans import corpus_queries as _corpus_queries  # noqa: E402, F401  registers its queries here
-from quire.plans import resolution_queries as _resolution_queries  # noqa: E402, F401
-from quire.plans import relation_queries as _relation_queries  # noqa: E402, F401
-from quire.plans import section_queries as _section_queries  # noqa: E402, F401
-from quire.plans import evidence_queries as _evidence_queries  # noqa: E402, F401
-from quire.plans import citation_queries as _citation_queries  # noqa: E402, F401
-from quire.plans import document_graph_queries as _document_graph_queries  # noqa: E402, F401
-from quire.plans import triple_queries as _triple_queries  # noqa: E402, F401
-from quire.plans import corpus_graph_queries as _corpus_graph_queries  # noqa: E402, F401

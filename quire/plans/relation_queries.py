@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import relations as X
-from quire.plans.queries import _table, query
+from quire.plans.registry import _table, query
 from quire.plans.resolution_queries import _TITLE, similar_sql
 
-_LEAST_PAGES = 50  # pages that every size of the tables has: titles are dealt out by them
+
+def with_counts(spark: SparkSession, sf_dir: str, rows: DataFrame, *tables: str) -> DataFrame:
+    """rows with n_<table>, the rows of each table: numbers are dealt out over all of them."""
+    for t in tables:
+        rows = rows.crossJoin(F.broadcast(_table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias(f"n_{t}"))))  # one row
+    return rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -19,10 +24,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("doc_id"), F.substring("o_orderpriority", 1, 1).alias("p"))
     lines = _table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "order").join(orders.select("order", "doc_id"), "order")
     lines = lines.join(_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
-    page = (F.col("order") % _LEAST_PAGES).alias("page")
-    asked = orders.select("doc_id", F.col("order").alias("ref_id"), "p", page).join(titles, "page")
-    target = F.col("ref_id") % 150
-    claims = lines.where("l_returnflag = 'A'").withColumn("page", F.col("l_partkey") % _LEAST_PAGES).join(titles, "page")
+    page = (F.col("order") % F.col("n_pages")).alias("page")
+    asked = with_counts(spark, sf_dir, orders, "pages", "customer").select("doc_id", F.col("order").alias("ref_id"), "p", "n_customer", page).join(titles, "page")
+    target = F.col("ref_id") * 7 % F.col("n_customer")
+    claims = with_counts(spark, sf_dir, lines.where("l_returnflag = 'A'"), "pages").withColumn("page", F.col("l_partkey") % F.col("n_pages")).join(titles, "page")
     return {
         "documents": customers.join(titles, F.col("doc_id") == F.col("page"), "left").select("doc_id", "doi", "title"),
         "entities": lines.where("l_returnflag = 'R'").select("doc_id", F.concat(F.lit("Part "), "l_partkey").alias("canonical"), F.col("p_name").alias("norm"), F.when(F.col("p_type") == "PROMO", "method").otherwise("dataset").alias("label")),
@@ -55,8 +60,8 @@ RELATIONS_SQL = rf"""WITH ti AS MATERIALIZED (SELECT page_id AS page, regexp_ext
 d AS (SELECT c_custkey AS doc_id, '10.1/D' || c_custkey AS doi, title FROM customer LEFT JOIN ti ON c_custkey = page),
 l AS MATERIALIZED (SELECT o_custkey AS doc_id, l_orderkey, lineitem.*, part.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 e AS MATERIALIZED (SELECT DISTINCT doc_id, 'part ' || l_partkey AS item, p_type = 'PROMO' AS method FROM l WHERE l_returnflag = 'R'),
-r AS (SELECT o_custkey AS doc_id, o_orderkey AS ref_id, CASE WHEN o_orderpriority[1] = '1' THEN o_orderkey % 150 END AS target_id,
-    CASE WHEN o_orderpriority[1] = '2' THEN '10.1/d' || o_orderkey % 150 END AS doi, CASE WHEN o_orderpriority[1] = '5' THEN title END AS title FROM orders JOIN ti ON page = o_orderkey % {_LEAST_PAGES}),
+r AS (SELECT o_custkey AS doc_id, o_orderkey AS ref_id, CASE WHEN o_orderpriority[1] = '1' THEN o_orderkey * 7 % (SELECT count(*) FROM customer) END AS target_id,
+    CASE WHEN o_orderpriority[1] = '2' THEN '10.1/d' || o_orderkey * 7 % (SELECT count(*) FROM customer) END AS doi, CASE WHEN o_orderpriority[1] = '5' THEN title END AS title FROM orders JOIN ti ON page = o_orderkey % (SELECT count(*) FROM pages)),
 cited AS (SELECT DISTINCT r.doc_id AS a, target_id AS b FROM r JOIN d ON d.doc_id = target_id WHERE r.doc_id <> target_id),
 cand AS MATERIALIZED (SELECT DISTINCT i.doc_id AS a, j.doc_id AS b FROM e i JOIN e j ON i.item = j.item AND i.doc_id <> j.doc_id UNION SELECT a, b FROM cited),
 tk AS MATERIALIZED (SELECT DISTINCT title, {_key("title")} AS k FROM ti WHERE length(trim(title)) > 5),
@@ -71,7 +76,7 @@ t AS (SELECT doc_id, l_partkey AS s, l_linestatus AS p, l_suppkey // 20 AS o, l_
 te AS (SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN x.o = y.o AND x.neg = y.neg THEN 'supports' ELSE 'contradicts' END AS kind,
     (x.c + y.c) / 2 * CASE WHEN x.o <> y.o THEN 0.8 WHEN x.neg <> y.neg THEN 0.9 ELSE 1 END AS c FROM t x JOIN t y ON x.s = y.s AND x.p = y.p JOIN cand ON a = x.doc_id AND b = y.doc_id),
 c AS MATERIALIZED (SELECT doc_id, p_brand AS kind, title || CASE WHEN l_linestatus = 'O' THEN ' is not so' ELSE '' END AS s, CASE WHEN l_tax > 0.04 THEN p_name END AS st, p_type AS p, round(1 - l_discount, 2) AS c
-    FROM l JOIN ti ON page = l_partkey % {_LEAST_PAGES} WHERE l_returnflag = 'A'),
+    FROM l JOIN ti ON page = l_partkey % (SELECT count(*) FROM pages) WHERE l_returnflag = 'A'),
 w AS MATERIALIZED (SELECT s, {_key("s")} AS k, list_has_any(string_split_regex(lower(s), '\s+'), [{_NEGATIONS}]) AS neg FROM (SELECT DISTINCT s FROM c)),
 ws AS MATERIALIZED (SELECT x.s, y.s AS t FROM w x JOIN w y ON {similar_sql("x.k", "y.k", 70)}),
 v AS MATERIALIZED (SELECT st, {_key("st")} AS k FROM (SELECT DISTINCT st FROM c WHERE st IS NOT NULL)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import resolution as R
-from quire.plans.queries import _table, query
+from quire.plans.registry import _table, query
 
 ALIASES = [("small ring", "method", ["hot ring", "blue ring"]), ("red plate", "tool", ["hot plate"]), ("old rod", "dataset", ["large rod", "red plate", "Small  Widget."])]
 _LABELS = {"com": "method", "net": "tool", "org": "dataset", "PROMO": "method", "ECONOMY": "tool", "STANDARD": "gene_protein", "MEDIUM": "person", "SMALL": "organization"}

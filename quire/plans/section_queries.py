@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.operators import chunks as C
 from quire.operators import documents as D
 from quire.operators import sections as S
-from quire.plans.queries import _table, query
+from quire.plans.registry import _table, query
 
 # A line of a document is a paragraph, as its texts have no blank lines. Counts are folded in two recursions, one over paragraphs, one over sentences.
 CHUNKS_SQL = r"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, p, len(list_filter(string_split_regex(p, '\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i

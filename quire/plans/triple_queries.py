@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import triples as T
-from quire.plans.queries import _table, query
+from quire.plans.registry import _table, query
 
 _LABELS = {"PROMO": "method", "ECONOMY": "method", "STANDARD": "dataset", "MEDIUM": "dataset", "SMALL": "metric"}
 _VERBS = ["outperforms", "improves upon", "Uses", "is better than", "evaluated  on", "and"]

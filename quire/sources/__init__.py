@@ -1 +1 @@
-"""sources of quire."""
+"""Stores that tables are kept in."""

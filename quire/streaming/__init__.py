@@ -1 +1 @@
-"""streaming of quire."""
+"""Streams into stores."""

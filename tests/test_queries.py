@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quire.plans.queries import QUERIES, SQL
+from quire.plans.catalog import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
