@@ -117,3 +117,22 @@ def deduplicated(triples: DataFrame) -> DataFrame:
     best = triples.groupBy("doc_id", "subject_id", "predicate", "object_id").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("predicate", "subject_id", "object_id"))
     return best.select("doc_id", F.format_string("triple_%03d", nth).alias("triple_id"), "subject_id", "predicate", "object_id", "confidence", "n")
+
+
+def contribution_triples(facts: DataFrame, entities: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, subject_id, subject_text, predicate, object_id, object_text, evidence_id, confidence): what introduces each contribution.
+
+    facts: (doc_id, fact_id, fact_type, value, chunk_id, section_id); chunks: (doc_id, chunk_id, section_id). The subject is the first method of the
+    fact's chunk, else of its section's chunks, else the document by its title (documents: doc_id, title) at 0.6, under the name sub_ and
+    the fact's id; confidence is 0.75 of the subject's. Values are cut at 120 characters.
+    """
+    methods = entities.where("label = 'method' and chunk_id is not null").select("doc_id", "chunk_id", "nth", F.struct("entity_id", "text", "confidence", F.col("chunk_id").alias("of")).alias("m"))
+    of_chunk = methods.groupBy("doc_id", "chunk_id").agg(F.min_by("m", "nth").alias("near"))
+    of_section = methods.join(chunks.select("doc_id", "chunk_id", "section_id"), ["doc_id", "chunk_id"]).groupBy("doc_id", "section_id").agg(F.min_by("m", "nth").alias("far"))
+    told = facts.where("fact_type = 'contribution'").join(of_chunk, ["doc_id", "chunk_id"], "left").join(of_section, ["doc_id", "section_id"], "left").join(documents.select("doc_id", "title"), "doc_id", "left")
+    m = F.coalesce("near", "far")
+    sure = F.round(F.coalesce(m["confidence"], F.lit(0.6)) * 0.75, 4)
+    return told.select(
+        "doc_id", F.coalesce(m["of"], "chunk_id", "section_id", F.lit("")).alias("chunk_id"), F.coalesce(m["entity_id"], F.concat(F.lit("sub_"), "fact_id")).alias("subject_id"), F.coalesce(m["text"], F.col("title")).alias("subject_text"),
+        F.lit("introduces").alias("predicate"), F.concat(F.lit("obj_"), "fact_id").alias("object_id"), F.substring("value", 1, 120).alias("object_text"), F.col("fact_id").alias("evidence_id"), sure.alias("confidence"),
+    ).where(F.col("confidence") >= LEAST)

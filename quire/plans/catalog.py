@@ -6,6 +6,7 @@ from quire.plans import (  # noqa: F401  each registers its own
     corpus_queries,
     document_graph_queries,
     evidence_queries,
+    fact_queries,
     queries,
     relation_queries,
     resolution_queries,

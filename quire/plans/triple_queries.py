@@ -85,3 +85,21 @@ def claim_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What claims say of their methods."""
     c = corpus(spark, sf_dir)
     return T.claim_triples(c["claims"], c["entities"], c["documents"])
+
+
+@query(_SQL + """m AS (SELECT DISTINCT ON (doc_id, chunk) doc_id, chunk, id, name, c FROM e WHERE label = 'method' AND chunk IS NOT NULL ORDER BY doc_id, chunk, k),
+f AS (SELECT doc_id, k, p_name || ' of ' || p_name AS v, chunk, 'sec_' || s % 2 AS sec FROM l WHERE f = 'A' AND label IN ('metric', 'other')),
+x AS (SELECT f.*, m.id AS mid, m.name, m.c, m.chunk AS mc, n.id AS nid, n.name AS nname, n.c AS nc, n.chunk AS nch FROM f LEFT JOIN m ON m.doc_id = f.doc_id AND m.chunk = f.chunk LEFT JOIN m n ON n.doc_id = f.doc_id AND 'sec_' || right(n.chunk, 1) = sec)
+SELECT x.doc_id, coalesce(mc, nch, chunk, sec) AS chunk_id, coalesce(mid, nid, 'sub_' || k) AS subject_id, coalesce(name, nname, o_orderpriority) AS subject_text, 'introduces' AS predicate, 'obj_' || k AS object_id, left(v, 120) AS object_text,
+  k AS evidence_id, round(coalesce(c, nc, 0.6) * 0.75, 4) AS confidence FROM x JOIN orders ON o_orderkey = x.doc_id WHERE round(coalesce(c, nc, 0.6) * 0.75, 4) >= 0.3""")
+def contribution_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What introduces the contributions; an order's chunks are its sections by their last digit."""
+    c = corpus(spark, sf_dir)
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "*").join(_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    known = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])[F.col("p_type")]
+    facts = lines.where("l_returnflag = 'A'").select(
+        "doc_id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), F.when(known.isNull() | (known == "metric"), "contribution").otherwise("method").alias("fact_type"),
+        F.concat_ws(" of ", "p_name", "p_name").alias("value"), F.when(F.col("l_quantity") < 45, F.concat(F.lit("chk_"), F.col("l_linenumber") % 2)).alias("chunk_id"), F.concat(F.lit("sec_"), F.col("l_suppkey") % 2).alias("section_id"),
+    ).distinct()
+    chunks = c["chunks"].select("doc_id", "chunk_id", F.concat(F.lit("sec_"), F.substring("chunk_id", 5, 1)).alias("section_id"))
+    return T.contribution_triples(facts, c["entities"], chunks, c["documents"])
