@@ -7,6 +7,7 @@ from quire.plans import (  # noqa: F401  each registers its own
     document_graph_queries,
     evidence_queries,
     fact_queries,
+    integrity_queries,
     queries,
     relation_queries,
     resolution_queries,
