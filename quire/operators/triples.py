@@ -61,7 +61,7 @@ def relation_triples(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     many = F.size(F.split("name", r"\s+")) > 1
     met = met.where(many | F.array_contains(F.split("said", r"\s+"), F.col("name")))
     key = ["doc_id", "chunk_id", "at", "predicate"]
-    first = met.groupBy(*key, "side").agg(F.min_by(F.struct("entity_id", "confidence"), "nth").alias("e"))
+    first = met.groupBy(*key, "side").agg(F.min_by(F.struct("entity_id", "confidence"), F.struct("nth", "entity_id", "confidence")).alias("e"))
     both = first.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("e"))).alias("s"), F.max(F.when(F.col("side") == 1, F.col("e"))).alias("o"))
     sure = F.round(F.least("s.confidence", "o.confidence") * STATED, 4)
     told = both.where("s.entity_id <> o.entity_id").select("doc_id", "chunk_id", F.col("s.entity_id").alias("subject_id"), "predicate", F.col("o.entity_id").alias("object_id"), sure.alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import triples as T
@@ -12,10 +12,14 @@ _LABELS = {"PROMO": "method", "ECONOMY": "method", "STANDARD": "dataset", "MEDIU
 _VERBS = ["outperforms", "improves upon", "Uses", "is better than", "evaluated  on", "and"]
 
 
+def _key() -> Column:
+    return F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Chunks by the parity of the line number, but for 45 and more pieces; a line's statement is `name verb last name`."""
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "*").join(_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
-    key = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
+    key = _key()
     chunk = F.when(F.col("l_quantity") < 45, F.concat(F.lit("chk_"), F.col("l_linenumber") % 2)).alias("chunk_id")
     label = F.coalesce(F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])[F.col("p_type")], F.lit("other")).alias("label")
     rows = lines.select("doc_id", key.alias("k"), label, "p_name", chunk, "l_returnflag", "l_suppkey", F.round(1 - 6 * F.col("l_discount"), 2).alias("confidence")).distinct()
@@ -37,7 +41,7 @@ def _case(key: str, values: dict) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
-_SQL = f"""WITH l AS MATERIALIZED (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, coalesce({_case("p_type", _LABELS)}, 'other') AS label, p_name,
+_SQL = f"""WITH l AS MATERIALIZED (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS k, coalesce({_case("p_type", _LABELS)}, 'other') AS label, p_name,
     CASE WHEN l_quantity < 45 THEN 'chk_' || l_linenumber % 2 END AS chunk, l_returnflag AS f, l_suppkey AS s, round(1 - 6 * l_discount, 2) AS c FROM lineitem JOIN part ON l_partkey = p_partkey),
 e AS MATERIALIZED (SELECT doc_id, 'ent_' || k AS id, k, label, CASE WHEN s % 2 = 0 THEN p_name ELSE string_split(p_name, ' ')[2] END AS name, c, chunk FROM l),"""
 _SIDES = " UNION ALL ".join(
@@ -98,7 +102,7 @@ def contribution_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "*").join(_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     known = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])[F.col("p_type")]
     facts = lines.where("l_returnflag = 'A'").select(
-        "doc_id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), F.when(known.isNull() | (known == "metric"), "contribution").otherwise("method").alias("fact_type"),
+        "doc_id", _key().alias("fact_id"), F.when(known.isNull() | (known == "metric"), "contribution").otherwise("method").alias("fact_type"),
         F.concat_ws(" of ", "p_name", "p_name").alias("value"), F.when(F.col("l_quantity") < 45, F.concat(F.lit("chk_"), F.col("l_linenumber") % 2)).alias("chunk_id"), F.concat(F.lit("sec_"), F.col("l_suppkey") % 2).alias("section_id"),
     ).distinct()
     chunks = c["chunks"].select("doc_id", "chunk_id", F.concat(F.lit("sec_"), F.substring("chunk_id", 5, 1)).alias("section_id"))
