@@ -72,3 +72,11 @@ def reference_year(year: Column, raw: Column) -> Column:
         F.nullif(F.regexp_extract(year, r"\d{4}", 0), F.lit("")),
         F.nullif(F.regexp_extract(raw, r"\b(?:19|20)\d{2}\b", 0), F.lit("")),
     )
+
+
+def initial(text: Column) -> Column:
+    """A text's first character in upper case, one character again: ß gives its capital, ligatures stay as they are."""
+    first = F.substring(text, 1, 1)
+    upper, title = F.upper(first), F.initcap(first)
+    one = lambda c: F.char_length(c) <= 1
+    return F.when(first == "ß", "ẞ").when(one(upper), upper).when(one(title), title).otherwise(first)

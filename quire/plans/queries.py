@@ -88,9 +88,10 @@ UNION ALL SELECT 'language', lang, count(DISTINCT doc_id) FROM documents GROUP B
 UNION ALL SELECT 'initial', upper(substr(text, 1, 1)), count(DISTINCT doc_id) FROM documents WHERE text <> '' GROUP BY ALL""")
 def corpus_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    parts = {"source": F.col("source"), "language": F.col("lang"), "initial": F.when(F.col("text") != "", F.upper(F.substring("text", 1, 1)))}
+    parts = {"source": F.col("source"), "language": F.col("lang"), "initial": F.when(F.col("text") != "", T.initial(F.col("text")))}
     pairs = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(name).alias("index_name"), key.alias("key")) for name, key in parts.items()])).alias("entry"))
-    return pairs.select("doc_id", "entry.*").where("key is not null").groupBy("index_name", "key").agg(F.countDistinct("doc_id").alias("n_docs"))
+    # documents without a source or language count under the null key, those without text have no initial
+    return pairs.select("doc_id", "entry.*").where("key is not null or index_name <> 'initial'").groupBy("index_name", "key").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("""SELECT count(*) AS n_documents, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_languages,
