@@ -54,24 +54,45 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([max(ratio(x, y), ratio(by_order(x), by_order(y)), set_ratio(x, y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def candidates(references: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(doc_id, ref_id, item_id): works that share a DOI of the raw text, the year and a surname, or one of the three rarest words of the title.
+def candidates(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(question, item_id): works that share a DOI of the raw text, the year and a surname, or one of the three rarest words of the title.
 
-    references: (doc_id, ref_id, title, names, year, raw_doi); catalogue: (item_id, title, names, year, doi), both prepared. Words
-    are rare by the works that hold them.
+    questions: (question, title, names, year, raw_doi); catalogue: (item_id, title, names, year, doi), both prepared. Words are rare
+    by the works that hold them. Of works that share year and surname with a question without title, which score alike but for
+    a DOI, the first with a DOI and the first without are enough.
     """
-    ids = ["doc_id", "ref_id"]
-    by_doi = references.join(catalogue.select("item_id", F.col("doi").alias("raw_doi")), "raw_doi").select(*ids, "item_id")
+    by_doi = questions.join(catalogue.select("item_id", F.col("doi").alias("raw_doi")), "raw_doi").select("question", "item_id")
     name = lambda t, *cols: t.where("year is not null").select(*cols, "year", F.explode(F.array_distinct("names")).alias("name"))
-    by_name = name(references, *ids).join(name(catalogue, "item_id"), ["year", "name"]).select(*ids, "item_id")
-    held = catalogue.where("title <> ''").select("item_id", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    works = name(catalogue, "item_id", "doi")
+    by_name = name(questions.where("title <> ''"), "question").join(works, ["year", "name"]).select("question", "item_id")
+    first = works.groupBy("year", "name", F.col("doi").isNull()).agg(F.min("item_id").alias("item_id")).select("year", "name", "item_id")
+    untitled = name(questions.where("title = ''"), "question").join(first, ["year", "name"]).select("question", "item_id")
+    held = catalogue.where("title <> ''").select("title", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
     often = held.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-    titles = references.where("title <> ''").select("title").distinct()
+    titles = questions.where("title <> ''").select("title").distinct()
     asked = titles.select("title", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).join(often, "word")
     nth = F.row_number().over(Window.partitionBy("title").orderBy("often", "word"))
     rare = asked.withColumn("rank", nth).where(F.col("rank") <= RARE_WORDS).select("title", "word")
-    by_word = references.select(*ids, "title").join(rare.join(held, "word").select("title", "item_id").distinct(), "title").select(*ids, "item_id")
-    return by_doi.unionByName(by_name).unionByName(by_word).distinct()
+    # titles find titles, each once; questions and works come to theirs
+    alike = rare.join(held.distinct().withColumnRenamed("title", "of"), "word").select("title", "of").distinct()
+    by_word = questions.select("question", "title").join(alike.join(catalogue.select("item_id", F.col("title").alias("of")), "of"), "title").select("question", "item_id")
+    return by_doi.unionByName(by_name).unionByName(untitled).unionByName(by_word).distinct()
+
+
+def _most_alike(title: str, other: str) -> Column:
+    """struct(most, exact): what title_similarity is at most, by words and lengths alone; exactly so where a title is empty or has all words of the other."""
+    x, y = (F.array_distinct(F.split(c, " ")) for c in (title, other))
+    both = F.array_intersect(x, y)
+    held = (F.size(both) > 0) & ((F.size(both) == F.size(x)) | (F.size(both) == F.size(y)))
+
+    def most(a: Column, b: Column) -> Column:
+        return 2 * F.least(a, b) / (a + b)
+
+    m, n, common = F.char_length(F.array_join(x, " ")), F.char_length(F.array_join(y, " ")), F.char_length(F.array_join(both, " "))
+    some = F.when(F.size(both) > 0, 2 * common / (common + F.least(m, n))).otherwise(0.0)
+    empty = (F.col(title) == "") | (F.col(other) == "")
+    bound = F.when(empty, 0.0).when(held, 1.0).otherwise(F.greatest(most(F.char_length(title), F.char_length(other)), most(m, n), some))
+    return F.struct(bound.alias("most"), (empty | held).alias("exact"))
 
 
 def resolve_references(references: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -88,22 +109,34 @@ def resolve_references(references: DataFrame, catalogue: DataFrame) -> DataFrame
     names = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), surname), lambda n: n != "")
     raw_doi = T.normalize_doi(F.nullif(F.regexp_extract("raw_text", T.DOI, 1), F.lit("")))
     told = references.select("*", match_title(F.col("title")).alias("_title"), names(F.col("authors")).alias("_names"), year.alias("_year"), raw_doi.alias("_raw_doi"))
-    told = materialize(told, "references")
-    asking = told.where("coalesce(doi, '') = ''").select(*ids, F.col("_title").alias("title"), F.col("_names").alias("names"), F.col("_year").alias("year"), F.col("_raw_doi").alias("raw_doi"))
+    # references that ask for the same are one question
+    same = F.md5(F.to_json(F.struct(F.col("_title").alias("title"), F.array_sort(F.array_distinct("_names")).alias("names"), F.col("_year").alias("year"), F.col("_raw_doi").alias("raw_doi"))))
+    told = materialize(told.withColumn("question", F.when(F.coalesce("doi", F.lit("")) == "", same)), "references")
+    asking = told.where("question is not null").groupBy("question").agg(F.first(F.struct(F.col("_title").alias("title"), F.col("_names").alias("names"), F.col("_year").alias("year"), F.col("_raw_doi").alias("raw_doi"))).alias("q"))
+    asking = materialize(asking.select("question", "q.*"), "questions")
     works = catalogue.select("item_id", match_title(F.col("title")).alias("title"), names(F.col("authors")).alias("names"), F.col("year").cast("string").alias("year"), T.normalize_doi(F.col("doi")).alias("doi"))
     works = materialize(works, "works")
-    pairs = candidates(asking, works).join(asking, ids).join(works.select("item_id", *[F.col(c).alias(f"{c}_b") for c in ("title", "names", "year", "doi")]), "item_id")
-    pairs = materialize(pairs, "pairs")
-    # each two titles are compared once
-    titles = pairs.select("title", "title_b").distinct().withColumn("by_title", title_similarity("title", "title_b"))
+    pairs = candidates(asking, works).join(asking, "question").join(works.select("item_id", *[F.col(c).alias(f"{c}_b") for c in ("title", "names", "year", "doi")]), "item_id")
     some = lambda c: F.size(c) > 0
     by_author = F.when(some("names") & some("names_b"), F.arrays_overlap("names", "names_b").cast("double")).when(some("names"), 0.0).otherwise(0.5)
     by_year = F.when(F.col("year").isNull(), 0.5).otherwise(F.coalesce(F.col("year") == F.col("year_b"), F.lit(False)).cast("double"))
-    score = TITLE * F.col("by_title") + AUTHOR * by_author + YEAR * by_year + HAS_DOI * F.col("doi_b").isNotNull().cast("double")
-    best = pairs.join(titles, ["title", "title_b"]).select(*ids, "item_id", F.col("doi_b").alias("found"), score.alias("score")).groupBy(*ids).agg(
+
+    def score(by_title: Column) -> Column:
+        return TITLE * by_title + AUTHOR * F.col("by_author") + YEAR * F.col("by_year") + HAS_DOI * F.col("found").isNotNull().cast("double")
+
+    pairs = pairs.select("question", "item_id", "title", "title_b", F.col("doi_b").alias("found"), by_author.alias("by_author"), by_year.alias("by_year"), _most_alike("title", "title_b").alias("x"))
+    pairs, settled = pairs.select("*", "x.*").drop("x"), F.col("exact")
+    pairs = materialize(pairs.withColumn("at_least", score(F.when(settled, F.col("most")).otherwise(0.0))), "pairs")
+    # only pairs that can still be a question's best are compared, each two titles once
+    sure = pairs.groupBy("question").agg(F.max("at_least").alias("sure"))
+    pairs = materialize(pairs.join(sure, "question").where(score(F.col("most")) >= F.col("sure") - 1e-9), "pairs")
+    titles = pairs.where(~settled).select("title", "title_b").distinct()
+    titles = titles.repartition(F.col("title"), F.col("title_b")).withColumn("by_title", title_similarity("title", "title_b"))
+    scored = pairs.where(settled).withColumn("by_title", F.col("most")).unionByName(pairs.where(~settled).join(titles, ["title", "title_b"]))
+    best = scored.select("question", "item_id", "found", score(F.col("by_title")).alias("score")).groupBy("question").agg(
         F.min_by(F.struct("item_id", "found", "score"), F.struct((-F.col("score")).alias("s"), "item_id")).alias("best")
     )
-    out = told.join(best, ids, "left")
+    out = told.join(best, "question", "left")
     own = F.coalesce("doi", F.lit("")) != ""
     found = F.col("best.found").isNotNull()
     status = F.when(own | found & (F.col("best.score") >= RESOLVED), "resolved").when(found & (F.col("best.score") >= AMBIGUOUS), "ambiguous").otherwise("unresolved")
