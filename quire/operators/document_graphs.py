@@ -17,18 +17,28 @@ _NODE = ["doc_id", "node_id", "node_type", "label", "text", "confidence"]
 _EDGE = ["doc_id", "source_id", "target_id", "predicate", "confidence", "negated"]
 
 
+#: Texts of a document that all its other texts may well be compared with; where there are more, three characters lead from one to the other.
+FEW = 32
+
+
 def _holds(left: DataFrame, right: DataFrame, whole: str, part: str) -> DataFrame:
     """Rows of left with those of right of the same document whose part is in whole, both in lower case.
 
-    A text that holds another holds its first three characters: these lead from one to the other. Shorter ones meet by document.
+    Where a document has few parts they meet all its wholes. Else: a text that holds another holds its first three characters, and
+    these lead from one to the other; shorter ones meet by document.
     """
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("_whole") - 2, F.lit(1))), lambda i: F.substring("_whole", i, F.lit(3)))
     there = left.withColumn("_whole", F.lower(whole))
-    here = right.withColumn("_part", F.lower(part)).withColumn("_first", F.substring("_part", 1, 3))
+    here = right.withColumn("_part", F.lower(part)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    met = there.join(here.where(F.col("_n") <= FEW).drop("_n"), "doc_id")
+    crowded = right.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("doc_id")
+    there = there.join(crowded, "doc_id", "left_semi")
+    here = here.where(F.col("_n") > FEW).drop("_n").withColumn("_first", F.substring("_part", 1, 3))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("_whole") - 2, F.lit(1))), lambda i: F.substring("_whole", i, F.lit(3)))
     long = F.char_length("_part") >= 3
     led = there.withColumn("_first", F.explode(F.array_distinct(grams))).join(here.where(long), ["doc_id", "_first"])
     short = there.join(here.where(~long).drop("_first"), "doc_id")
-    return led.drop("_first").unionByName(short).where(F.contains("_whole", "_part")).drop("_whole", "_part")
+    every = met.unionByName(led.drop("_first")).unionByName(short)
+    return every.where(F.contains("_whole", "_part")).drop("_whole", "_part")
 
 
 def build_graphs(entities: DataFrame, claims: DataFrame, chunks: DataFrame, facts: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
