@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.document_graphs import _holds
+from quire.plans.storage import materialize
 
 #: What verb forms mean. Fixed values.
 PREDICATES = {
@@ -57,7 +58,8 @@ def relation_triples(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     matches = chunks.select("doc_id", "chunk_id", F.posexplode(found).alias("at", "m")).select("doc_id", "chunk_id", "at", "m.*")
     sides = matches.select("doc_id", "chunk_id", "at", "predicate", F.posexplode(F.array("a", "b")).alias("side", "said")).withColumn("said", F.lower(F.trim("said")))
     named = entities.where("trim(text) <> ''").select("doc_id", "entity_id", "nth", F.lower(F.trim("text")).alias("name"), "confidence", F.col("chunk_id").alias("of"))
-    met = _holds(sides, named, "said", "name").where("chunk_id = of")
+    # the patterns are searched once
+    met = _holds(materialize(sides, "sides"), named, "said", "name").where("chunk_id = of")
     many = F.size(F.split("name", r"\s+")) > 1
     met = met.where(many | F.array_contains(F.split("said", r"\s+"), F.col("name")))
     key = ["doc_id", "chunk_id", "at", "predicate"]
