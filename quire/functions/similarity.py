@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +43,66 @@ def set_ratio(a: str, b: str) -> float:
     return max([ratio(with_x, with_y), *([ratio(both, with_x), ratio(both, with_y)] if both else [])])
 
 
+def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and for each character of all texts its text, its place there and its code point."""
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    which = np.repeat(np.arange(len(texts)), n)
+    return n, which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def common_lengths(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """common_length of left[i] and right[j] for arrays of places; texts of left up to 64 characters go side by side, a word of bits each."""
+    (n, which, at, chars), (m, which_b, at_b, chars_b) = _places(left), _places(right)
+    found, fits = np.zeros(len(i), dtype=np.int64), n[i] <= 64
+    known, codes = np.unique(chars, return_inverse=True)
+    bits, short = np.zeros((len(left), len(known) + 1), dtype=np.uint64), n[which] <= 64
+    np.bitwise_or.at(bits, (which[short], codes[short]), np.uint64(1) << at[short].astype(np.uint64))
+    spelled = np.full((len(right), max(m, default=0)), len(known))  # the last code is no character of left
+    code_b = np.searchsorted(known, chars_b)
+    held = code_b < len(known)
+    held[held] = known[code_b[held]] == chars_b[held]
+    spelled[which_b[held], at_b[held]] = code_b[held]
+    full = np.where(n < 64, (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+    for part in np.array_split(np.flatnonzero(fits), int(fits.sum()) // 8192 + 1):
+        row, p, q, all_bits = full[i[part]], i[part], j[part], full[i[part]]
+        for s in range(max(m[q], default=0)):
+            hit = row & bits[p, spelled[q, s]]
+            row = (row + hit | row - hit) & all_bits
+        found[part] = n[p] - np.bitwise_count(row)
+    for k in np.flatnonzero(~fits):
+        found[k] = common_length(left[i[k]], right[j[k]])
+    return found
+
+
+def alike_places(left: list[str], right: list[str], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all texts with 200 LCS / (|a| + |b|) >= percent.
+
+    A common subsequence is no longer than the characters that two texts share, each as often as both have it: a product of matrices counts
+    these, and the texts that they leave are compared exactly.
+    """
+    (n, which, _, chars), (m, *_) = _places(left + right), _places(right)
+    order = np.lexsort((chars, which))
+    row, char = which[order], chars[order]
+    first = np.r_[True, (row[1:] != row[:-1]) | (char[1:] != char[:-1])]
+    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+    kinds, column = np.unique(char.astype(np.int64) << 32 | nth, return_inverse=True)
+    has = np.zeros((len(n), len(kinds)), dtype=np.float32)
+    has[row, column] = 1
+    least = percent * (n[: len(left), None] + m[None, :])
+    i, j = np.nonzero(200 * (has[: len(left)] @ has[len(left) :].T) >= least - 0.5)
+    same = 200 * common_lengths(left, right, i, j) >= least[i, j]
+    return i[same], j[same]
+
+
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of code points; null if either is null."""
-    return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    out, known = pd.Series([None] * len(a), dtype="Int32"), np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    for part in np.array_split(known, len(known) // 1024 + 1):
+        pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a.iloc[part], b.iloc[part], strict=True)]
+        if pairs:
+            out.iloc[part] = common_lengths([x for x, _ in pairs], [y for _, y in pairs], np.arange(len(pairs)), np.arange(len(pairs)))
+    return out
 
 
 def at_least(a: Column, b: Column, percent: int) -> Column:

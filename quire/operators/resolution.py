@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.similarity import at_least, comparable
+from quire.functions.similarity import alike_places, comparable
 from quire.functions.text import normalize_text
 from quire.plans.components import connected_components
 from quire.plans.storage import materialize
@@ -33,64 +34,54 @@ def _compatible(a: str, b: str, pairs: list[tuple[str, str]]) -> Column:
     return (F.col(a) == F.col(b)) | listed
 
 
-def _cut(text: Column, n: Column, q: int) -> Column:
-    """All q-grams of a text of n >= q characters."""
-    return F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(text, i, F.lit(q)))
+#: Texts that one task compares with as many others at a time.
+TILE = 1024
+
+
+def _tiled(texts: DataFrame) -> DataFrame:
+    """texts with n, band and part: a tile holds about TILE texts of one block and nearly one length."""
+    rows = texts.where("text <> '' and block is not null").select("id", "block", "text", F.char_length("text").alias("n"))
+    rows = rows.withColumn("band", F.floor(16 * F.log("n")).cast("int"))
+    parts = rows.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    return materialize(rows.join(F.broadcast(parts), ["block", "band"]).select("id", "block", "text", "n", "band", part.alias("part")), "tiles")  # a row for each length
 
 
 def similar_texts(texts: DataFrame, percent: int, right: DataFrame | None = None) -> DataFrame:
     """(a, b): ids of texts of one block for which 200 LCS / (|a| + |b|) >= percent, a < b; with right, a of texts and b of right.
 
-    texts and right: (id, block, text), ids being unique. Null and empty texts are alike to none. Candidates come
-    from n-grams: a common subsequence of m characters leaves at least (2q-1) m - (q-1)(|a|+|b|+1) of the q-grams of either
-    text whole, so two alike texts share a gram among the rarest of each, as many as that bound leaves out plus one. q is
-    3, 2 or 1 by the shorter text's length; none is left out, and candidates are then compared exactly.
+    texts and right: (id, block, text), ids being unique. Null and empty texts are alike to none. Texts lie in tiles by
+    block and length; every two tiles whose lengths allow alike texts meet in a group of their own, where characters are counted and
+    what these leave is compared exactly. All pairs of a block are looked at, of whatever texts: the work grows with their square,
+    a task's memory does not grow.
     """
-    lower, upper, alike = {}, {}, percent / 200
-    most = None
-    for q in (3, 2, 1):
-        kept = (2 * q - 1) * alike - (q - 1)
-        if q == 1 or kept > 0:
-            lower[q], upper[q] = (1 if q == 1 else ceil(q / (2 * kept))), most
-            most = lower[q] - 1
-
-    def grams(side: DataFrame) -> DataFrame:
-        rows = side.where(F.col("text") != "").select("id", "block", "text", F.char_length("text").alias("n"))
-        parts = None
-        for q in lower:
-            fits = F.col("n") >= lower[q]
-            if upper[q] is not None:  # a partner may be longer than the shorter text of this tier
-                fits &= F.col("n") * percent <= upper[q] * (200 - percent)
-            bound = F.ceil(((2 * q - 1) * alike - (q - 1)) * F.col("n") * 200 / (200 - percent) - (q - 1) - 1e-9)
-            cut = _cut(F.col("text"), F.col("n"), q)
-            found = rows.where(fits & (F.col("n") >= q)).select(
-                "id", "block", "n", F.lit(q).alias("q"), (F.col("n") - q + 2 - F.greatest(bound, F.lit(1))).alias("n_rare"), F.explode(cut).alias("gram")
-            )
-            parts = found if parts is None else parts.unionByName(found)
-        nth = F.row_number().over(Window.partitionBy("id", "q", "gram").orderBy("n"))  # a gram's second place is another gram
-        return parts.withColumn("nth", nth)
-
-    key = ["block", "q", "gram", "nth"]
-    here = materialize(grams(texts), "grams")
-    there = here if right is None else materialize(grams(right), "grams")
-    often = (here if right is None else here.unionByName(there)).groupBy(*key).agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-
-    def rare(side: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("id", "q").orderBy(F.coalesce("often", F.lit(1)), "gram", "nth"))
-        ranked = side.join(often, key, "left").withColumn("rank", rank).where("rank <= n_rare and often > 1")
-        return ranked.select(*key, "id", "n")
-
-    left = rare(here)
-    other = (left if right is None else rare(there)).withColumnsRenamed({"id": "b", "n": "n_b"})
-    shorter = F.least("n", "n_b")
-    tier = F.lit(None)
-    for q in reversed(lower):
-        tier = F.when(shorter >= lower[q], q).otherwise(tier)
-    near = (200 * shorter >= percent * (F.col("n") + F.col("n_b"))) & (tier == F.col("q"))
-    pairs = left.withColumnRenamed("id", "a").join(other, key).where(near & (F.col("a") < F.col("b")) if right is None else near).select("a", "b").distinct()
-    held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    held = held.join((texts if right is None else right).select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return held.where(at_least(F.col("text_a"), F.col("text_b"), percent)).select("a", "b")
+    here = _tiled(texts)
+    there = here if right is None else _tiled(right)
+    key = ["block", "band_a", "part_a", "band_b", "part_b"]
+
+    def side(rows: DataFrame, of: str) -> DataFrame:
+        return rows.withColumnsRenamed({"band": f"band_{of}", "part": f"part_{of}"})
+
+    ends = [side(t, of).groupBy("block", f"band_{of}", f"part_{of}").agg(F.min("n").alias(f"low_{of}"), F.max("n").alias(f"high_{of}")) for t, of in ((here, "a"), (there, "b"))]
+    fits = (F.col("low_a") * percent <= F.col("high_b") * (200 - percent)) & (F.col("low_b") * percent <= F.col("high_a") * (200 - percent))
+    if right is None:
+        fits &= F.struct("band_a", "part_a") <= F.struct("band_b", "part_b")
+    met = materialize(ends[0].join(ends[1], "block").where(fits).select(*key), "met")
+    left, other = (
+        side(t, of).join(met, ["block", f"band_{of}", f"part_{of}"]).select(*[F.col(c).alias(f"{of}_{c}") for c in (*key, "id", "text")])
+        for t, of in ((here, "a"), (there, "b"))
+    )
+    one_side = right is None
+
+    def compare(names: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = alike_places(a["a_text"].to_pylist(), b["b_text"].to_pylist(), percent)
+        found = pa.table({"a": a["a_id"].take(i), "b": b["b_id"].take(j)})
+        within = one_side and [x.as_py() for x in names[1:3]] == [x.as_py() for x in names[3:]]
+        return found.filter(pc.less(found["a"], found["b"])) if within else found
+
+    types = [f"{c} {t.schema['id'].dataType.simpleString()}" for c, t in (("a", here), ("b", there))]
+    pairs = left.groupBy(*[f"a_{c}" for c in key]).cogroup(other.groupBy(*[f"b_{c}" for c in key])).applyInArrow(compare, ", ".join(types))
+    return pairs if right is not None else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def resolve_entities(entities: DataFrame, aliases: DataFrame, percent: int = 85, pairs: list[tuple[str, str]] = COMPATIBLE) -> DataFrame:
