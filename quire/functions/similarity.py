@@ -98,10 +98,11 @@ def alike_places(left: list[str], right: list[str], percent: int) -> tuple[np.nd
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of code points; null if either is null."""
     out, known = pd.Series([None] * len(a), dtype="Int32"), np.flatnonzero((a.notna() & b.notna()).to_numpy())
-    for part in np.array_split(known, len(known) // 1024 + 1):
-        pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a.iloc[part], b.iloc[part], strict=True)]
-        if pairs:
-            out.iloc[part] = common_lengths([x for x, _ in pairs], [y for _, y in pairs], np.arange(len(pairs)), np.arange(len(pairs)))
+    for part in np.array_split(known, len(known) // 2048 + 1):
+        x, y = a.iloc[part].to_numpy(), b.iloc[part].to_numpy()
+        turned = a.iloc[part].str.len().to_numpy() > b.iloc[part].str.len().to_numpy()
+        (i, left), (j, right) = pd.factorize(np.where(turned, y, x)), pd.factorize(np.where(turned, x, y))  # each text once
+        out.iloc[part] = common_lengths(list(left), list(right), i, j)
     return out
 
 

@@ -1,7 +1,7 @@
 """Relations between documents: citations, shared entities and methods, agreeing and contradicting triples and claims.
 
-Documents are compared if they share an entity cluster or one refers to the other by its id. Each stage finds its pairs by
-its own keys, the rarest first where a measure allows it, and checks the comparison last; no list of all pairs is made.
+Documents are compared if they share an entity cluster or one refers to the other by its id. Pairs that share a cluster of few documents
+are listed once; clusters of many are looked up for the pairs that a stage finds by its own keys. What two documents say is weighed once for both ways.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ NEGATIONS = [
     "not", "no", "never", "doesn't", "don't", "didn't", "isn't", "aren't", "wasn't", "weren't", "cannot", "can't",
     "without", "lack", "absence", "fails", "failure",
 ]
+#: Documents of one item that all meet in pairs; items of more are looked up for pairs found otherwise.
+COMMON = 256
 #: Rows of one key that a join's task may well hold; keys with more are dealt out by salts.
 PLAIN_ROWS = 10_000
 
@@ -29,29 +31,54 @@ def has_negation(sentence: Column) -> Column:
     return F.arrays_overlap(F.split(F.lower(sentence), r"(?U)\s+"), F.array(*[F.lit(w) for w in NEGATIONS]))
 
 
+def _counted(sets: DataFrame) -> DataFrame:
+    """(doc_id, item) of sets, repeated rows once, with often, the documents of an item, and size, the items of a document."""
+    sets = sets.where("doc_id is not null and item is not null").distinct()
+    often = sets.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    sizes = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("size"))
+    return materialize(sets.join(often, "item").join(sizes, "doc_id"), "sets")
+
+
+def _meeting(known: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, n): pairs a < b that share n > 0 of the items that at most COMMON documents have."""
+    few = known.where((F.col("often") > 1) & (F.col("often") <= COMMON))
+    one, other = (few.select("item", F.col("doc_id").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
+    return one.join(other, "item").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def overlaps(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, overlap) of pairs of documents, a < b, with |A and B| / min(|A|, |B|) >= least > 0.
 
-    sets: (doc_id, item), repeated rows count once. If A is the smaller set, a pair that reaches least shares one of the
-    |A| - ceil(least |A|) + 1 rarest items of A: only those look for partners. Their items are then counted in B, one
-    row for each, so no set is held whole. Items with many documents are dealt out by salts on both sides.
+    sets: (doc_id, item), repeated rows count once.
+    """
+    known = _counted(sets)
+    return _overlaps(known, materialize(_meeting(known), "meeting"), least)
+
+
+def _overlaps(known: DataFrame, meeting: DataFrame, least: float) -> DataFrame:
+    """overlaps of sets as _counted gives them and their _meeting pairs.
+
+    Items of few documents are counted as these meet. For the others: if A is
+    the smaller set, a pair that reaches least shares one of the |A| - ceil(least |A|) + 1 rarest items of A: only those look for
+    partners, dealt out by salts on both sides. The rest of them is counted for the pairs that are left, one row for each.
     """
-    sets = sets.where("doc_id is not null and item is not null").distinct()
-    often = sets.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
-    sizes = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("size"))
-    known = materialize(sets.join(often, "item").join(sizes, "doc_id"), "sets")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "item"))
-    rare = known.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & (F.col("often") > 1))
+    rare = known.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & (F.col("often") > COMMON))
     salts = F.ceil(F.col("often") / PLAIN_ROWS).cast("int")
     asking = rare.select(F.col("doc_id").alias("small"), "item", F.col("size").alias("n_small"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    holding = known.where("often > 1").select(F.col("doc_id").alias("large"), "item", F.col("size").alias("n_large"), F.pmod(F.hash("doc_id"), salts).alias("salt"))
+    common = known.where(F.col("often") > COMMON)
+    holding = common.select(F.col("doc_id").alias("large"), "item", F.col("size").alias("n_large"), F.pmod(F.hash("doc_id"), salts).alias("salt"))
     first = (F.col("n_small") < F.col("n_large")) | (F.col("n_small") == F.col("n_large")) & (F.col("small") < F.col("large"))
-    pairs = asking.join(holding, ["item", "salt"]).where((F.col("small") != F.col("large")) & first).select("small", "large", "n_small").distinct()
-    items = pairs.join(sets.withColumnRenamed("doc_id", "small"), "small").join(sets.withColumnRenamed("doc_id", "large"), ["large", "item"])
-    shared = items.groupBy("small", "large", "n_small").agg(F.count(F.lit(1)).alias("n_shared"))
-    return shared.where(F.col("n_shared") >= F.col("n_small") * least - 1e-9).select(
-        F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), (F.col("n_shared") / F.col("n_small")).alias("overlap")
-    )
+    turned = F.col("small") > F.col("large")
+    asked = asking.join(holding, ["item", "salt"]).where((F.col("small") != F.col("large")) & first).select(
+        F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"),
+        F.when(turned, F.col("n_large")).otherwise(F.col("n_small")).alias("n_a"), F.when(turned, F.col("n_small")).otherwise(F.col("n_large")).alias("n_b"),
+    )
+    pairs = meeting.select("a", "b", "n_a", "n_b").unionByName(asked).distinct()
+    held = pairs.join(common.select(F.col("doc_id").alias("a"), "item"), "a").join(common.select(F.col("doc_id").alias("b"), "item"), ["b", "item"])
+    counted = meeting.unionByName(held.select("a", "b", "n_a", "n_b", F.lit(1).cast("long").alias("n")))
+    shared = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.least("n_a", "n_b")).alias("least"))
+    return shared.where(F.col("n") >= F.col("least") * least - 1e-9).select("a", "b", (F.col("n") / F.col("least")).alias("overlap"))
 
 
 def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
@@ -60,29 +87,46 @@ def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
     return there.unionByName(pairs.select(F.col("b").alias("source_id"), F.col("a").alias("target_id"), *more))
 
 
-def _comparable_pairs(pairs: DataFrame, clusters: DataFrame, cited: DataFrame) -> DataFrame:
+def _comparable_pairs(pairs: DataFrame, clusters: DataFrame, meeting: DataFrame, cited: DataFrame) -> DataFrame:
     """Of pairs (source_id, target_id) those that share a cluster or whose source refers to the target."""
     pairs = pairs.distinct()
-    sets = clusters.select("doc_id", "item").distinct()
+    near = meeting.select("a", "b")
+    met = pairs.withColumns({"a": F.least("source_id", "target_id"), "b": F.greatest("source_id", "target_id")}).join(near, ["a", "b"], "left_semi")
+    sets = clusters.where(F.col("often") > COMMON).select("doc_id", "item")
     shared = pairs.join(sets.withColumnRenamed("doc_id", "source_id"), "source_id").join(sets.withColumnRenamed("doc_id", "target_id"), ["target_id", "item"])
-    return shared.select("source_id", "target_id").unionByName(pairs.join(cited, ["source_id", "target_id"], "left_semi")).distinct()
+    ends = ["source_id", "target_id"]
+    return met.select(*ends).unionByName(shared.select(*ends)).unionByName(pairs.join(cited, ends, "left_semi")).distinct()
 
 
-def citation_evidence(documents: DataFrame, references: DataFrame, clusters: DataFrame, percent: int = 85) -> DataFrame:
-    """(source_id, target_id, ref_id): each reference with each compared document it means, by id, DOI or title."""
+def citation_evidence(documents: DataFrame, references: DataFrame, clusters: DataFrame, meeting: DataFrame, cited: DataFrame, percent: int = 85) -> DataFrame:
+    """(source_id, target_id, ref_id): each reference with each compared document it means, by id, DOI or title.
+
+    Of a title that many references and documents have only those meet that are compared.
+    """
     refs = references.join(documents.select("doc_id"), "doc_id", "left_semi").select("doc_id", "ref_id", "target_id", F.lower(F.trim("doi")).alias("doi"), F.trim("title").alias("title"))
     docs = documents.select(F.col("doc_id").alias("of"), F.lower(F.trim("doi")).alias("doi"), F.trim("title").alias("title"))
     by_id = refs.join(docs.select(F.col("of").alias("target_id")), "target_id").select("doc_id", "ref_id", F.col("target_id").alias("of"))
     by_doi = refs.where("doi <> ''").join(docs.where("doi <> ''").select("of", "doi"), "doi").select("doc_id", "ref_id", "of")
     long = F.char_length("title") > 5
-    asked, titles = refs.where(long).withColumn("a", comparable(F.col("title"))), docs.where(long).withColumn("b", comparable(F.col("title")))
-    # each different title once
-    texts = [t.select(F.col(c).alias("id"), F.lit(0).alias("block"), F.col(c).alias("text")).distinct() for t, c in ((asked, "a"), (titles, "b"))]
-    by_title = similar_texts(texts[0], percent, texts[1]).join(asked, "a").join(titles.select("b", "of"), "b").select("doc_id", "ref_id", "of")
-    found = by_id.unionByName(by_doi).unionByName(by_title).where("doc_id <> of").distinct()
+    asked, titles = (t.where(long).select(*c, comparable(F.col("title")).alias("text")) for t, c in ((refs, ["doc_id", "ref_id"]), (docs, ["of"])))
+    # each different title once, by a number
+    named = materialize(asked.select("text").union(titles.select("text")).where("text <> ''").distinct().select("text", F.monotonically_increasing_id().alias("id")), "titles")
+    asked, titles = (materialize(t.join(named, "text").drop("text"), "titled") for t in (asked, titles))
+    texts = [named.join(t.select("id").distinct(), "id", "left_semi").select("id", F.lit(0).alias("block"), "text") for t in (asked, titles)]
+    alike = materialize(similar_texts(texts[0], percent, texts[1]), "alike")
+    asked, titles = asked.withColumnRenamed("id", "a"), titles.withColumnRenamed("id", "b")
+    two = meeting.select(F.col("a").alias("doc_id"), F.col("b").alias("of"))
+    two = two.unionByName(two.select(F.col("of").alias("doc_id"), F.col("doc_id").alias("of"))).unionByName(cited.toDF("doc_id", "of")).distinct()
+    # asked titles alone, and named ones alone, that some other is alike
+    asked, titles = asked.join(alike.select("a"), "a", "left_semi"), titles.join(alike.select("b"), "b", "left_semi")
+    listed = two.join(titles, "of").join(asked, "doc_id").join(alike, ["a", "b"], "left_semi").select("doc_id", "ref_id", "of")
+    often = clusters.where(F.col("often") > COMMON).select("doc_id").distinct()
+    crowded = asked.join(often, "doc_id", "left_semi").join(alike, "a").join(titles.join(often.toDF("of"), "of", "left_semi"), "b").select("doc_id", "ref_id", "of")
+    found = by_id.unionByName(by_doi).unionByName(crowded).where("doc_id <> of").distinct()
     found = materialize(found.select(F.col("doc_id").alias("source_id"), F.col("of").alias("target_id"), "ref_id"), "citations")
-    ok = _comparable_pairs(found.select("source_id", "target_id"), clusters, _cited(documents, references))
-    return found.join(ok, ["source_id", "target_id"])
+    ok = _comparable_pairs(found.select("source_id", "target_id"), clusters, meeting, cited)
+    listed = listed.where("doc_id <> of").select(F.col("doc_id").alias("source_id"), F.col("of").alias("target_id"), "ref_id")
+    return found.join(ok, ["source_id", "target_id"]).unionByName(listed).distinct()
 
 
 def _cited(documents: DataFrame, references: DataFrame) -> DataFrame:
@@ -91,59 +135,64 @@ def _cited(documents: DataFrame, references: DataFrame) -> DataFrame:
     return pairs.join(known.withColumnRenamed("doc_id", "target_id"), "target_id", "left_semi").select("source_id", "target_id")
 
 
-def triple_evidence(triples: DataFrame, clusters: DataFrame, cited: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, confidence) for every two triples of compared documents with one subject and predicate.
+def _summed(found: DataFrame, *more: str) -> DataFrame:
+    """(a, b, more, best, supports, contradicts) of evidence (a, b, more, kind, confidence); that without confidence is not counted."""
+    kinds = [F.count(F.when((F.col("kind") == k) & (F.col("confidence") > 0), 1)).alias(k) for k in ("supports", "contradicts")]
+    return found.groupBy("a", "b", *more).agg(F.max("confidence").alias("best"), *kinds)
+
 
-    Equal objects, both negated or neither: support by their mean confidence; other objects: contradiction by 0.8 of it; equal
-    objects, one negated: contradiction by 0.9 of it.
+def _of_compared(summed: DataFrame, clusters: DataFrame, meeting: DataFrame, cited: DataFrame) -> DataFrame:
+    """(source_id, target_id, best, supports, contradicts): evidence of pairs a < b, each way that they are compared."""
+    summed = materialize(summed, "evidence")
+    both = _both_ways(summed, "best", "supports", "contradicts")
+    return both.join(_comparable_pairs(both.select("source_id", "target_id"), clusters, meeting, cited), ["source_id", "target_id"])
+
+
+def triple_evidence(triples: DataFrame) -> DataFrame:
+    """(a, b, best, supports, contradicts) for documents a < b with triples of one subject and predicate.
+
+    Of every two, equal objects, both negated or neither: support by their mean confidence; other objects: contradiction by 0.8 of it;
+    equal objects, one negated: contradiction by 0.9 of it.
     """
-    one = triples.select("doc_id", "subject_id", "predicate", "object_id", "negated", "confidence")
-    other = one.select("subject_id", "predicate", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "object_id", "negated", "confidence")])
-    both = one.join(other, ["subject_id", "predicate"]).where("doc_id <> doc_id_b")
+    one = triples.select(F.col("doc_id").alias("a"), "subject_id", "predicate", "object_id", "negated", "confidence")
+    other = one.select("subject_id", "predicate", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("object_id", "negated", "confidence")])
+    both = one.join(other, ["subject_id", "predicate"]).where("a < b")
     mean = (F.col("confidence") + F.col("confidence_b")) / 2
     same = F.col("object_id") == F.col("object_id_b")
     agree = same & (F.col("negated") == F.col("negated_b"))
-    found = both.select(
-        F.col("doc_id").alias("source_id"), F.col("doc_id_b").alias("target_id"),
-        F.when(agree, "supports").otherwise("contradicts").alias("kind"),
-        F.when(agree, mean).when(same, mean * 0.9).otherwise(mean * 0.8).alias("confidence"),
-    )
-    found = materialize(found, "triples")
-    ok = _comparable_pairs(found.select("source_id", "target_id"), clusters, cited)
-    return found.join(ok, ["source_id", "target_id"])
+    return _summed(both.select(
+        "a", "b", F.when(agree, "supports").otherwise("contradicts").alias("kind"), F.when(agree, mean).when(same, mean * 0.9).otherwise(mean * 0.8).alias("confidence"),
+    ))
 
 
 def claim_evidence(claims: DataFrame, clusters: DataFrame, cited: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, confidence) for every two alike claims of one type in compared documents.
+    """(a, b, best, supports, contradicts) for documents a < b that share a cluster or one of which refers to the other, with alike claims of one type.
 
     Alike: statements at 80, or a common pattern, or sentences at 70 (token_sort similarity). One of them negative:
-    contradiction by 0.85 of their mean confidence; neither: support by 0.8; both: nothing.
+    contradiction by 0.85 of their mean confidence; neither: support by 0.8; both: nothing. Claims meet by type and cluster at once, or
+    along a reference; documents that meet by several clusters give the same sums each time, and count once.
     """
-    fields = ["doc_id", "claim_id", "sentence", "statement", "patterns", "confidence"]
-    folded = F.transform("patterns", lambda p: F.lower(F.trim(p)))
-    one = claims.withColumn("patterns", folded).select("claim_type", *fields)
-    other = one.select("claim_type", *[F.col(c).alias(f"{c}_b") for c in fields])
-    # claims meet by type and cluster at once, or along a citation
-    here = one.select("doc_id", "claim_id", "claim_type").join(clusters.select("doc_id", "item").distinct(), "doc_id")
-    there = here.withColumnsRenamed({"doc_id": "doc_id_b", "claim_id": "claim_id_b"})
-    met = here.join(there, ["claim_type", "item"]).where("doc_id <> doc_id_b").select("doc_id", "claim_id", "doc_id_b", "claim_id_b")
-    along = cited.withColumnsRenamed({"source_id": "doc_id", "target_id": "doc_id_b"})
-    linked = along.join(one.select("doc_id", "claim_id", "claim_type"), "doc_id").join(other.select("doc_id_b", "claim_id_b", "claim_type"), ["doc_id_b", "claim_type"])
-    pairs = met.unionByName(linked.select(*met.columns)).distinct()
-    both = materialize(pairs.join(one, ["doc_id", "claim_id"]).join(other.drop("claim_type"), ["doc_id_b", "claim_id_b"]), "claims")
+    one = claims.select(
+        "doc_id", "claim_type", has_negation(F.col("sentence")).alias("neg"), "confidence", F.transform("patterns", lambda p: F.lower(F.trim(p))).alias("patterns"),
+        comparable(F.col("statement")).alias("statement"), comparable(F.col("sentence")).alias("sentence"),
+    )
+    one = materialize(one, "claims")
+    fields = ["neg", "confidence", "patterns", "statement", "sentence"]
+    other = one.select("claim_type", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in fields])
+    one = one.withColumnRenamed("doc_id", "a")
+    shared = clusters.where("often > 1").select("doc_id", "item")
+    met = one.join(shared.toDF("a", "item"), "a").join(other.join(shared.toDF("b", "item"), "b"), ["claim_type", "item"]).where("a < b")
+    linked = cited.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    along = linked.join(one, "a").join(other, ["b", "claim_type"]).withColumn("item", F.lit(None).cast("string"))
+    both = met.unionByName(along).where(~(F.col("neg") & F.col("neg_b")))
     common = F.coalesce(F.arrays_overlap("patterns", "patterns_b"), F.lit(False))
-    plain = both.where(common)
-    rest = both.where(~common).withColumns({c: comparable(F.col(c)) for c in ("statement", "statement_b")} | {f"{c}_text": comparable(F.col(c)) for c in ("sentence", "sentence_b")})
-    stated = F.col("statement").isNotNull() & F.col("statement_b").isNotNull()
-    fuzzy = rest.where((stated & at_least(F.col("statement"), F.col("statement_b"), 80)) | at_least(F.col("sentence_text"), F.col("sentence_b_text"), 70))
-    columns = ["doc_id", "doc_id_b", "sentence", "sentence_b", "confidence", "confidence_b"]
-    alike = plain.select(*columns).unionByName(fuzzy.select(*columns))
+    fuzzy = [F.coalesce(at_least(F.when(~common, F.col(c)), F.when(~common, F.col(f"{c}_b")), p), F.lit(False)) for c, p in (("statement", 80), ("sentence", 70))]
     mean = (F.col("confidence") + F.col("confidence_b")) / 2
-    a, b = has_negation(F.col("sentence")), has_negation(F.col("sentence_b"))
-    return alike.where(~(a & b)).select(
-        F.col("doc_id").alias("source_id"), F.col("doc_id_b").alias("target_id"),
-        F.when(a != b, "contradicts").otherwise("supports").alias("kind"), F.when(a != b, mean * 0.85).otherwise(mean * 0.8).alias("confidence"),
+    apart = F.col("neg") != F.col("neg_b")
+    alike = both.where(common | fuzzy[0] | fuzzy[1]).select(
+        "a", "b", "item", F.when(apart, "contradicts").otherwise("supports").alias("kind"), F.when(apart, mean * 0.85).otherwise(mean * 0.8).alias("confidence"),
     )
+    return _summed(alike, "item").groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("best", "supports", "contradicts")])
 
 
 def document_relations(
@@ -160,34 +209,34 @@ def document_relations(
     methods shared at 0.4 or more are uses_method, else extends. Null keys match nothing; an empty table adds no relations. The
     pairs of documents of a corpus too small to share anything are not compared.
     """
-    clusters = materialize(entities.where("canonical is not null").select("doc_id", F.lower("canonical").alias("item")).join(documents.select("doc_id"), "doc_id", "left_semi").distinct(), "clusters")
+    known = documents.select("doc_id")
+    clusters = _counted(entities.where("canonical is not null").select("doc_id", F.lower("canonical").alias("item")).join(known, "doc_id", "left_semi"))
+    meeting = materialize(_meeting(clusters), "meeting")
     cited = materialize(_cited(documents, references), "cited")
+    compared = clusters, meeting, cited
 
     def typed(rows: DataFrame, kind: Column, stage: str, n: Column = F.col("n")) -> DataFrame:
         return rows.select("source_id", "target_id", kind.alias("relation_type"), F.lit(stage).alias("stage"), (STAGE_WEIGHTS[stage] * F.col("best")).alias("confidence"), n.cast("long").alias("n"))
 
     one = F.lit(1.0)
-    cites = citation_evidence(documents, references, clusters, percent).groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"), F.max(one).alias("best"))
+    cites = citation_evidence(documents, references, *compared, percent).groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"), F.max(one).alias("best"))
     back = cites.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "n", "best")
-    shared = _both_ways(overlaps(clusters, entity_least), "overlap").withColumnRenamed("overlap", "best")
-    methods = entities.where("label = 'method'").select("doc_id", F.coalesce(F.lower("canonical"), "norm").alias("item")).join(documents.select("doc_id"), "doc_id", "left_semi")
+    shared = _both_ways(_overlaps(clusters, meeting, entity_least), "overlap").withColumnRenamed("overlap", "best")
+    methods = entities.where("label = 'method'").select("doc_id", F.coalesce(F.lower("canonical"), "norm").alias("item")).join(known, "doc_id", "left_semi")
     used = _both_ways(overlaps(methods, method_least), "overlap").withColumnRenamed("overlap", "best")
-    used = used.join(_comparable_pairs(used.select("source_id", "target_id"), clusters, cited), ["source_id", "target_id"])
+    used = used.join(_comparable_pairs(used.select("source_id", "target_id"), *compared), ["source_id", "target_id"])
 
     def by_kind(rows: DataFrame, stage: str) -> DataFrame:
-        kinds = rows.groupBy("source_id", "target_id").agg(
-            F.max("confidence").alias("best"), *[F.count(F.when((F.col("kind") == k) & (F.col("confidence") > 0), 1)).alias(k) for k in ("supports", "contradicts")]
-        )
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("supports", "contradicts")]))
-        kinds = kinds.select("source_id", "target_id", "best", each.alias("x")).select("source_id", "target_id", "best", "x.*").where("n > 0")
+        kinds = _of_compared(rows, *compared).select("source_id", "target_id", "best", each.alias("x")).select("source_id", "target_id", "best", "x.*").where("n > 0")
         return typed(kinds, F.col("kind"), stage)
 
     parts = [
         typed(cites, F.lit("cites"), "citation"), typed(back, F.lit("cited_by"), "citation"),
         typed(shared, F.lit("compares_with"), "entity", F.lit(1)),
         typed(used, F.when(F.col("best") >= 0.4, "uses_method").otherwise("extends"), "method", F.lit(1)),
-        by_kind(triple_evidence(triples.join(documents.select("doc_id"), "doc_id", "left_semi"), clusters, cited), "triple"),
-        by_kind(claim_evidence(claims.join(documents.select("doc_id"), "doc_id", "left_semi"), clusters, cited), "claim"),
+        by_kind(triple_evidence(triples.join(known, "doc_id", "left_semi")), "triple"),
+        by_kind(claim_evidence(claims.join(known, "doc_id", "left_semi"), clusters, cited), "claim"),
     ]
     out = parts[0]
     for p in parts[1:]:
