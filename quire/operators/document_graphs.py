@@ -1,10 +1,12 @@
 """A knowledge graph for each document, all of them as two tables keyed by document: built, measured and searched together.
 
-A search goes on in rounds of joins over all documents at once; a document that is done takes no further part.
+A search goes on in rounds of joins over all documents at once; a document that is done takes no further part. Documents of few
+parts have a second form, a row each with its nodes and edges in arrays (graphs_in_rows): these are measured and searched without a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +83,117 @@ def build_graphs(entities: DataFrame, claims: DataFrame, chunks: DataFrame, fact
     return nodes, edges.withColumn("edge_id", F.format_string("edge_%04d", nth)).select("doc_id", "edge_id", *_EDGE[1:])
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def graphs_in_rows(parts: DataFrame) -> DataFrame:
+    """(doc_id, nodes, edges): build_graphs with a row for each document, for documents of few parts; no text leaves its row.
+
+    parts: (doc_id, entities, claims, chunks, facts, triples), arrays of structs with the columns that build_graphs takes, doc_id never null. Pairs of
+    a document's parts are looked at one by one, so a document of many parts belongs to build_graphs.
+    """
+    node = lambda rows, key, kind, label, text: F.transform(rows, lambda x: F.struct(x[key].alias("node_id"), F.lit(kind).alias("node_type"), label(x).alias("label"), text(x).alias("text"), x["confidence"].alias("confidence")))
+    label = lambda x: x["label"]
+    every = F.concat(
+        node("facts", "fact_id", "fact", label, lambda x: x["value"]), node("chunks", "chunk_id", "chunk", lambda _: F.lit("chunk"), lambda x: F.substring(x["text"], 1, 200)),
+        node("claims", "claim_id", "claim", label, lambda x: x["sentence"]), node("entities", "entity_id", "entity", label, lambda x: x["text"]),
+    )
+    nodes = _once(every, lambda a: _once(F.transform(a, lambda x: x["node_id"]), lambda ids: F.filter(a, lambda x, i: F.array_position(ids, x["node_id"]) == i + 1)))
+
+    def edge(source: Column, target: Column, predicate: Column | str, confidence: Column, stage: int, negated: Column | None = None) -> Column:
+        name = predicate if isinstance(predicate, Column) else F.lit(predicate)
+        no = F.lit(False) if negated is None else negated
+        return F.struct(F.lit(stage).alias("stage"), source.alias("source_id"), target.alias("target_id"), name.alias("predicate"), confidence.alias("confidence"), no.alias("negated"))
+
+    def placed(rows: str, key: str, back: str, stage: int) -> list[Column]:
+        inside = lambda body: _once(F.transform("chunks", lambda c: c["chunk_id"]), lambda known: F.transform(F.filter(rows, lambda x: F.array_contains(known, x["chunk_id"])), body))
+        return [inside(lambda x: edge(x[key], x["chunk_id"], "appears_in", x["confidence"], stage)), inside(lambda x: edge(x["chunk_id"], x[key], back, x["confidence"], stage + 1))]
+
+    def held(rows: str, text: str, fits: Callable[[Column, Column], Column], made: Callable[[Column, Column, Column], Column]) -> Column:
+        within = lambda x, low: F.filter("entities", lambda e: fits(x, e) & F.contains(low, F.lower(e["text"])))
+        sure = lambda x, e: F.round(x["confidence"] * e["confidence"], 4)
+        return F.flatten(F.transform(rows, lambda x: _once(F.lower(x[text]), lambda low: F.transform(within(x, low), lambda e: made(x, e, sure(x, e))))))
+
+    edges = F.concat(
+        F.transform("triples", lambda t: edge(t["subject_id"], t["object_id"], t["predicate"], t["confidence"], 0, t["negated"])), *placed("entities", "entity_id", "contains_entity", 1), *placed("claims", "claim_id", "contains_claim", 3),
+        held("claims", "sentence", lambda c, e: c["chunk_id"].eqNullSafe(e["chunk_id"]), lambda c, e, sure: edge(e["entity_id"], c["claim_id"], "mentioned_in", sure, 5)),
+        held("facts", "value", lambda f, e: F.lit(True), lambda f, e, sure: edge(f["fact_id"], e["entity_id"], "references", sure, 6)),
+    )
+    return parts.select("doc_id", nodes.alias("nodes"), edges.alias("edges"))
+
+
+# What is left out of rows is left out after explode_outer: Spark moves other filters below the arrays, which it would then build again for each step.
+
+
+def tables_of_rows(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of build_graphs from graphs_in_rows; edges are numbered in the same order."""
+    nodes = graphs.select("doc_id", F.explode_outer("nodes").alias("n")).where("n is not null").select("doc_id", "n.*")
+    edges = graphs.select("doc_id", F.posexplode_outer(F.sort_array("edges")).alias("i", "e")).where("e is not null")
+    return nodes.select(*_NODE), edges.select("doc_id", F.format_string("edge_%04d", F.col("i") + 1).alias("edge_id"), *[f"e.{c}" for c in _EDGE[1:]])
+
+
+def _ids(nodes: str = "nodes") -> Column:
+    return F.transform(nodes, lambda n: n["node_id"])
+
+
+def _joined(ids: Column, edges: str = "edges") -> Column:
+    """The names that edges lead between, a list for each component; a node without edges has its own."""
+    pairs = F.array_distinct(F.transform(edges, lambda e: F.struct(F.least(e["source_id"], e["target_id"]).alias("a"), F.greatest(e["source_id"], e["target_id"]).alias("b"))))
+    has = lambda g, e: F.array_contains(g, e["a"]) | F.array_contains(g, e["b"])
+
+    def met(groups: Column, e: Column) -> Column:
+        one = F.array_union(F.flatten(F.filter(groups, lambda g: has(g, e))), F.array(e["a"], e["b"]))
+        known = F.exists(groups, lambda g: F.array_contains(g, e["a"]) & F.array_contains(g, e["b"]))
+        return F.when(known, groups).otherwise(F.concat(F.filter(groups, lambda g: ~has(g, e)), F.array(one)))
+
+    return F.aggregate(pairs, F.transform(ids, lambda x: F.array(x)), met)
+
+
+def statistics_of_rows(graphs: DataFrame) -> DataFrame:
+    """graph_statistics of graphs_in_rows."""
+    ends = lambda ids: F.size(F.filter("edges", lambda e: F.array_contains(ids, e["source_id"]))) + F.size(F.filter("edges", lambda e: F.array_contains(ids, e["target_id"])))
+    of_type = lambda t: F.size(F.filter("nodes", lambda n: n["node_type"] == t)).cast("long")
+    by_type = [of_type(t).alias(f"n_{t}s".replace("entitys", "entities")) for t in ("entity", "claim", "chunk", "fact")]
+    parts = lambda ids: F.size(F.filter(_joined(ids), lambda g: F.arrays_overlap(g, ids)))
+    counted = graphs.where(F.size("nodes") > 0).select(
+        "doc_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), _once(_ids(), ends).cast("long").alias("ends"), _once(_ids(), parts).cast("long").alias("n_components"), *by_type,
+    )
+    return _measured(counted)
+
+
+def neighborhoods_of_rows(graphs: DataFrame, asked: Column, depth: int = 1) -> DataFrame:
+    """(doc_id, node_id, distance) of the nodes within depth of asked, a node of each row of graphs_in_rows."""
+    start = F.struct(F.array(F.struct(F.col("asked").alias("node_id"), F.lit(0).alias("distance"))).alias("seen"), F.array("asked").alias("front"))
+    seen = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), start, lambda acc, d: _once(_next(acc["front"], F.transform(acc["seen"], lambda x: x["node_id"])), lambda new: F.struct(
+        F.concat(acc["seen"], F.transform(new, lambda x: F.struct(x.alias("node_id"), d.alias("distance")))).alias("seen"), new.alias("front"),
+    )), lambda acc: acc["seen"])
+    found = _once(_ids(), lambda ids: F.when(F.array_contains(ids, F.col("asked")), F.filter(seen, lambda x: F.array_contains(ids, x["node_id"]))))
+    at = graphs.select("doc_id", "nodes", "edges", asked.alias("asked"))
+    return at.select("doc_id", F.explode_outer(found).alias("x")).where("x is not null").select("doc_id", "x.*")
+
+
+def _next(front: Column, seen: Column, edges: str = "edges") -> Column:
+    """Names one edge away from the front that are not among seen."""
+    there = F.transform(F.filter(edges, lambda e: F.array_contains(front, e["source_id"])), lambda e: e["target_id"])
+    back = F.transform(F.filter(edges, lambda e: F.array_contains(front, e["target_id"])), lambda e: e["source_id"])
+    return F.array_except(F.concat(there, back), seen)
+
+
+def path_lengths_of_rows(graphs: DataFrame, source: Column, target: Column) -> DataFrame:
+    """(doc_id, source_id, target_id, length) of the shortest path between two nodes of each row of graphs_in_rows that has one."""
+    start = F.struct(F.array("source_id").alias("seen"), F.array("source_id").alias("front"), F.lit(0).alias("hops"))
+    over = lambda acc: (F.size(acc["front"]) == 0) | F.array_contains(acc["front"], F.col("target_id"))
+    on = lambda acc: _once(_next(acc["front"], acc["seen"]), lambda new: F.struct(F.concat(acc["seen"], new).alias("seen"), new.alias("front"), (acc["hops"] + 1).alias("hops")))
+    # a path has no more edges than the document
+    length = F.aggregate(F.concat(F.array(F.lit(0)), F.transform("edges", lambda _: F.lit(0))), start, lambda acc, _: F.when(over(acc), acc).otherwise(on(acc)), lambda acc: F.when(F.size(acc["front"]) > 0, acc["hops"]))
+    asked = graphs.select("doc_id", "nodes", "edges", source.alias("source_id"), target.alias("target_id"))
+    known = _once(_ids(), lambda ids: F.array_contains(ids, F.col("source_id")) & F.array_contains(ids, F.col("target_id")))
+    found = F.explode_outer(F.filter(F.array(F.when(known, length)), lambda x: x.isNotNull()))
+    return asked.select("doc_id", "source_id", "target_id", found.alias("length")).where("length is not null")
+
+
 def _both_ends(edges: DataFrame) -> DataFrame:
     """(doc_id, node_id, next_id, edge_id, confidence) for each end of every edge."""
     there = edges.select("doc_id", F.col("source_id").alias("node_id"), F.col("target_id").alias("next_id"), "edge_id", "confidence")
@@ -105,7 +218,11 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     m = edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"))
     degree = _both_ends(edges).join(nodes.select("doc_id", "node_id"), ["doc_id", "node_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("ends"))
     parts = graph_components(nodes, edges).groupBy("doc_id").agg(F.count_distinct("component").alias("n_components"))
-    told = counted.join(m, "doc_id", "left").join(degree, "doc_id", "left").join(parts, "doc_id").fillna(0, ["n_edges", "ends"])
+    return _measured(counted.join(m, "doc_id", "left").join(degree, "doc_id", "left").join(parts, "doc_id").fillna(0, ["n_edges", "ends"]))
+
+
+def _measured(told: DataFrame) -> DataFrame:
+    """Averages of the counts."""
     possible = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     return told.select(
         "doc_id", "n_nodes", "n_edges", F.round(F.col("ends") / F.col("n_nodes"), 4).alias("avg_degree"), F.when(possible > 0, F.round(F.col("n_edges") / possible, 6)).otherwise(0.0).alias("density"),

@@ -71,3 +71,59 @@ def test_document_graphs(spark):
     assert {(r.doc_id, r.node_id) for r in near.collect()} == {(d, "n0") for d in range(30)} | {(e[0], x) for e in edges for x in e[2:4] if "n0" in e[2:4] and x != "n6"}
     empty = D.graph_statistics(node_rows.limit(0), edge_rows.limit(0))
     assert empty.count() == 0
+
+
+def test_graphs_in_rows(spark):
+    """Graphs of a row each are those of the tables: nodes, numbered edges, statistics, neighbours and paths, with parts that share ids, lack texts or chunks."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["Ab", "b", "abc", "", "x y", None])
+    chunk = lambda: rng.choice(["c0", "c1", "c9", None])
+    sure = lambda: rng.choice([0.5, 0.9, None])
+    parts = []
+    for d in range(40):
+        entities = [(f"{rng.choice('es')}{i}", "l", word(), sure(), chunk()) for i in range(rng.randrange(5))]
+        claims = [(f"{rng.choice('ks')}{i}", "m", word(), sure(), chunk()) for i in range(rng.randrange(4))]
+        chunks = [(f"c{i}", "abc " * 80, 0.9) for i in range(rng.randrange(3))]
+        facts = [(f"f{i}", "n", word(), sure()) for i in range(rng.randrange(3))]
+        triples = [(f"{rng.choice('es')}{rng.randrange(5)}", "uses", rng.choice(["z", "f0", "c1"]), 0.5, d % 2 == 0) for _ in range(rng.randrange(3))]
+        parts.append((d, entities, claims, chunks, facts, triples))
+    of = lambda *names: f"array<struct<{','.join(n if ':' in n else f'{n}:string' for n in names)}>>"
+    c = "confidence:double"
+    kinds = {
+        "entities": of("entity_id", "label", "text", c, "chunk_id"), "claims": of("claim_id", "label", "sentence", c, "chunk_id"), "chunks": of("chunk_id", "text", c),
+        "facts": of("fact_id", "label", "value", c), "triples": of("subject_id", "predicate", "object_id", c, "negated:boolean"),
+    }
+    frame = spark.createDataFrame(parts, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in kinds.items()))
+    nodes, edges = (t.cache() for t in D.build_graphs(*[frame.select("doc_id", F.inline(k)) for k in kinds]))
+    rows = D.graphs_in_rows(frame)
+    told = lambda t: sorted(map(repr, t.collect()))
+    for got, want in zip(D.tables_of_rows(rows), (nodes, edges), strict=True):
+        assert told(got) == told(want)
+    assert told(D.statistics_of_rows(rows)) == told(D.graph_statistics(nodes, edges))
+    ids = F.transform("nodes", lambda n: n["node_id"])
+    asked = nodes.groupBy("doc_id").agg(F.min("node_id").alias("source_id"), F.max("node_id").alias("target_id"))
+    near = D.neighborhoods(nodes, edges, asked.select("doc_id", F.col("source_id").alias("node_id")), 3)[0]
+    assert told(D.neighborhoods_of_rows(rows, F.array_min(ids), 3)) == told(near.select("doc_id", "node_id", "distance"))
+    paths = D.shortest_paths(nodes, edges, asked).select("doc_id", "source_id", "target_id", "length")
+    assert told(D.path_lengths_of_rows(rows, F.array_min(ids), F.array_max(ids))) == told(paths)
+    assert D.path_lengths_of_rows(rows, F.array_min(ids), F.lit("none")).count() == 0
+
+
+def test_crowded_graphs(spark, tmp_path):
+    """Orders with more lines than a row holds are measured as tables, with the same results."""
+    from quire.plans import document_graph_queries as Q
+
+    few = Q.FEW_LINES
+    names = ("document_graph_nodes", "document_graph_edges", "document_graph_statistics", "document_graph_paths", "document_graph_neighbors")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey % 40 = 0")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    told = lambda: [sorted(map(repr, getattr(Q, n)(spark, str(tmp_path)).collect())) for n in names]
+    try:
+        want = told()
+        Q.FEW_LINES = 3
+        assert told() == want
+    finally:
+        Q.FEW_LINES = few
