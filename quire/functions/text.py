@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_text(text: Column) -> Column:
     """Trimmed, lower-cased, white space collapsed, trailing punctuation stripped."""
     low = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))

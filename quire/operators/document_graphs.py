@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import once
 from quire.plans.components import connected_components
 from quire.plans.storage import materialize
 
@@ -83,11 +84,6 @@ def build_graphs(entities: DataFrame, claims: DataFrame, chunks: DataFrame, fact
     return nodes, edges.withColumn("edge_id", F.format_string("edge_%04d", nth)).select("doc_id", "edge_id", *_EDGE[1:])
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once a row, however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def graphs_in_rows(parts: DataFrame) -> DataFrame:
     """(doc_id, nodes, edges): build_graphs with a row for each document, for documents of few parts; no text leaves its row.
 
@@ -100,7 +96,7 @@ def graphs_in_rows(parts: DataFrame) -> DataFrame:
         node("facts", "fact_id", "fact", label, lambda x: x["value"]), node("chunks", "chunk_id", "chunk", lambda _: F.lit("chunk"), lambda x: F.substring(x["text"], 1, 200)),
         node("claims", "claim_id", "claim", label, lambda x: x["sentence"]), node("entities", "entity_id", "entity", label, lambda x: x["text"]),
     )
-    nodes = _once(every, lambda a: _once(F.transform(a, lambda x: x["node_id"]), lambda ids: F.filter(a, lambda x, i: F.array_position(ids, x["node_id"]) == i + 1)))
+    nodes = once(every, lambda a: once(F.transform(a, lambda x: x["node_id"]), lambda ids: F.filter(a, lambda x, i: F.array_position(ids, x["node_id"]) == i + 1)))
 
     def edge(source: Column, target: Column, predicate: Column | str, confidence: Column, stage: int, negated: Column | None = None) -> Column:
         name = predicate if isinstance(predicate, Column) else F.lit(predicate)
@@ -108,13 +104,13 @@ def graphs_in_rows(parts: DataFrame) -> DataFrame:
         return F.struct(F.lit(stage).alias("stage"), source.alias("source_id"), target.alias("target_id"), name.alias("predicate"), confidence.alias("confidence"), no.alias("negated"))
 
     def placed(rows: str, key: str, back: str, stage: int) -> list[Column]:
-        inside = lambda body: _once(F.transform("chunks", lambda c: c["chunk_id"]), lambda known: F.transform(F.filter(rows, lambda x: F.array_contains(known, x["chunk_id"])), body))
+        inside = lambda body: once(F.transform("chunks", lambda c: c["chunk_id"]), lambda known: F.transform(F.filter(rows, lambda x: F.array_contains(known, x["chunk_id"])), body))
         return [inside(lambda x: edge(x[key], x["chunk_id"], "appears_in", x["confidence"], stage)), inside(lambda x: edge(x["chunk_id"], x[key], back, x["confidence"], stage + 1))]
 
     def held(rows: str, text: str, fits: Callable[[Column, Column], Column], made: Callable[[Column, Column, Column], Column]) -> Column:
         within = lambda x, low: F.filter("entities", lambda e: fits(x, e) & F.contains(low, F.lower(e["text"])))
         sure = lambda x, e: F.round(x["confidence"] * e["confidence"], 4)
-        return F.flatten(F.transform(rows, lambda x: _once(F.lower(x[text]), lambda low: F.transform(within(x, low), lambda e: made(x, e, sure(x, e))))))
+        return F.flatten(F.transform(rows, lambda x: once(F.lower(x[text]), lambda low: F.transform(within(x, low), lambda e: made(x, e, sure(x, e))))))
 
     edges = F.concat(
         F.transform("triples", lambda t: edge(t["subject_id"], t["object_id"], t["predicate"], t["confidence"], 0, t["negated"])), *placed("entities", "entity_id", "contains_entity", 1), *placed("claims", "claim_id", "contains_claim", 3),
@@ -158,7 +154,7 @@ def statistics_of_rows(graphs: DataFrame) -> DataFrame:
     by_type = [of_type(t).alias(f"n_{t}s".replace("entitys", "entities")) for t in ("entity", "claim", "chunk", "fact")]
     parts = lambda ids: F.size(F.filter(_joined(ids), lambda g: F.arrays_overlap(g, ids)))
     counted = graphs.where(F.size("nodes") > 0).select(
-        "doc_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), _once(_ids(), ends).cast("long").alias("ends"), _once(_ids(), parts).cast("long").alias("n_components"), *by_type,
+        "doc_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), once(_ids(), ends).cast("long").alias("ends"), once(_ids(), parts).cast("long").alias("n_components"), *by_type,
     )
     return _measured(counted)
 
@@ -166,10 +162,10 @@ def statistics_of_rows(graphs: DataFrame) -> DataFrame:
 def neighborhoods_of_rows(graphs: DataFrame, asked: Column, depth: int = 1) -> DataFrame:
     """(doc_id, node_id, distance) of the nodes within depth of asked, a node of each row of graphs_in_rows."""
     start = F.struct(F.array(F.struct(F.col("asked").alias("node_id"), F.lit(0).alias("distance"))).alias("seen"), F.array("asked").alias("front"))
-    seen = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), start, lambda acc, d: _once(_next(acc["front"], F.transform(acc["seen"], lambda x: x["node_id"])), lambda new: F.struct(
+    seen = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), start, lambda acc, d: once(_next(acc["front"], F.transform(acc["seen"], lambda x: x["node_id"])), lambda new: F.struct(
         F.concat(acc["seen"], F.transform(new, lambda x: F.struct(x.alias("node_id"), d.alias("distance")))).alias("seen"), new.alias("front"),
     )), lambda acc: acc["seen"])
-    found = _once(_ids(), lambda ids: F.when(F.array_contains(ids, F.col("asked")), F.filter(seen, lambda x: F.array_contains(ids, x["node_id"]))))
+    found = once(_ids(), lambda ids: F.when(F.array_contains(ids, F.col("asked")), F.filter(seen, lambda x: F.array_contains(ids, x["node_id"]))))
     at = graphs.select("doc_id", "nodes", "edges", asked.alias("asked"))
     return at.select("doc_id", F.explode_outer(found).alias("x")).where("x is not null").select("doc_id", "x.*")
 
@@ -185,11 +181,11 @@ def path_lengths_of_rows(graphs: DataFrame, source: Column, target: Column) -> D
     """(doc_id, source_id, target_id, length) of the shortest path between two nodes of each row of graphs_in_rows that has one."""
     start = F.struct(F.array("source_id").alias("seen"), F.array("source_id").alias("front"), F.lit(0).alias("hops"))
     over = lambda acc: (F.size(acc["front"]) == 0) | F.array_contains(acc["front"], F.col("target_id"))
-    on = lambda acc: _once(_next(acc["front"], acc["seen"]), lambda new: F.struct(F.concat(acc["seen"], new).alias("seen"), new.alias("front"), (acc["hops"] + 1).alias("hops")))
+    on = lambda acc: once(_next(acc["front"], acc["seen"]), lambda new: F.struct(F.concat(acc["seen"], new).alias("seen"), new.alias("front"), (acc["hops"] + 1).alias("hops")))
     # a path has no more edges than the document
     length = F.aggregate(F.concat(F.array(F.lit(0)), F.transform("edges", lambda _: F.lit(0))), start, lambda acc, _: F.when(over(acc), acc).otherwise(on(acc)), lambda acc: F.when(F.size(acc["front"]) > 0, acc["hops"]))
     asked = graphs.select("doc_id", "nodes", "edges", source.alias("source_id"), target.alias("target_id"))
-    known = _once(_ids(), lambda ids: F.array_contains(ids, F.col("source_id")) & F.array_contains(ids, F.col("target_id")))
+    known = once(_ids(), lambda ids: F.array_contains(ids, F.col("source_id")) & F.array_contains(ids, F.col("target_id")))
     found = F.explode_outer(F.filter(F.array(F.when(known, length)), lambda x: x.isNotNull()))
     return asked.select("doc_id", "source_id", "target_id", found.alias("length")).where("length is not null")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quire.functions.similarity import ratio, set_ratio
+from quire.functions.text import once
 
 # Words of headers that decide a label where no variant does; fixed values, tried in this order.
 HEADER_WORDS = {
@@ -63,22 +64,45 @@ def variant_score(header: str, variant: str) -> float:
         return 0.0
     if header == variant:
         return 1.0
-    scores = [ratio(header, variant), ratio(" ".join(sorted(header.split())), " ".join(sorted(variant.split())))]
+    scores = []
     if len(variant.split()) >= 2 or len(variant) >= 12:
         by_set = set_ratio(header, variant)
         if by_set >= 0.90 and len(header) < 0.6 * len(variant):
             by_set = round(max(0.88 * by_set, 0.70), 4)  # a short header within a long variant says little
+        if by_set == 1.0:
+            return by_set  # nothing is higher
         scores.append(by_set)
         if re.search(rf"\b{re.escape(variant)}\b", header):
             scores.append(0.94)
     if header.startswith((f"{variant}:", f"{variant} -")):
         scores.append(0.93)
-    return max(scores)
+    return max([*scores, ratio(header, variant), ratio(" ".join(sorted(header.split())), " ".join(sorted(variant.split())))])
 
 
-def best_variants(headers: DataFrame, variants: Mapping[str, list[str]]) -> DataFrame:
-    """(header, label, score) of each different cleaned header: the first best of all variants, null if none scores above 0."""
-    listed = [(label, v.lower().strip()) for label, vs in variants.items() for v in vs]
+def _size(words: set[str]) -> int:
+    """Length of words joined by spaces."""
+    return sum(map(len, words)) + max(len(words) - 1, 0)
+
+
+def score_bound(header: str, words: set[str], length: int, variant: str, of_variant: set[str]) -> float:
+    """What variant_score cannot exceed, by lengths and common words alone.
+
+    A ratio is at most that of the shorter length; words are the header's different ones, length that of all its words joined by single spaces.
+    """
+    if variant in header or words <= of_variant or of_variant <= words:
+        return 1.0
+    most = lambda a, b: 2 * min(a, b) / (a + b) if a and b else 0.0
+    all_words, both = len(" ".join(variant.split())), _size(words & of_variant)
+    x, y = _size(words), _size(of_variant)
+    return max(most(len(header), len(variant)), most(length, all_words), most(x, y), most(both, x), most(both, y))
+
+
+def best_variants(headers: DataFrame, variants: Mapping[str, list[str]], least: float = 0.0) -> DataFrame:
+    """(header, label, score) of each different cleaned header: the first best of all variants, null if none scores above 0.
+
+    A variant that cannot reach least, or the best before it, is not scored; where the best is under least it may be told as less, or null.
+    """
+    listed = [(label, v.lower().strip(), set(v.lower().split())) for label, vs in variants.items() for v in vs]
     told = StructType([StructField("label", StringType()), StructField("score", DoubleType())])
 
     @F.pandas_udf(told)
@@ -86,7 +110,12 @@ def best_variants(headers: DataFrame, variants: Mapping[str, list[str]]) -> Data
         rows = []
         for header in column:
             found = (None, 0.0)
-            for label, variant in listed:
+            split = header.split()
+            words, length = set(split), len(" ".join(split))
+            for label, variant, of_variant in listed:
+                bound = score_bound(header, words, length, variant, of_variant)
+                if bound < least or bound <= found[1]:
+                    continue
                 score = variant_score(header, variant)
                 if score > found[1]:
                     found = (label, score)
@@ -108,10 +137,14 @@ def _said(header: Column, body: Column) -> Column:
     return F.coalesce(*by_header, _either("limitations", 0.55, low.contains("limitation")), _either("future_work", 0.50, future))
 
 
+#: Labels that decide by whether they came before.
+_TOLD = ("introduction", "conclusion", "results", "discussion")
+
+
 def _placed(x: Column, total: Column, seen: Column) -> Column:
-    """(label, confidence) of a section that says nothing, by where it stands and which labels came before."""
+    """(label, confidence) of a section that says nothing, by where it stands and which labels of _TOLD came before."""
     nested = x["parent"].isNotNull() | (x["level"] > 1)
-    no = {label: ~F.array_contains(seen, label) for label in ("introduction", "conclusion", "results", "discussion")}
+    no = {label: ~seen[label] for label in _TOLD}
     return F.coalesce(
         _either("other", 0.3, nested),
         _either("introduction", 0.7, (x["i"] == 0) & no["introduction"]),
@@ -134,24 +167,30 @@ def label_sections(sections: DataFrame, variants: Mapping[str, list[str]]) -> Da
         clean_header(F.col("header")).alias("header"), F.col("body"),
     )
     known = known.select("*", _said(F.col("header"), F.col("body")).alias("said")).drop("body")
-    scored = known.join(best_variants(known, variants), "header", "left").withColumnRenamed("label", "best")
+    scored = known.join(best_variants(known, variants, TENTATIVE), "header", "left").withColumnRenamed("label", "best")
     by_variant = F.when(F.col("score") >= SURE, F.round("score", 4)).when(F.col("score") >= TENTATIVE, F.round(F.col("score") * TENTATIVE_FACTOR, 4))
     named = F.when(by_variant.isNotNull(), F.struct(F.col("best").alias("label"), by_variant.alias("confidence"))).otherwise(F.col("said"))
     row = F.struct("i", "level", "parent", named.alias("named"), F.col("header").rlike(NEVER_INHERITED).alias("apart"))
     gathered = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     total = F.size("rows")
 
-    def step(done: Column, x: Column) -> Column:
-        own = F.coalesce(x["named"], _placed(x, total, done["label"]))
+    def told(done: Column, x: Column, own: Column) -> Column:
         parent = F.when((x["parent"] >= 0) & (x["parent"] < x["i"]), F.get(done, x["parent"]))
         takes = (own["label"] == "other") & (own["confidence"] <= INHERITS_UP_TO) & (x["level"] > 1) & ~x["apart"] & (parent["label"] != "other")
         sure = F.round(F.greatest(F.least(parent["confidence"] * INHERITED_FACTOR, F.lit(INHERITED_MOST)), own["confidence"]), 4)
-        told = F.when(F.coalesce(takes, F.lit(False)), F.struct(parent["label"].alias("label"), sure.alias("confidence"))).otherwise(own)
-        return F.concat(done, F.array(told))
-
-    labels = F.aggregate("rows", F.array().cast("array<struct<label:string,confidence:double>>"), step)
-    both = F.explode(F.arrays_zip(F.col("rows").alias("row"), labels.alias("told")))
-    out = gathered.select("doc_id", total.alias("total"), both.alias("x")).select("doc_id", "total", "x.row.*", "x.told.*")
+        return F.when(F.coalesce(takes, F.lit(False)), F.struct(parent["label"].alias("label"), sure.alias("confidence"))).otherwise(own)
+
+    def step(before: Column, x: Column) -> Column:
+        made = once(F.coalesce(x["named"], _placed(x, x["total"], before["seen"])), lambda own: told(before["done"], x, own))
+        after = lambda t: F.struct(F.concat(before["done"], F.array(t)).alias("done"), F.struct(*[(before["seen"][k] | (t["label"] == k)).alias(k) for k in _TOLD]).alias("seen"))
+        return once(made, after)
+
+    none = F.struct(F.array().cast("array<struct<label:string,confidence:double>>").alias("done"), F.struct(*[F.lit(False).alias(k) for k in _TOLD]).alias("seen"))
+    placed = F.transform("rows", lambda x: x.withField("total", total))
+    labels = F.aggregate(placed, none, step, lambda at: at["done"])
+    # explode would have Spark fold once more, to see which documents have rows
+    both = F.explode_outer(F.arrays_zip(F.col("rows").alias("row"), labels.alias("told")))
+    out = gathered.select("doc_id", total.alias("total"), both.alias("x")).where("x is not null").select("doc_id", "total", "x.row.*", "x.told.*")
     above = F.when((F.col("parent") >= 0) & (F.col("parent") < F.col("total")), F.format_string("sec_%03d", F.col("parent") + 1))
     level = F.least(F.greatest("level", F.lit(1)), F.lit(6))
     return out.select("doc_id", F.col("i").alias("position"), F.format_string("sec_%03d", F.col("i") + 1).alias("section_id"), above.alias("parent_section_id"), level.alias("level"), "label", "confidence")

@@ -118,3 +118,21 @@ def test_chunks(spark):
             of = expected.setdefault(d, [])
             of.append((p, k, t, f"chk_{len(of):03d}"))
     assert got == expected and max(len(v) for v in got.values()) > 6
+
+
+def test_score_bound():
+    """No score is above its bound, so that none that could count is left out, and a long header is left out by its length."""
+    import random
+
+    from quire.operators import sections as S
+
+    rng = random.Random(3)
+    vocabulary = ["in", "the", "results", "of", "method", "methods", "und", "das", "related", "work", "a", "x-y", "introduction:"]
+    text = lambda most: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(most)))
+    for _ in range(4000):
+        header, variant = text(8), text(4) or "in the"
+        split = header.split()
+        bound = S.score_bound(header, set(split), len(" ".join(split)), variant, set(variant.split()))
+        assert S.variant_score(header, variant) <= bound, (header, variant)
+    long = "a header of many words that no entry holds"
+    assert S.score_bound(long, set(long.split()), len(long), "conclusion", {"conclusion"}) < S.TENTATIVE
