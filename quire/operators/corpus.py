@@ -108,10 +108,15 @@ def field_scores(per_document: DataFrame) -> DataFrame:
     )
 
 
-def quality(scores: DataFrame) -> DataFrame:
-    """doc_id and overall: the weighted sum of score_<field> columns, absent ones counting 0, held between 0 and 1."""
+def overall(scores: DataFrame) -> Column:
+    """The weighted sum of score_<field> columns, absent ones counting 0, held between 0 and 1."""
     total = sum((w * F.coalesce(f"score_{f}", F.lit(0.0)) for f, w in FIELD_WEIGHTS.items() if f"score_{f}" in scores.columns), F.lit(0.0))
-    return scores.select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("overall"))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
+
+
+def quality(scores: DataFrame) -> DataFrame:
+    """doc_id and overall."""
+    return scores.select("doc_id", overall(scores).alias("overall"))
 
 
 def _length(n: Column, least: int, most: int) -> Column:

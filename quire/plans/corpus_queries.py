@@ -137,13 +137,15 @@ SELECT *, round(greatest(0.0, least(1.0, 0.15 * score_references + 0.10 * score_
 def document_field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References, citations, entities and claims of a document are its lines; the other four fields have no counterpart here."""
     n = F.count(F.lit(1))
-    counted = _mentions(spark, sf_dir).groupBy("doc_id").agg(
-        n.alias("n_refs"), F.count(F.when(F.col("claim_type") != "N", 1)).alias("n_resolved"), F.sum(F.when(F.col("text").isNotNull(), 5).otherwise(3)).alias("n_fields"),
+    mentions = _mentions(spark, sf_dir).select("doc_id", "claim_type", "predicate", "confidence", "label", F.col("text").isNotNull().alias("named"))
+    # lines come together once; distinct counts would have each of them sent three times
+    counted = mentions.repartition("doc_id").groupBy("doc_id").agg(
+        n.alias("n_refs"), F.count(F.when(F.col("claim_type") != "N", 1)).alias("n_resolved"), F.sum(F.when(F.col("named"), 5).otherwise(3)).alias("n_fields"),
         n.alias("n_citations"), F.count(F.when(F.col("predicate") == "F", 1)).alias("n_linked"), n.alias("n_entities"), F.avg("confidence").alias("entity_confidence"),
-        F.countDistinct("label").alias("n_labels"), n.alias("n_claims"), F.avg("confidence").alias("claim_confidence"), F.countDistinct("claim_type").alias("n_claim_sections"), F.lit(3).alias("n_sections"),
+        F.size(F.collect_set("label")).alias("n_labels"), n.alias("n_claims"), F.avg("confidence").alias("claim_confidence"), F.size(F.collect_set("claim_type")).alias("n_claim_sections"), F.lit(3).alias("n_sections"),
     )
     scores = K.field_scores(counted)
-    return scores.join(K.quality(scores), "doc_id")
+    return scores.withColumn("overall", K.overall(scores))
 
 
 _FIRST = "string_split(coalesce(text, ''), chr(10))[1]"
