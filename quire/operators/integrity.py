@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import once
+
 
 def _missing(rows: DataFrame, item: str, key: str, known: DataFrame, rule: str, severity: str = "error", own: str | None = None) -> DataFrame:
     """Items whose key none of known has in their document; a null key is missing too."""
@@ -45,21 +47,71 @@ def validate(sections: DataFrame, chunks: DataFrame, references: DataFrame, cita
     ])
 
 
+def validate_rows(parts: DataFrame) -> DataFrame:
+    """validate with a row for each document, for documents of few parts: parts has doc_id and the six tables as arrays of structs.
+
+    Items of a document meet its keys one by one, so a document of many parts belongs to validate.
+    """
+    found = lambda rows, item, rule, severity: F.transform(rows, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), item(x).cast("string").alias("item_id")))
+
+    def missing(rows: str | Column, item: str, key: str, known: str, rule: str, severity: str = "error") -> Column:
+        gone = once(F.transform(known, lambda k: k[key]), lambda keys: F.filter(rows, lambda x: ~F.coalesce(F.array_contains(keys, x[key]), F.lit(False))))
+        return found(gone, lambda x: x[item], rule, severity)
+
+    orders, n = F.transform("chunks", lambda c: c["reading_order"]), F.size("chunks")
+    once_a_document = lambda when, rule, severity: found(F.filter(F.array(F.lit(1)), lambda _: when), lambda _: F.lit(None), rule, severity)
+    different = F.size(F.array_distinct(F.filter(orders, lambda o: o.isNotNull())))
+    whole = (different == n) & (F.array_min(orders) == 0) & (F.array_max(orders) == n - 1)
+    own = F.array_distinct(F.transform(F.filter("chunks", lambda c: F.coalesce(c["section_id"], F.lit("")) != ""), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["section_id"].alias("of"))))
+    others = lambda x, held: F.filter(held, lambda o: (o["chunk_id"] == x["chunk_id"]) & ~x["section_id"].eqNullSafe(o["of"]))
+    astray = once(own, lambda held: F.flatten(F.transform("citations", lambda x: F.transform(others(x, held), lambda _: x))))
+    every = F.concat(
+        missing("chunks", "chunk_id", "section_id", "sections", "chunk_section"), missing(F.filter("citations", lambda x: x["ref_id"].isNotNull()), "citation_id", "ref_id", "references", "citation_ref"),
+        missing("citations", "citation_id", "chunk_id", "chunks", "citation_chunk"), missing("entities", "entity_id", "chunk_id", "chunks", "entity_chunk"),
+        missing("claims", "claim_id", "chunk_id", "chunks", "claim_chunk"), missing("claims", "claim_id", "section_id", "sections", "claim_section"),
+        found(F.filter("chunks", lambda c: ~F.coalesce(c["text"], F.lit("")).rlike(r"(?U)\S")), lambda c: c["chunk_id"], "chunk_text", "error"),
+        once_a_document(different < n, "reading_order_duplicate", "error"), once_a_document((n > 0) & ~F.coalesce(whole, F.lit(False)), "reading_order_gap", "warning"),
+        missing("sections", "section_id", "section_id", "chunks", "section_chunks", "warning"), found(astray, lambda x: x["citation_id"], "citation_section", "warning"),
+    )
+    # explode would have Spark build the arrays once more, to see which are empty
+    return parts.select("doc_id", F.explode_outer(every).alias("x")).where("x is not null").select("doc_id", "x.*")
+
+
+def counts_of_rows(parts: DataFrame) -> DataFrame:
+    """(doc_id and the counts of completeness) of documents of a row each, as in validate_rows."""
+    pages = F.flatten(F.transform(F.filter("chunks", lambda c: c["page_end"] >= c["page_start"]), lambda c: F.sequence(c["page_start"], c["page_end"])))
+    counts = {
+        "pages_with_text": F.array_distinct(pages), "sections_detected": F.col("sections"), "references_total": F.col("references"), "references_resolved": F.filter("references", lambda r: r["resolved"]),
+        "citations_total": F.col("citations"), "citations_linked": F.filter("citations", lambda c: c["ref_id"].isNotNull()), "chunks_total": F.col("chunks"), "entities_total": F.col("entities"), "claims_total": F.col("claims"),
+    }
+    return parts.select("doc_id", *[F.size(v).cast("long").alias(k) for k, v in counts.items()])
+
+
 def completeness(documents: DataFrame, sections: DataFrame, chunks: DataFrame, references: DataFrame, citations: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFrame:
     """A row for each of documents (doc_id, page_count): pages, pages with text, and how many of each part there are, references resolved and citations linked.
 
     chunks: (doc_id, page_start, page_end), a page counting once however many chunks touch it; references: (doc_id, resolved); citations: (doc_id, ref_id).
     """
+    return completed(documents, counts(sections, chunks, references, citations, entities, claims))
+
+
+def counts(sections: DataFrame, chunks: DataFrame, references: DataFrame, citations: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """The counts of completeness, by doc_id, of documents with any part."""
     pages = chunks.where("page_end >= page_start").select("doc_id", F.explode(F.sequence("page_start", "page_end")).alias("page")).distinct()
-    counts = {
+    by_kind = {
         "pages_with_text": pages.select("doc_id", F.lit(True).alias("hit")), "sections_detected": sections.select("doc_id", F.lit(True).alias("hit")), "references_total": references.select("doc_id", F.lit(True).alias("hit")),
         "references_resolved": references.select("doc_id", F.coalesce("resolved", F.lit(False)).alias("hit")), "citations_total": citations.select("doc_id", F.lit(True).alias("hit")),
         "citations_linked": citations.select("doc_id", F.col("ref_id").isNotNull().alias("hit")), "chunks_total": chunks.select("doc_id", F.lit(True).alias("hit")),
         "entities_total": entities.select("doc_id", F.lit(True).alias("hit")), "claims_total": claims.select("doc_id", F.lit(True).alias("hit")),
     }
-    every = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in counts.items()]).where("hit")
-    counted = every.groupBy("doc_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in counts])
-    return documents.select("doc_id", F.col("page_count").alias("total_pages")).join(counted, "doc_id", "left").fillna(0, list(counts))
+    every = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in by_kind.items()]).where("hit")
+    return every.groupBy("doc_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in by_kind])
+
+
+def completed(documents: DataFrame, counted: DataFrame) -> DataFrame:
+    """documents with their counts, 0 for what they lack."""
+    counts = [c for c in counted.columns if c != "doc_id"]
+    return documents.select("doc_id", F.col("page_count").alias("total_pages")).join(counted, "doc_id", "left").fillna(0, counts)
 
 
 def chunk_indices(chunks: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFrame:
