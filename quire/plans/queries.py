@@ -257,7 +257,9 @@ def duplicate_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_EDGES}, p AS (SELECT source_id, target_id, count(DISTINCT relation_type) AS t, count(*) AS k FROM e GROUP BY ALL)
 SELECT t AS n_types, count(*) AS n_pairs, CAST(sum(k) AS BIGINT) AS n_edges FROM p GROUP BY ALL""")
 def multigraph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _edges(spark, sf_dir).groupBy("source_id", "target_id").agg(F.countDistinct("relation_type").alias("n_types"), F.count(F.lit(1)).alias("k"))
+    # edges are dealt out first: before, nearly all pairs differ, and a task would hold all of its own; types are few for any pair
+    dealt = _edges(spark, sf_dir).select("source_id", "target_id", "relation_type").repartition("source_id", "target_id")
+    pairs = dealt.groupBy("source_id", "target_id").agg(F.size(F.collect_set("relation_type")).cast("long").alias("n_types"), F.count(F.lit(1)).alias("k"))
     return pairs.groupBy("n_types").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("k").alias("n_edges"))
 
 
