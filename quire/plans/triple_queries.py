@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import triples as T
 from quire.plans.registry import _table, query
+from quire.plans.storage import materialize
 
 _LABELS = {"PROMO": "method", "ECONOMY": "method", "STANDARD": "dataset", "MEDIUM": "dataset", "SMALL": "metric"}
 _VERBS = ["outperforms", "improves upon", "Uses", "is better than", "evaluated  on", "and"]
@@ -77,7 +78,9 @@ def _pairs_sql(label: str) -> str:
 @query(_SQL.rstrip(",") + f" {_pairs_sql('dataset')} UNION ALL {_pairs_sql('metric')}")
 def paired_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods with data sets and metrics."""
-    e = corpus(spark, sf_dir)["entities"]
+    e = corpus(spark, sf_dir)["entities"].where(F.col("label").isin("method", *T.PAIRED))
+    # both labels read them, from both sides
+    e = materialize(e.select("doc_id", "entity_id", "nth", "label", "confidence", "chunk_id"), "entities")
     return T.paired_triples(e, "dataset").unionByName(T.paired_triples(e, "metric"))
 
 
