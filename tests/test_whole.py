@@ -1,11 +1,15 @@
 """Queries that go over whole tables, against brute force on small fixtures."""
 
+import random
 import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from quire.operators import documents
-from quire.plans import queries
+from quire.plans import components, queries, storage
 
 
 def _union_find(pairs):
@@ -91,3 +95,31 @@ def test_section_claims(spark):
         (2, "clm_001", 1, "methodological", 1, 0.5),
     ]
     assert sum(map(len, documents.CLAIM_PATTERNS.values())) == 26
+
+
+def test_components_of_blocks(spark):
+    """Blocks are contracted where they lie; chains, loops, copies and null ends across blocks come out as one graph's."""
+    rng = random.Random(16)
+    pairs = [(rng.choice([None, *range(400)]), rng.choice([None, *range(400)])) for _ in range(260)]
+    pairs += [(x, x + 1) for x in range(1000, 1300)] + [(2000, x) for x in range(1900, 2100)] + [(3000, 3000)] * 3
+    rng.shuffle(pairs)
+    names = [tuple(None if x is None else f"n{x}é" for x in p) for p in pairs]
+    for rows, kind in ((pairs, "long"), (names, "string")):
+        for n in (1, 7):
+            got = components.connected_components(spark.createDataFrame(rows, f"src {kind}, dst {kind}").repartition(n)).collect()
+            expected = _union_find([p for p in rows if None not in p])
+            assert len(got) == len(expected) and {tuple(r) for r in got} == set(expected.items())
+    u, v = (pa.chunked_array([pa.array(c, pa.int64())]) for c in ([1, 2, 2, 9, 8], [2, 3, 3, 9, 7]))
+    assert components._stars(u, v).to_pydict() == {"u": [2, 3, 8, 9], "v": [1, 1, 7, 9]}
+
+
+def test_tables_are_written_in_shares(spark, monkeypatch):
+    """With a known number of rows, no task gets more than its share, however few partitions the session has."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    monkeypatch.setattr(storage, "SHARE_BYTES", 1)
+    before, least = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(least, "1b")
+    rows = storage.materialize(spark.range(4000).repartition("id"), "ids", 4000)
+    spark.conf.unset(least)
+    assert rows.count() == 4000 and rows.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 200
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
