@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.operators import documents
+from quire.operators import documents, graph
 from quire.plans import components, queries, storage
 
 
@@ -123,3 +123,20 @@ def test_tables_are_written_in_shares(spark, monkeypatch):
     spark.conf.unset(least)
     assert rows.count() == 4000 and rows.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 200
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_co_occurrence_is_dealt_by_its_pairs(spark, monkeypatch):
+    """Pairs meet in as many parts as their number needs; null and repeated members give no pairs of their own."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    rng = random.Random(27)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *range(25)])) for _ in range(400)] + [(99, 1)] * 3
+    got = graph.co_occurrence(spark.createDataFrame(rows, "doc_id long, cluster_id long"))
+    expected = {}
+    for d, a in rows:
+        for e, b in rows:
+            if d is not None and d == e and a is not None and b is not None and a < b:
+                expected[a, b] = min(d, expected.get((a, b), d))
+    parts = got.select(F.spark_partition_id().alias("p"), "*").collect()
+    assert {(r.a, r.b): r.doc_id for r in parts} == expected and len(parts) == len(expected)
+    assert len({r.p for r in parts}) > 20
+    assert graph.co_occurrence(spark.createDataFrame([], "doc_id long, cluster_id long")).collect() == []
