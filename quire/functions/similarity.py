@@ -31,8 +31,8 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def set_ratio(a: str, b: str) -> float:
-    """The best ratio among the common words, those with the words of a alone, and those with the words of b alone."""
+def set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio among the common words, those with the words of a alone, and those with the words of b alone; one below least may come out lower."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
@@ -40,7 +40,10 @@ def set_ratio(a: str, b: str) -> float:
     if both and (x <= y or y <= x):
         return 1.0
     with_x, with_y = (f"{both} {" ".join(sorted(z - (x & y)))}".strip() for z in (x, y))
-    return max([ratio(with_x, with_y), *([ratio(both, with_x), ratio(both, with_y)] if both else [])])
+    # the common words begin both texts: they are all that they have in common with either
+    best = 2 * len(both) / (len(both) + min(len(with_x), len(with_y)))
+    most = 2 * min(len(with_x), len(with_y)) / (len(with_x) + len(with_y))
+    return max(best, ratio(with_x, with_y)) if most > best and most >= least else best
 
 
 def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -28,6 +28,11 @@ def _begins(counts: Column, breaks: Callable[[Column, Column], Column]) -> Colum
     return F.aggregate(counts, start, step)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it, within other functions too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _joined(parts: Column, begins: Column, between: str) -> Column:
     """The parts of each group as one text."""
     ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(parts)))
@@ -36,21 +41,26 @@ def _joined(parts: Column, begins: Column, between: str) -> Column:
 
 def merge_small(parts: Column, least: int) -> Column:
     """Paragraphs merged with the next ones until they have `least` words; a last one that stays small joins the one before."""
-    fold = _begins(F.transform(parts, word_count), lambda n, _: n >= least)
 
     def finish(s: Column) -> Column:
         begins = s["begins"]
         return F.when((s["n"] < least) & (F.size(begins) > 1), F.slice(begins, 1, F.greatest(F.size(begins) - 1, F.lit(1)))).otherwise(begins)
 
-    begins = F.element_at(F.transform(F.array(fold), finish), 1)
-    return F.when(F.size(parts) > 0, _joined(parts, begins, "\n\n")).otherwise(parts)
+    def merged(parts: Column) -> Column:
+        fold = _begins(F.transform(parts, word_count), lambda n, _: n >= least)
+        return F.when(F.size(parts) > 0, _let(_let(fold, finish), lambda begins: _joined(parts, begins, "\n\n"))).otherwise(parts)
+
+    return _let(parts, merged)
 
 
 def split_large(text: Column, most: int) -> Column:
     """A text as runs of whole sentences of at most so many words; a longer sentence is a run of its own."""
-    parts = F.transform(sentences(text, line_ends=False), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    begins = _begins(F.transform(parts, word_count), lambda n, w: n + w > most)["begins"]
-    return F.when(F.size(parts) > 0, _joined(parts, begins, " ")).otherwise(F.array(text))
+
+    def runs(parts: Column) -> Column:
+        fold = _begins(F.transform(parts, word_count), lambda n, w: n + w > most)
+        return F.when(F.size(parts) > 0, _let(fold["begins"], lambda begins: _joined(parts, begins, " "))).otherwise(F.array(text))
+
+    return _let(F.transform(sentences(text, line_ends=False), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), runs)
 
 
 def chunk_texts(content: Column, least: int = 150, most: int = 600, gap: str = r"\n\n") -> Column:

@@ -36,6 +36,8 @@ AUTHOR_YEAR = r"\(?([A-Z][a-zA-Z'-]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-zA-Z'-]+|and
 # Titles that a sentence holds at these scores are meant, if the next best is so far behind; fixed values, as are those below.
 TITLE_SURE, TITLE_WITH_AUTHOR, TITLE_LEAD = 0.92, 0.85, 0.05
 LONGEST_RANGE, LEAST_OVERLAP, SHORT = 50, 0.35, 80
+#: Pairs of a document that are looked at one by one; where there would be more, words lead to them.
+FEW_PAIRS = 4096
 
 _CITED = ["doc_id", "nth"]
 
@@ -51,8 +53,8 @@ def intent(sentence: Column) -> Column:
         F.struct(sum((sentence.rlike("(?i)" + p).cast("int") for p in ps), F.lit(0)).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("intent"))
         for i, (name, ps) in enumerate(INTENTS.items())
     ])
-    best = F.array_max(counted)
-    return F.when(best["n"] > 0, F.struct(best["intent"].alias("intent"), F.when(best["n"] >= 2, 0.75).otherwise(0.6).alias("confidence")))
+    told = lambda best: F.when(best["n"] > 0, F.struct(best["intent"].alias("intent"), F.when(best["n"] >= 2, 0.75).otherwise(0.6).alias("confidence")))
+    return F.element_at(F.transform(F.array(F.array_max(counted)), told), 1)  # patterns are searched once
 
 
 def marked_numbers(marker: Column) -> Column:
@@ -75,14 +77,20 @@ def _ref(number: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """set_ratio of two flat texts."""
-    return pd.Series([set_ratio(x, y) for x, y in zip(a, b, strict=True)])
+    """set_ratio of two flat texts, exact from TITLE_WITH_AUTHOR on."""
+    return pd.Series([set_ratio(x, y, TITLE_WITH_AUTHOR) for x, y in zip(a, b, strict=True)])
 
 
 def _left(citations: DataFrame, found: DataFrame) -> DataFrame:
     return citations.join(found.select(*_CITED).distinct(), _CITED, "left_anti")
 
 
+def _crowded(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id) of documents in which rows of a and b give more than FEW_PAIRS pairs."""
+    n = a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")), "doc_id")
+    return materialize(n.where(F.col("n") * F.col("m") > FEW_PAIRS).select("doc_id"), "crowded")
+
+
 def _by_target(citations: DataFrame, references: DataFrame, raw_references: DataFrame) -> DataFrame:
     named = raw_references.where("target <> ''").select("doc_id", "target", _ref(F.col("number")).alias("ref_id"), "number").join(references.select("doc_id", "ref_id"), ["doc_id", "ref_id"])
     last = named.groupBy("doc_id", "target").agg(F.max_by("ref_id", "number").alias("ref_id"))
@@ -117,14 +125,18 @@ def _by_author(citations: DataFrame, references: DataFrame) -> DataFrame:
 def _by_title(citations: DataFrame, references: DataFrame) -> DataFrame:
     said = citations.where(F.char_length(F.regexp_replace("sentence", r"(?U)^\s+|\s+$", "")) >= 20).select(*_CITED, flat(F.col("sentence")).alias("said"))
     titled = references.where(F.char_length("title") >= 15).select("doc_id", "ref_id", flat(F.col("title")).alias("title"), F.transform("authors", _surname).alias("names"))
-    by_word = said.select(*_CITED, F.explode(F.array_distinct(F.split("said", " "))).alias("word")).join(
-        titled.select("doc_id", "ref_id", F.explode(F.array_distinct(F.split("title", " "))).alias("word")), ["doc_id", "word"]
-    )
+    words = lambda c: F.array_distinct(F.split(c, " "))
     # without a common word both texts must be about as long: lengths in neighbouring bands of a factor
     band = lambda c: F.floor(F.log(F.greatest(F.char_length(c), F.lit(1))) / F.log(F.lit(1.36)))
-    near = said.select(*_CITED, F.explode(F.array(*[band("said") + d for d in (-1, 0, 1)])).alias("band")).join(titled.select("doc_id", "ref_id", band("title").alias("band")), ["doc_id", "band"])
+    crowded = _crowded(said, titled)
+    few = said.join(crowded, "doc_id", "left_anti").join(titled.join(crowded, "doc_id", "left_anti"), "doc_id")
+    few = few.where(F.arrays_overlap(words("said"), words("title")) | (F.abs(band("said") - band("title")) <= 1))
+    much, names = said.join(crowded, "doc_id", "left_semi"), titled.join(crowded, "doc_id", "left_semi")
+    by_word = much.select(*_CITED, F.explode(words("said")).alias("word")).join(names.select("doc_id", "ref_id", F.explode(words("title")).alias("word")), ["doc_id", "word"])
+    near = much.select(*_CITED, F.explode(F.array(*[band("said") + d for d in (-1, 0, 1)])).alias("band")).join(names.select("doc_id", "ref_id", band("title").alias("band")), ["doc_id", "band"])
     pairs = by_word.select(*_CITED, "ref_id").unionByName(near.select(*_CITED, "ref_id")).distinct()
-    both = pairs.join(said, _CITED).join(titled, ["doc_id", "ref_id"]).withColumn("score", title_ratio("said", "title"))
+    met = few.unionByName(pairs.join(much, _CITED).join(names, ["doc_id", "ref_id"]).select(few.columns))
+    both = met.withColumn("score", title_ratio("said", "title"))
     named = F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.contains(F.col("said"), n))
     held = both.where((F.col("score") >= TITLE_SURE) | (F.col("score") >= TITLE_WITH_AUTHOR) & named)
     best = held.groupBy(*_CITED).agg(F.max("score").alias("best"), F.max_by("ref_id", "score").alias("ref_id"), F.sort_array(F.collect_list("score"), False).alias("scores"))
@@ -155,19 +167,22 @@ def referred(citations: DataFrame, references: DataFrame, raw_references: DataFr
 def _containing(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, nth, place, section_id, short) of chunks that hold a citation's sentence, or else the first 80 characters of a longer one.
 
-    A chunk that holds a sentence holds its inner words whole: the longest of them leads to the chunks. Sentences
-    without inner words are compared with their document's chunks.
+    Citations and chunks of a document that has few are compared at once. In others: a chunk that holds a sentence holds its inner
+    words whole, so the longest of them leads to the chunks; sentences without inner words are compared with their document's chunks.
     """
     said = citations.select(*_CITED, flat(F.col("sentence")).alias("said")).where("said <> ''").withColumn("head", F.substring("said", 1, SHORT))
+    texts = chunks.select("doc_id", "place", "section_id", flat(F.col("text")).alias("body"))
+    crowded = _crowded(said, texts)
+    few = said.join(crowded, "doc_id", "left_anti").join(texts.join(crowded, "doc_id", "left_anti"), "doc_id")
+    said, texts = said.join(crowded, "doc_id", "left_semi"), texts.join(crowded, "doc_id", "left_semi")
     inner = F.split("head", " ")
     inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word"))))["word"]
     said = said.withColumn("word", longest)
-    texts = chunks.select("doc_id", "place", "section_id", flat(F.col("text")).alias("body"))
     words = texts.select("doc_id", "place", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
     led = said.where("word is not null").join(words, ["doc_id", "word"]).select(*_CITED, "said", "head", "place")
     rest = said.where("word is null").join(texts.select("doc_id", "place"), "doc_id").select(*_CITED, "said", "head", "place")
-    met = led.unionByName(rest).join(texts, ["doc_id", "place"])
+    met = few.unionByName(led.unionByName(rest).join(texts, ["doc_id", "place"]).select(few.columns))
     whole = F.contains("body", "said")
     return met.where(whole | (F.char_length("said") > SHORT) & F.contains("body", "head")).select(*_CITED, "place", "section_id", (~whole).alias("short"))
 
@@ -194,13 +209,17 @@ def placed(citations: DataFrame, chunks: DataFrame, sections: DataFrame) -> Data
     own = of.select(*_CITED, "own")
     here = lambda value: F.when(F.col("section_id") == F.col("own"), value)
     held = _containing(citations, chunks).join(own, _CITED).withColumn("x", F.struct("short", "place"))
-    held = held.groupBy(*_CITED).agg(F.min(here(F.col("x"))).alias("held_here"), F.min("x").alias("held"))
-    alike = _overlapping(citations, chunks).join(own, _CITED).withColumn("x", F.struct((-F.col("score")).alias("score"), "place"))
-    alike = alike.groupBy(*_CITED).agg(F.min(here(F.col("x"))).alias("alike_here"), F.min("x").alias("alike"))
+    held = materialize(held.groupBy(*_CITED).agg(F.min(here(F.col("x"))).alias("held_here"), F.min("x").alias("held")), "held")
     mark = flat(F.coalesce("marker", F.lit("")))
     body = chunks.select("doc_id", F.col("section_id").alias("own"), "paragraph_index", "place", flat(F.col("text")).alias("body"))
     marked = (mark != "") & F.contains(F.col("body"), mark)
-    paragraph = of.where("own is not null").join(body, ["doc_id", "own", "paragraph_index"]).groupBy(*_CITED).agg(F.min(F.struct((~marked).alias("other"), "place")).alias("paragraph"))
+    # the chunk of a paragraph is asked for where none of the section holds the sentence, that of most words where there is no such paragraph
+    left = materialize(_left(of, held.where("held_here is not null")), "left")
+    paragraph = left.where("own is not null").join(body, ["doc_id", "own", "paragraph_index"]).groupBy(*_CITED).agg(F.min(F.struct((~marked).alias("other"), "place")).alias("paragraph"))
+    paragraph = materialize(paragraph, "paragraphs")
+    left = materialize(citations.select(*_CITED, "sentence").join(_left(left, paragraph).select(*_CITED), _CITED, "left_semi"), "left")
+    alike = _overlapping(left, chunks.join(left.select("doc_id").distinct(), "doc_id", "left_semi")).join(own, _CITED).withColumn("x", F.struct((-F.col("score")).alias("score"), "place"))
+    alike = alike.groupBy(*_CITED).agg(F.min(here(F.col("x"))).alias("alike_here"), F.min("x").alias("alike"))
     first = chunks.groupBy("doc_id").agg(F.min("place").alias("first"))
     first_here = chunks.groupBy("doc_id", F.col("section_id").alias("own")).agg(F.min("place").alias("first_here"))
     told = own.join(held, _CITED, "left").join(alike, _CITED, "left").join(paragraph, _CITED, "left").join(first_here, ["doc_id", "own"], "left").join(first, "doc_id")
@@ -217,6 +236,7 @@ def link_citations(citations: DataFrame, references: DataFrame, raw_references:
     page), place being their order; sections: (doc_id, position, section_id). The intent is that of the sentence, or of the chunk's first 200
     characters; a linked citation without one is background at 0.4. citation_id counts a document's edges, cit_001 on.
     """
+    citations, chunks = materialize(citations, "citations"), materialize(chunks, "chunks")  # each is read for many steps
     meant, stands = referred(citations, references, raw_references), placed(citations, chunks, sections)
     told = citations.select(*_CITED, "sentence").join(stands.withColumnRenamed("how", "chunk_how"), _CITED)
     told = told.join(chunks.select("doc_id", "place", "chunk_id", "section_id", "page", F.substring("text", 1, 200).alias("head")), ["doc_id", "place"])

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quire.functions.similarity import set_ratio
 from quire.operators import citations as L
 
@@ -119,3 +121,32 @@ def test_linking(spark):
     assert {(r.doc_id, r.nth, r.ref_id, r.how, r.chunk_id, r.section_id, r.chunk_how, r.intent, r.intent_confidence) for r in got} == expected and len(got) == len(expected)
     assert seen == {"target", "regex", "title", "none", "sentence", "paragraph", "overlap", "last_resort"}
     assert sorted(r.citation_id for r in got if r.doc_id == 1) == [f"cit_{i + 1:03d}" for i in range(sum(e[0] == 1 for e in expected))]
+
+
+def test_set_ratio_with_a_least():
+    """What is not computed because it cannot reach the least stays below it; all else is exact."""
+    from quire.functions.similarity import ratio, set_ratio
+
+    rng = random.Random(19)
+    for _ in range(3000):
+        a, b = (" ".join(rng.choice(["ab", "abc", "b", "cab", "de", "dé"]) for _ in range(rng.randrange(6))) for _ in range(2))
+        x, y = set(a.split()), set(b.split())
+        both = " ".join(sorted(x & y))
+        one, two = (f"{both} {' '.join(sorted(z - (x & y)))}".strip() for z in (x, y))
+        want = 0.0 if not x or not y else 1.0 if both and (x <= y or y <= x) else max([ratio(one, two), *([ratio(both, one), ratio(both, two)] if both else [])])
+        assert set_ratio(a, b) == want
+        assert (got := set_ratio(a, b, 0.85)) == want or got < 0.85 > want
+
+
+def test_crowded_linking(spark, monkeypatch):
+    """Documents with more citations and chunks than are compared one by one come out the same; words lead to their pairs."""
+    monkeypatch.setattr(L, "FEW_PAIRS", 3)
+    test_linking(spark)
+
+
+def test_parts_are_computed_once(spark):
+    """Cutting a text names its paragraphs once, not once for every chunk and use."""
+    from quire.operators.chunks import chunk_texts
+
+    plan = spark.range(1).select(chunk_texts(F.concat("id", F.lit(" a\n\nb")), 1, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(concat(") == 1
