@@ -127,3 +127,28 @@ def test_crowded_graphs(spark, tmp_path):
         assert told() == want
     finally:
         Q.FEW_LINES = few
+
+
+def test_edges_of_pairs_and_their_rivals(spark):
+    """Pairs of clusters are not sent with other edges unless one of these compares the same two; the surer edge, then the earlier stage, is kept."""
+    from quire.operators import corpus_graph as C
+
+    frame = spark.createDataFrame
+    docs = frame([(d, d, None, 0.5) for d in ("x", "y", "p", "q")], "doc_id string, title string, date string, overall double")
+    entities = frame([("x", "e1", "p", 0.4), ("x", "e2", "q", 0.9), ("y", "e3", "p", None), ("x", "e4", "p", 0.7), ("x", "e5", "r", 0.1)], "doc_id string, entity_id string, cluster_id string, confidence double")
+    clusters = frame([(k, k, 1.0) for k in "pqr"], "cluster_id string, canonical_text string, confidence double")
+    claims = frame([("x", "1", "s", 0.3), ("y", "2", "s", 0.2)], "doc_id string, claim_id string, sentence string, confidence double")
+    made = "source_id string, target_id string, relation_type string, confidence double, source_claim_id string, target_claim_id string"
+    told = lambda t: {tuple(r) for r in t.collect()}
+    want = {
+        ("x", "p", "extends", "doc_contains_entity", 0.7, True, 3), ("x", "q", "extends", "doc_contains_entity", 0.9, True, 3), ("y", "p", "extends", "doc_contains_entity", None, True, 3),
+        ("x", "r", "extends", "doc_contains_entity", 0.1, True, 3), ("x", "cl_x_1", "supports", "doc_has_claim", 0.3, True, 7), ("y", "cl_y_2", "supports", "doc_has_claim", 0.2, True, 7),
+        ("x", "y", "cites", "doc_relation", 0.6, True, 4), ("cl_x_1", "cl_y_2", "cites", "claim_relation", 0.6, True, 7),
+    }
+    pairs = {(a, b, "compares_with", "entity_co_occur", 1.0, False, 5) for a, b in (("p", "q"), ("p", "r"), ("q", "r"))}
+    cites = [("x", "y", "cites", 0.6, "1", "2"), ("x", "y", "cites", 0.5, "1", "3")]
+    of = lambda more, **k: told(C.build_corpus_graph(docs, entities, clusters, frame(cites + more, made), claims, **k)[1])
+    assert of([]) == want | pairs and of([], stage_5=False) == want and of([], rows=8) == want | pairs
+    weak, equal = ("p", "q", "compares_with", 0.9, None, None), ("p", "r", "compares_with", 1.0, None, None)
+    assert of([weak]) == want | pairs
+    assert of([weak, equal]) == want | pairs - {("p", "r", "compares_with", "entity_co_occur", 1.0, False, 5)} | {("p", "r", "compares_with", "doc_relation", 1.0, True, 4)}
