@@ -6,12 +6,15 @@ are listed once; clusters of many are looked up for the pairs that a stage finds
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.similarity import at_least, comparable
 from quire.operators.resolution import similar_texts
-from quire.plans.storage import materialize
+from quire.plans.storage import materialize, partitions_for
 
 #: Share of a stage's best evidence in a relation's confidence. Fixed values.
 STAGE_WEIGHTS = {"citation": 0.40, "entity": 0.20, "method": 0.15, "triple": 0.15, "claim": 0.10}
@@ -24,6 +27,8 @@ NEGATIONS = [
 COMMON = 256
 #: Rows of one key that a join's task may well hold; keys with more are dealt out by salts.
 PLAIN_ROWS = 10_000
+#: Claims of a document that may well lie in one row; the claims of documents with more stay rows.
+PACKED = 64
 
 
 def has_negation(sentence: Column) -> Column:
@@ -52,16 +57,25 @@ def overlaps(sets: DataFrame, least: float) -> DataFrame:
     sets: (doc_id, item), repeated rows count once.
     """
     known = _counted(sets)
-    return _overlaps(known, materialize(_meeting(known), "meeting"), least)
+    return _overlaps(known, materialize(_meeting(known), "meeting"), _crowd(known), least)
+
+
+def _crowd(known: DataFrame) -> DataFrame | None:
+    """(doc_id, item) of items that more than COMMON documents have; None if there are none, so that no pair looks for them."""
+    crowd = known.where(F.col("often") > COMMON).select("doc_id", "item")
+    return None if crowd.isEmpty() else crowd
 
 
-def _overlaps(known: DataFrame, meeting: DataFrame, least: float) -> DataFrame:
+def _overlaps(known: DataFrame, meeting: DataFrame, crowd: DataFrame | None, least: float) -> DataFrame:
     """overlaps of sets as _counted gives them and their _meeting pairs.
 
     Items of few documents are counted as these meet. For the others: if A is
     the smaller set, a pair that reaches least shares one of the |A| - ceil(least |A|) + 1 rarest items of A: only those look for
     partners, dealt out by salts on both sides. The rest of them is counted for the pairs that are left, one row for each.
     """
+    if crowd is None:  # each pair is there once, with all that it shares
+        shared = meeting.select("a", "b", "n", F.least("n_a", "n_b").alias("least"))
+        return shared.where(F.col("n") >= F.col("least") * least - 1e-9).select("a", "b", (F.col("n") / F.col("least")).alias("overlap"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "item"))
     rare = known.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & (F.col("often") > COMMON))
     salts = F.ceil(F.col("often") / PLAIN_ROWS).cast("int")
@@ -87,18 +101,20 @@ def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
     return there.unionByName(pairs.select(F.col("b").alias("source_id"), F.col("a").alias("target_id"), *more))
 
 
-def _comparable_pairs(pairs: DataFrame, clusters: DataFrame, meeting: DataFrame, cited: DataFrame) -> DataFrame:
+def _comparable_pairs(pairs: DataFrame, crowd: DataFrame | None, meeting: DataFrame, cited: DataFrame) -> DataFrame:
     """Of pairs (source_id, target_id) those that share a cluster or whose source refers to the target."""
     pairs = pairs.distinct()
     near = meeting.select("a", "b")
     met = pairs.withColumns({"a": F.least("source_id", "target_id"), "b": F.greatest("source_id", "target_id")}).join(near, ["a", "b"], "left_semi")
-    sets = clusters.where(F.col("often") > COMMON).select("doc_id", "item")
-    shared = pairs.join(sets.withColumnRenamed("doc_id", "source_id"), "source_id").join(sets.withColumnRenamed("doc_id", "target_id"), ["target_id", "item"])
     ends = ["source_id", "target_id"]
-    return met.select(*ends).unionByName(shared.select(*ends)).unionByName(pairs.join(cited, ends, "left_semi")).distinct()
+    found = met.select(*ends).unionByName(pairs.join(cited, ends, "left_semi"))
+    if crowd is not None:
+        shared = pairs.join(crowd.withColumnRenamed("doc_id", "source_id"), "source_id").join(crowd.withColumnRenamed("doc_id", "target_id"), ["target_id", "item"])
+        found = found.unionByName(shared.select(*ends))
+    return found.distinct()
 
 
-def citation_evidence(documents: DataFrame, references: DataFrame, clusters: DataFrame, meeting: DataFrame, cited: DataFrame, percent: int = 85) -> DataFrame:
+def citation_evidence(documents: DataFrame, references: DataFrame, crowd: DataFrame | None, meeting: DataFrame, cited: DataFrame, percent: int = 85) -> DataFrame:
     """(source_id, target_id, ref_id): each reference with each compared document it means, by id, DOI or title.
 
     Of a title that many references and documents have only those meet that are compared.
@@ -116,15 +132,17 @@ def citation_evidence(documents: DataFrame, references: DataFrame, clusters: Dat
     alike = materialize(similar_texts(texts[0], percent, texts[1]), "alike")
     asked, titles = asked.withColumnRenamed("id", "a"), titles.withColumnRenamed("id", "b")
     two = meeting.select(F.col("a").alias("doc_id"), F.col("b").alias("of"))
-    two = two.unionByName(two.select(F.col("of").alias("doc_id"), F.col("doc_id").alias("of"))).unionByName(cited.toDF("doc_id", "of")).distinct()
+    two = two.unionByName(two.select(F.col("of").alias("doc_id"), F.col("doc_id").alias("of"))).unionByName(cited.toDF("doc_id", "of"))
     # asked titles alone, and named ones alone, that some other is alike
     asked, titles = asked.join(alike.select("a"), "a", "left_semi"), titles.join(alike.select("b"), "b", "left_semi")
     listed = two.join(titles, "of").join(asked, "doc_id").join(alike, ["a", "b"], "left_semi").select("doc_id", "ref_id", "of")
-    often = clusters.where(F.col("often") > COMMON).select("doc_id").distinct()
-    crowded = asked.join(often, "doc_id", "left_semi").join(alike, "a").join(titles.join(often.toDF("of"), "of", "left_semi"), "b").select("doc_id", "ref_id", "of")
-    found = by_id.unionByName(by_doi).unionByName(crowded).where("doc_id <> of").distinct()
+    found = by_id.unionByName(by_doi)
+    if crowd is not None:
+        often = crowd.select("doc_id").distinct()
+        found = found.unionByName(asked.join(often, "doc_id", "left_semi").join(alike, "a").join(titles.join(often.toDF("of"), "of", "left_semi"), "b").select("doc_id", "ref_id", "of"))
+    found = found.where("doc_id <> of").distinct()
     found = materialize(found.select(F.col("doc_id").alias("source_id"), F.col("of").alias("target_id"), "ref_id"), "citations")
-    ok = _comparable_pairs(found.select("source_id", "target_id"), clusters, meeting, cited)
+    ok = _comparable_pairs(found.select("source_id", "target_id"), crowd, meeting, cited)
     listed = listed.where("doc_id <> of").select(F.col("doc_id").alias("source_id"), F.col("of").alias("target_id"), "ref_id")
     return found.join(ok, ["source_id", "target_id"]).unionByName(listed).distinct()
 
@@ -141,11 +159,28 @@ def _summed(found: DataFrame, *more: str) -> DataFrame:
     return found.groupBy("a", "b", *more).agg(F.max("confidence").alias("best"), *kinds)
 
 
-def _of_compared(summed: DataFrame, clusters: DataFrame, meeting: DataFrame, cited: DataFrame) -> DataFrame:
-    """(source_id, target_id, best, supports, contradicts): evidence of pairs a < b, each way that they are compared."""
-    summed = materialize(summed, "evidence")
-    both = _both_ways(summed, "best", "supports", "contradicts")
-    return both.join(_comparable_pairs(both.select("source_id", "target_id"), clusters, meeting, cited), ["source_id", "target_id"])
+def _linked(cited: DataFrame) -> DataFrame:
+    """(a, b, forth, back): pairs a < b of which a refers to b, or b to a."""
+    there = F.col("source_id") < F.col("target_id")
+    ends = F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")
+    return cited.groupBy(*ends).agg(F.max(there).alias("forth"), F.max(~there).alias("back"))
+
+
+def _each_way(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """(source_id, target_id, more) of pairs (a, b, both, more): both ways, or where both does not hold, the ways that a reference goes."""
+    told, more = found.join(linked, ["a", "b"], "left"), [c for c in found.columns if c not in ("a", "b", "both")]
+    ways = [F.struct(F.col(x).alias("source_id"), F.col(y).alias("target_id"), F.coalesce(F.col("both") | F.col(to), F.col("both"), F.col(to), F.lit(False)).alias("ok")) for x, y, to in (("a", "b", "forth"), ("b", "a", "back"))]
+    return told.select(F.explode(F.filter(F.array(*ways), lambda w: w["ok"])).alias("way"), *more).select("way.source_id", "way.target_id", *more)
+
+
+def _of_compared(pairs: DataFrame, crowd: DataFrame | None, meeting: DataFrame, linked: DataFrame) -> DataFrame:
+    """(source_id, target_id, more) of pairs a < b (a, b, more), each way that they are compared."""
+    told = pairs.join(meeting.select("a", "b", F.lit(True).alias("both")), ["a", "b"], "left")
+    if crowd is not None:
+        told = materialize(told, "evidence")
+        rest = told.where("both is null").select("a", "b").join(crowd.withColumnRenamed("doc_id", "a"), "a").join(crowd.withColumnRenamed("doc_id", "b"), ["b", "item"])
+        told = told.join(rest.select("a", "b", F.lit(True).alias("crowded")).distinct(), ["a", "b"], "left").withColumn("both", F.coalesce("both", "crowded")).drop("crowded")
+    return _each_way(told, linked)
 
 
 def triple_evidence(triples: DataFrame) -> DataFrame:
@@ -165,34 +200,77 @@ def triple_evidence(triples: DataFrame) -> DataFrame:
     ))
 
 
+def _numbered(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """rows with a number in place of column's value, null for null, and the values: (column, id)."""
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct().select(column, F.monotonically_increasing_id().alias("id"))
+    values = materialize(values, "values")
+    return rows.join(values.withColumnRenamed("id", "_id"), column, "left").drop(column).withColumnRenamed("_id", column), values
+
+
 def claim_evidence(claims: DataFrame, clusters: DataFrame, cited: DataFrame) -> DataFrame:
-    """(a, b, best, supports, contradicts) for documents a < b that share a cluster or one of which refers to the other, with alike claims of one type.
+    """(a, b, both, best, supports, contradicts) for documents a < b that share a cluster (both) or one of which refers to the other, with alike claims of one type.
 
     Alike: statements at 80, or a common pattern, or sentences at 70 (token_sort similarity). One of them negative:
-    contradiction by 0.85 of their mean confidence; neither: support by 0.8; both: nothing. Claims meet by type and cluster at once, or
-    along a reference; documents that meet by several clusters give the same sums each time, and count once.
+    contradiction by 0.85 of their mean confidence; neither: support by 0.8; both: nothing. Types, patterns and texts go as numbers, and each
+    two texts of fitting lengths are compared once. Claims meet by cluster, a document's in one row, or along a reference; those of crowded clusters and of documents of many claims meet
+    by type and cluster. Documents that meet by several clusters give the same sums each time, and count once.
     """
-    one = claims.select(
+    spark = claims.sparkSession
+    one = claims.where("claim_type is not null").select(
         "doc_id", "claim_type", has_negation(F.col("sentence")).alias("neg"), "confidence", F.transform("patterns", lambda p: F.lower(F.trim(p))).alias("patterns"),
         comparable(F.col("statement")).alias("statement"), comparable(F.col("sentence")).alias("sentence"),
     )
+    one, values = materialize(one.withColumn("letters", F.char_length("sentence")), "claims"), {}
+    for c in ("claim_type", "patterns", "statement", "sentence"):
+        one, values[c] = _numbered(one, c)
     one = materialize(one, "claims")
-    fields = ["neg", "confidence", "patterns", "statement", "sentence"]
-    other = one.select("claim_type", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in fields])
-    one = one.withColumnRenamed("doc_id", "a")
+    fields = ["claim_type", "neg", "confidence", "patterns", "statement", "sentence", "letters"]
     shared = clusters.where("often > 1").select("doc_id", "item")
-    met = one.join(shared.toDF("a", "item"), "a").join(other.join(shared.toDF("b", "item"), "b"), ["claim_type", "item"]).where("a < b")
-    linked = cited.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
-    along = linked.join(one, "a").join(other, ["b", "claim_type"]).withColumn("item", F.lit(None).cast("string"))
-    both = met.unionByName(along).where(~(F.col("neg") & F.col("neg_b")))
-    common = F.coalesce(F.arrays_overlap("patterns", "patterns_b"), F.lit(False))
-    fuzzy = [F.coalesce(at_least(F.when(~common, F.col(c)), F.when(~common, F.col(f"{c}_b")), p), F.lit(False)) for c, p in (("statement", 80), ("sentence", 70))]
-    mean = (F.col("confidence") + F.col("confidence_b")) / 2
-    apart = F.col("neg") != F.col("neg_b")
-    alike = both.where(common | fuzzy[0] | fuzzy[1]).select(
-        "a", "b", "item", F.when(apart, "contradicts").otherwise("supports").alias("kind"), F.when(apart, mean * 0.85).otherwise(mean * 0.8).alias("confidence"),
-    )
-    return _summed(alike, "item").groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("best", "supports", "contradicts")])
+    counts = one.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    many = shared.join(counts.where(F.col("n") > PACKED), "doc_id", "left_semi").select("item")
+    wide = materialize(many.unionByName(clusters.where(F.col("often") > COMMON).select("item")).distinct(), "wide")
+    side = lambda t, of, *keys: t.select(*keys, F.col("doc_id").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in fields])
+
+    def in_rows(t: DataFrame) -> DataFrame:
+        apart, mean = F.coalesce(F.col("neg_a") != F.col("neg_b"), F.lit(False)), (F.col("confidence_a") + F.col("confidence_b")) / 2
+        fits = 70 * (F.col("letters_a") + F.col("letters_b")) <= 200 * F.least("letters_a", "letters_b")
+        texts = [f"{c}_{of}" for c in ("patterns", "statement") for of in "ab"] + [F.when(fits, F.col(f"sentence_{of}")).alias(f"sentence_{of}") for of in "ab"]
+        return t.where(~(F.col("neg_a") & F.col("neg_b"))).select("a", "b", "item", apart.alias("apart"), F.when(apart, mean * 0.85).otherwise(mean * 0.8).alias("confidence"), *texts)
+
+    few = shared if (narrow := wide.isEmpty()) else shared.join(wide, "item", "left_anti")
+    said = one.join(counts.where(F.col("n") <= PACKED), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("said"))
+    said = said.select("doc_id", *[F.transform("said", lambda x: x[c]).alias(c) for c in fields])  # arrays of numbers are short
+    # sent once for both sides
+    packed = few.join(said, "doc_id").repartition(partitions_for(spark, 3 * clusters.count()), "item")
+    two = side(packed, "a", "item").join(side(packed, "b", "item"), "item").where("a < b")
+    two = two.select("*", F.posexplode("claim_type_a").alias("i", "type_a"))
+    two = two.select("*", F.posexplode("claim_type_b").alias("j", "type_b")).where("type_a = type_b")
+    met = [in_rows(two.select("a", "b", "item", *[F.get(f"{c}_{of}", F.col(at)).alias(f"{c}_{of}") for c in fields for of, at in (("a", "i"), ("b", "j"))]))]
+    if not narrow:
+        plain = one.join(shared.join(wide, "item", "left_semi"), "doc_id")
+        rows = side(plain, "a", "item").join(side(plain, "b", "item").withColumnRenamed("claim_type_b", "claim_type_a"), ["item", "claim_type_a"]).where("a < b")
+        met.append(in_rows(rows))
+    linked = _linked(cited).select("a", "b")
+    along = linked.join(side(one, "a"), "a").join(side(one, "b").withColumnRenamed("claim_type_b", "claim_type_a"), ["b", "claim_type_a"])
+    met.append(in_rows(along.withColumn("item", F.lit(None).cast("string"))))
+    met = materialize(reduce(DataFrame.unionByName, met), "met")
+    n = met.count()
+
+    def alike(rows: DataFrame, c: str, test: Callable[[Column, Column], Column], name: str) -> DataFrame:
+        """Pairs of numbers of column c in rows whose values pass, each once."""
+        ends = [values[c].select(F.col("id").alias(f"{c}_{of}"), F.col(c).alias(of)) for of in "ab"]
+        pairs = rows.select(f"{c}_a", f"{c}_b").where(F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull()).distinct()
+        return materialize(pairs.join(ends[0], f"{c}_a").join(ends[1], f"{c}_b").where(test(F.col("a"), F.col("b"))).select(f"{c}_a", f"{c}_b", F.lit(True).alias(name)), "alike", n)
+
+    common = alike(met, "patterns", F.arrays_overlap, "common")
+    stated = alike(met, "statement", lambda a, b: at_least(a, b, 80), "stated")
+    told = met.join(common, ["patterns_a", "patterns_b"], "left").join(stated, ["statement_a", "statement_b"], "left")
+    settled, rest = told.where("common or stated"), told.where("common is null and stated is null")
+    spoken = alike(rest, "sentence", lambda a, b: at_least(a, b, 70), "spoken")
+    columns = ["a", "b", "item", F.when(F.col("apart"), "contradicts").otherwise("supports").alias("kind"), "confidence"]
+    found = settled.select(*columns).unionByName(rest.join(spoken, ["sentence_a", "sentence_b"]).select(*columns))
+    sums = [F.max(c).alias(c) for c in ("best", "supports", "contradicts")]
+    return _summed(found, "item").groupBy("a", "b").agg(F.max(F.col("item").isNotNull()).alias("both"), *sums)
 
 
 def document_relations(
@@ -213,30 +291,29 @@ def document_relations(
     clusters = _counted(entities.where("canonical is not null").select("doc_id", F.lower("canonical").alias("item")).join(known, "doc_id", "left_semi"))
     meeting = materialize(_meeting(clusters), "meeting")
     cited = materialize(_cited(documents, references), "cited")
-    compared = clusters, meeting, cited
+    crowd, linked = _crowd(clusters), materialize(_linked(cited), "linked")
 
     def typed(rows: DataFrame, kind: Column, stage: str, n: Column = F.col("n")) -> DataFrame:
         return rows.select("source_id", "target_id", kind.alias("relation_type"), F.lit(stage).alias("stage"), (STAGE_WEIGHTS[stage] * F.col("best")).alias("confidence"), n.cast("long").alias("n"))
 
     one = F.lit(1.0)
-    cites = citation_evidence(documents, references, *compared, percent).groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"), F.max(one).alias("best"))
+    cites = citation_evidence(documents, references, crowd, meeting, cited, percent).groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"), F.max(one).alias("best"))
     back = cites.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "n", "best")
-    shared = _both_ways(_overlaps(clusters, meeting, entity_least), "overlap").withColumnRenamed("overlap", "best")
+    shared = _both_ways(_overlaps(clusters, meeting, crowd, entity_least), "overlap").withColumnRenamed("overlap", "best")
     methods = entities.where("label = 'method'").select("doc_id", F.coalesce(F.lower("canonical"), "norm").alias("item")).join(known, "doc_id", "left_semi")
-    used = _both_ways(overlaps(methods, method_least), "overlap").withColumnRenamed("overlap", "best")
-    used = used.join(_comparable_pairs(used.select("source_id", "target_id"), *compared), ["source_id", "target_id"])
+    used = _of_compared(overlaps(methods, method_least).withColumnRenamed("overlap", "best"), crowd, meeting, linked)
 
     def by_kind(rows: DataFrame, stage: str) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("supports", "contradicts")]))
-        kinds = _of_compared(rows, *compared).select("source_id", "target_id", "best", each.alias("x")).select("source_id", "target_id", "best", "x.*").where("n > 0")
+        kinds = rows.select("source_id", "target_id", "best", each.alias("x")).select("source_id", "target_id", "best", "x.*").where("n > 0")
         return typed(kinds, F.col("kind"), stage)
 
     parts = [
         typed(cites, F.lit("cites"), "citation"), typed(back, F.lit("cited_by"), "citation"),
         typed(shared, F.lit("compares_with"), "entity", F.lit(1)),
         typed(used, F.when(F.col("best") >= 0.4, "uses_method").otherwise("extends"), "method", F.lit(1)),
-        by_kind(triple_evidence(triples.join(known, "doc_id", "left_semi")), "triple"),
-        by_kind(claim_evidence(claims.join(known, "doc_id", "left_semi"), clusters, cited), "claim"),
+        by_kind(_of_compared(triple_evidence(triples.join(known, "doc_id", "left_semi")), crowd, meeting, linked), "triple"),
+        by_kind(_each_way(claim_evidence(claims.join(known, "doc_id", "left_semi"), clusters, cited), linked), "claim"),
     ]
     out = parts[0]
     for p in parts[1:]:
