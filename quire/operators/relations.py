@@ -29,6 +29,8 @@ COMMON = 256
 PLAIN_ROWS = 10_000
 #: Claims of a document that may well lie in one row; the claims of documents with more stay rows.
 PACKED = 64
+#: Letters of different texts and patterns of claims that may well be sent to every task; of more, those of pairs are.
+LETTERS = 16_000_000
 
 
 def has_negation(sentence: Column) -> Column:
@@ -211,8 +213,8 @@ def claim_evidence(claims: DataFrame, clusters: DataFrame, cited: DataFrame) ->
     """(a, b, both, best, supports, contradicts) for documents a < b that share a cluster (both) or one of which refers to the other, with alike claims of one type.
 
     Alike: statements at 80, or a common pattern, or sentences at 70 (token_sort similarity). One of them negative:
-    contradiction by 0.85 of their mean confidence; neither: support by 0.8; both: nothing. Types, patterns and texts go as numbers, and each
-    two texts of fitting lengths are compared once. Claims meet by cluster, a document's in one row, or along a reference; those of crowded clusters and of documents of many claims meet
+    contradiction by 0.85 of their mean confidence; neither: support by 0.8; both: nothing. Types, patterns and texts go as numbers. Where
+    different texts have few letters, all tasks get these; else pairs are written, and each two texts of fitting lengths are compared once. Claims meet by cluster, a document's in one row, or along a reference; those of crowded clusters and of documents of many claims meet
     by type and cluster. Documents that meet by several clusters give the same sums each time, and count once.
     """
     spark = claims.sparkSession
@@ -253,7 +255,19 @@ def claim_evidence(claims: DataFrame, clusters: DataFrame, cited: DataFrame) ->
     linked = _linked(cited).select("a", "b")
     along = linked.join(side(one, "a"), "a").join(side(one, "b").withColumnRenamed("claim_type_b", "claim_type_a"), ["b", "claim_type_a"])
     met.append(in_rows(along.withColumn("item", F.lit(None).cast("string"))))
-    met = materialize(reduce(DataFrame.unionByName, met), "met")
+    met = reduce(DataFrame.unionByName, met)
+    texts, columns = ("patterns", "statement", "sentence"), ["a", "b", "item", F.when(F.col("apart"), "contradicts").otherwise("supports").alias("kind"), "confidence"]
+    sums = [F.max(c).alias(c) for c in ("best", "supports", "contradicts")]
+    weigh = lambda found: _summed(found.select(*columns), "item").groupBy("a", "b").agg(F.max(F.col("item").isNotNull()).alias("both"), *sums)
+    letters = reduce(DataFrame.unionByName, [values[c].select(F.char_length(F.col(c) if c != "patterns" else F.concat_ws(" ", c)).alias("n")) for c in texts])
+    if (letters.agg(F.sum(F.col("n") + 8).alias("n")).first()["n"] or 0) <= LETTERS:  # a value takes some room beside its letters
+        for c in texts:
+            for of in "ab":
+                met = met.join(F.broadcast(values[c].select(F.col("id").alias(f"{c}_{of}"), F.col(c).alias(f"{c}_of_{of}"))), f"{c}_{of}", "left")
+        common = F.coalesce(F.arrays_overlap("patterns_of_a", "patterns_of_b"), F.lit(False))
+        fuzzy = [F.coalesce(at_least(*[F.when(~common, F.col(f"{c}_of_{of}")) for of in "ab"], p), F.lit(False)) for c, p in (("statement", 80), ("sentence", 70))]
+        return weigh(met.where(common | fuzzy[0] | fuzzy[1]))
+    met = materialize(met, "met")
     n = met.count()
 
     def alike(rows: DataFrame, c: str, test: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -267,10 +281,7 @@ def claim_evidence(claims: DataFrame, clusters: DataFrame, cited: DataFrame) ->
     told = met.join(common, ["patterns_a", "patterns_b"], "left").join(stated, ["statement_a", "statement_b"], "left")
     settled, rest = told.where("common or stated"), told.where("common is null and stated is null")
     spoken = alike(rest, "sentence", lambda a, b: at_least(a, b, 70), "spoken")
-    columns = ["a", "b", "item", F.when(F.col("apart"), "contradicts").otherwise("supports").alias("kind"), "confidence"]
-    found = settled.select(*columns).unionByName(rest.join(spoken, ["sentence_a", "sentence_b"]).select(*columns))
-    sums = [F.max(c).alias(c) for c in ("best", "supports", "contradicts")]
-    return _summed(found, "item").groupBy("a", "b").agg(F.max(F.col("item").isNotNull()).alias("both"), *sums)
+    return weigh(settled.select(*met.columns).unionByName(rest.join(spoken, ["sentence_a", "sentence_b"]).select(*met.columns)))
 
 
 def document_relations(
