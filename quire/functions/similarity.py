@@ -77,13 +77,11 @@ def common_lengths(left: list[str], right: list[str], i: np.ndarray, j: np.ndarr
     return found
 
 
-def alike_places(left: list[str], right: list[str], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all texts with 200 LCS / (|a| + |b|) >= percent.
-
-    A common subsequence is no longer than the characters that two texts share, each as often as both have it: a product of matrices counts
-    these, and the texts that they leave are compared exactly.
-    """
-    (n, which, _, chars), (m, *_) = _places(left + right), _places(right)
+def shared_letters(left: list[str], right: list[str]) -> np.ndarray:
+    """How many characters every two texts share, each as often as both have it: a product of matrices."""
+    n, which, _, chars = _places(left + right)
+    if not len(chars):
+        return np.zeros((len(left), len(right)), dtype=np.float32)
     order = np.lexsort((chars, which))
     row, char = which[order], chars[order]
     first = np.r_[True, (row[1:] != row[:-1]) | (char[1:] != char[:-1])]
@@ -91,8 +89,17 @@ def alike_places(left: list[str], right: list[str], percent: int) -> tuple[np.nd
     kinds, column = np.unique(char.astype(np.int64) << 32 | nth, return_inverse=True)
     has = np.zeros((len(n), len(kinds)), dtype=np.float32)
     has[row, column] = 1
-    least = percent * (n[: len(left), None] + m[None, :])
-    i, j = np.nonzero(200 * (has[: len(left)] @ has[len(left) :].T) >= least - 0.5)
+    return has[: len(left)] @ has[len(left) :].T
+
+
+def alike_places(left: list[str], right: list[str], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all texts with 200 LCS / (|a| + |b|) >= percent.
+
+    A common subsequence is no longer than the characters that two texts share; the texts that these leave are compared exactly.
+    """
+    n, m = (np.array([len(t) for t in texts], dtype=np.int64) for texts in (left, right))
+    least = percent * (n[:, None] + m[None, :])
+    i, j = np.nonzero(200 * shared_letters(left, right) >= least - 0.5)
     same = 200 * common_lengths(left, right, i, j) >= least[i, j]
     return i[same], j[same]
 
