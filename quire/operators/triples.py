@@ -29,6 +29,10 @@ RELATIONS = [
     (r"contains?", "contains"), (r"(?:is\s+)?better\s+than", "improves"),
 ]
 SIDE = r"(\w+(?:\s+\w+){0,4})"
+#: The same side, whole words at a time: a word that does not end where it should is not tried again letter by letter.
+WORDS = r"(\w++(?:\s++\w++){0,4})"
+#: Letters without which a text states no relation of a predicate's pattern, in the order of RELATIONS; fixed values.
+STEMS = ["outperform", "improve", "achieve", "use", "introduce", "based", "evaluated", "replace", "support", "contradict", "contain", "better"]
 #: The predicate of a claim's type. Fixed values.
 CLAIMS = {"methodological": "introduces", "comparative": "outperforms", "existence": "supports", "negation": "contradicts", "statistical": "achieves", "causal": "depends_on"}
 # Factors of confidence, the least that is kept, and the pairs up to which those across chunks are made; fixed values.
@@ -54,26 +58,34 @@ def relation_triples(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     chunks: (doc_id, chunk_id, text); entities: (doc_id, entity_id, nth, text, confidence, chunk_id), nth being their order. Each side of
     a match is the first entity of the chunk whose text it is, or one of whose words it is, or which it holds if that has several words.
     """
-    found = F.flatten(F.array(*[_sides(verb, predicate) for verb, predicate in RELATIONS]))
+    found = F.flatten(F.array(*[_sides(verb, predicate, stem) for (verb, predicate), stem in zip(RELATIONS, STEMS, strict=True)]))
     matches = chunks.select("doc_id", "chunk_id", F.posexplode(found).alias("at", "m")).select("doc_id", "chunk_id", "at", "m.*")
     sides = matches.select("doc_id", "chunk_id", "at", "predicate", F.posexplode(F.array("a", "b")).alias("side", "said")).withColumn("said", F.lower(F.trim("said")))
     named = entities.where("trim(text) <> ''").select("doc_id", "entity_id", "nth", F.lower(F.trim("text")).alias("name"), "confidence", F.col("chunk_id").alias("of"))
-    # the patterns are searched once
-    met = _holds(materialize(sides, "sides"), named, "said", "name").where("chunk_id = of")
+    # the patterns are searched once; texts meet by chunk
+    place = lambda t, chunk: t.where(F.col("doc_id").isNotNull() & F.col(chunk).isNotNull()).withColumn("doc_id", F.struct("doc_id", F.col(chunk).alias("chunk_id"))).drop(chunk)
+    met = _holds(place(materialize(sides, "sides"), "chunk_id"), place(named, "of"), "said", "name")
     many = F.size(F.split("name", r"\s+")) > 1
     met = met.where(many | F.array_contains(F.split("said", r"\s+"), F.col("name")))
-    key = ["doc_id", "chunk_id", "at", "predicate"]
+    key = ["doc_id", "at", "predicate"]
     first = met.groupBy(*key, "side").agg(F.min_by(F.struct("entity_id", "confidence"), F.struct("nth", "entity_id", "confidence")).alias("e"))
     both = first.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("e"))).alias("s"), F.max(F.when(F.col("side") == 1, F.col("e"))).alias("o"))
     sure = F.round(F.least("s.confidence", "o.confidence") * STATED, 4)
-    told = both.where("s.entity_id <> o.entity_id").select("doc_id", "chunk_id", F.col("s.entity_id").alias("subject_id"), "predicate", F.col("o.entity_id").alias("object_id"), sure.alias("confidence"))
+    told = both.where("s.entity_id <> o.entity_id").select("doc_id.doc_id", "doc_id.chunk_id", F.col("s.entity_id").alias("subject_id"), "predicate", F.col("o.entity_id").alias("object_id"), sure.alias("confidence"))
     return told.where(F.col("confidence") >= LEAST)
 
 
-def _sides(verb: str, predicate: str) -> Column:
-    """The texts before and after each statement of a relation."""
-    a, b = (F.regexp_extract_all("text", F.lit("(?iU)" + relation_pattern(verb)), F.lit(i)) for i in (1, 2))
-    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"), F.lit(predicate).alias("predicate")))
+def _sides(verb: str, predicate: str, stem: str) -> Column:
+    """The texts before and after each statement of a relation.
+
+    A match begins where a word does and takes whole words on either side, so these are searched as such, and only texts that hold the
+    stem, however its letters are written, are searched at all. Both sides are read from the match.
+    """
+    pattern = rf"(?iU)(?<!\w){relation_pattern(verb).replace(SIDE, WORDS)}"
+    plain = F.translate(F.lower("text"), "\u017f\u0131\u0307", "si")  # letters that the pattern takes for s and i
+    found = F.when(F.contains(plain, F.lit(stem)), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    of = F.transform(found, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("a"), F.regexp_extract(m, pattern, 2).alias("b"), F.lit(predicate).alias("predicate")))
+    return F.coalesce(of, F.array().cast("array<struct<a:string,b:string,predicate:string>>"))
 
 
 def paired_triples(entities: DataFrame, label: str) -> DataFrame:
