@@ -17,13 +17,18 @@ def _key() -> Column:
     return F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Chunks by the parity of the line number, but for 45 and more pieces; a line's statement is `name verb last name`."""
+def corpus(spark: SparkSession, sf_dir: str, once: bool = False) -> dict[str, DataFrame]:
+    """Chunks by the parity of the line number, but for 45 and more pieces; a line's statement is `name verb last name`.
+
+    once: lines are joined once and written, for queries that read both entities and chunks.
+    """
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "*").join(_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     key = _key()
     chunk = F.when(F.col("l_quantity") < 45, F.concat(F.lit("chk_"), F.col("l_linenumber") % 2)).alias("chunk_id")
     label = F.coalesce(F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])[F.col("p_type")], F.lit("other")).alias("label")
     rows = lines.select("doc_id", key.alias("k"), label, "p_name", chunk, "l_returnflag", "l_suppkey", F.round(1 - 6 * F.col("l_discount"), 2).alias("confidence")).distinct()
+    if once:
+        rows = materialize(rows, "rows")
     word = F.when(F.col("l_suppkey") % 2 == 0, F.col("p_name")).otherwise(F.split("p_name", " ")[1])
     verb = F.element_at(F.array(*[F.lit(v) for v in _VERBS]), (F.col("l_suppkey") % len(_VERBS)).cast("int") + 1)
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "p_name", verb).alias("s")))), lambda x: x["s"]), " ")
@@ -63,7 +68,7 @@ SELECT s.doc_id, s.chunk AS chunk_id, s.id AS subject_id, s.p AS predicate, o.id
 FROM s JOIN o ON s.doc_id = o.doc_id AND s.chunk = o.chunk AND s.v = o.v AND s.nn = o.nn WHERE s.id <> o.id AND round(least(s.c, o.c) * {T.STATED}, 4) >= {T.LEAST}""")
 def stated_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations that texts state."""
-    c = corpus(spark, sf_dir)
+    c = corpus(spark, sf_dir, once=True)
     return T.relation_triples(c["chunks"], c["entities"])
 
 
